@@ -95,19 +95,16 @@ def map_key_counts(df: DataFrame, counts: str) -> tuple[DataFrame, DataFrame]:
     Keys of one map that become equal by trimming and lower-casing are one key of that record; null values count 0.
     Null and empty maps hold no keys, but their rows are records.
     """
-    rows = pick(df, counts=counts).withColumn("row", F.lit(1))
-    entries = rows.select(F.transform(F.map_entries("counts"), lambda e: F.struct(keyword_form(e["key"]).alias("term"), F.coalesce(e["value"].cast("bigint"), F.lit(0).cast("bigint")).alias("n"))).alias("entries"))
-    first = F.filter(
-        F.transform("entries", lambda e, i: F.struct(e["term"].alias("term"), e["n"].alias("n"), (F.array_position(F.transform("entries", lambda x: x["term"]), e["term"]) == i + 1).cast("int").alias("held"))),
-        lambda e: e["term"].isNotNull(),
-    )
-    light = entries.select(F.explode(first).alias("e")).groupBy("e.term").agg(F.sum("e.n").alias("occurrences"), F.sum("e.held").cast("bigint").alias("records"))
+    rows = pick(df, counts=counts)
+    entries = rows.select(F.transform(F.map_entries("counts"), lambda e: F.struct(keyword_form(e["key"]).alias("term"), F.coalesce(e["value"].cast("bigint"), F.lit(0).cast("bigint")).alias("n"), F.lit(0).alias("held"))).alias("entries"))
+    # Each distinct term of the map stands once more, for the record; array_distinct keeps this linear in the map's size.
+    holds = F.transform(F.array_distinct(F.transform("entries", lambda e: e["term"])), lambda t: F.struct(t.alias("term"), F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("held")))
+    each = entries.select(F.explode(F.concat("entries", holds)).alias("e")).where(F.col("e.term").isNotNull())
+    light = each.groupBy("e.term").agg(F.sum("e.n").alias("occurrences"), F.sum("e.held").cast("bigint").alias("records"))
     return light, rows.agg(F.count("*").alias("records"))
 
 
 def with_mark(counts: DataFrame, size: DataFrame, rare_below: int = 3, common_share: float = 0.05) -> DataFrame:
     """Adds ``mark``: ``rare`` below ``rare_below`` records, else ``common`` above the share of all records, else null."""
-    total = size.select(F.col("records").alias("total"))  # one row, so this join is a lookup and not a product of tables
-    common = F.col("records") > F.col("total") * F.lit(common_share)
-    mark = F.when(F.col("records") < rare_below, "rare").when(common, "common")
-    return counts.join(F.broadcast(total)).withColumn("mark", mark).drop("total")
+    common = F.col("records") > size.select("records").scalar() * F.lit(common_share)
+    return counts.withColumn("mark", F.when(F.col("records") < rare_below, "rare").when(common, "common"))
