@@ -208,6 +208,8 @@ def log_odds(text: str, model: Model, at_limit: bool = False) -> float:
         return -9.0
     if tail[-1] in _PAUSED:
         return 9.0
+    if text.count("“") > text.count("”") or text.count("「") > text.count("」"):
+        prior += 4.0
     # The model looks back no further than its longest context, so the tail is all it reads.
     end, pause = model.following(plain(tail))
     going = max(1e-6, 1.0 - end - pause)
