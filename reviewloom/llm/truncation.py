@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -37,16 +38,18 @@ _TERMINAL = frozenset("。！？!?.…”’\"'』」）)》】]}`~～\ufe0f")
 _PICTURE = regex.compile(r"[\p{Extended_Pictographic}\U0001F3FB-\U0001F3FF]")
 _PAUSED = frozenset("，,、；;：:-—/（(“‘【[《<「『@#")
 _SUSPECT, _MARKS = frozenset("\\<&"), frozenset("….[(（【")
+_FULL_STOPS = tuple("。！？!?.")
 _BLANKS = " \t\n\r\u3000\xa0\u200b\ufeff"
-_SPACES = regex.compile(r"(?<=\p{Han})\s+(?=[\p{Han}，。！？；：、…])|(?<=[，。！？；：、…])[^\S\n]+")
-_CODE = regex.compile(r"(?<![a-z])([a-z]{0,4})-?(\d+)")
-_RUN = regex.compile(r"[^\S\n]+")
-_BREAKS = regex.compile(r"\s*\n\s*")
+_SPACES = re.compile(r"(?<=[一-鿿])\s+(?=[一-鿿，。！？；：、…])|(?<=[，。！？；：、…])[^\S\n]+")
+_CODE = re.compile(r"(?<![a-z])([a-z]{0,4})-?(\d+)")
+_RUN = re.compile(r"[^\S\n]+")
+_BREAKS = re.compile(r"\s*\n\s*")
+_WHITE = re.compile(r"\s")
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _code(m: regex.Match) -> str:
+def _code(m: re.Match) -> str:
     return chr(0xE100 + 16 * min(len(m[1]), 15) + min(len(m[2]), 15)) if m[1] else chr(0xE000 + min(len(m[2]), 63))
 
 
@@ -56,8 +59,10 @@ def plain(text: str) -> str:
     A number or a code of letters and digits becomes one character that keeps only its lengths, so that a number cut short
     is another context than a whole one.
     """
-    s = _SPACES.sub("", consistent_form(text).strip().lower())
-    return _CODE.sub(_code, _BREAKS.sub("\n", _RUN.sub(" ", s)))
+    s = consistent_form(text).strip().lower()
+    if _WHITE.search(s):
+        s = _BREAKS.sub("\n", _RUN.sub(" ", _SPACES.sub("", s)))
+    return _CODE.sub(_code, s)
 
 
 def _hashes(codes: np.ndarray, place: int) -> np.ndarray:
@@ -189,6 +194,8 @@ def log_odds(text: str, model: Model, at_limit: bool = False) -> float:
     Marks left by a cut, a broken character and open mark-up decide by themselves; a final full stop, closing quotation
     or picture says that it ends. Else the continuation likelihood of the final context is held against that of an end.
     """
+    if text[-1:] in _FULL_STOPS and "{" not in text and "`" not in text:
+        return -9.0  # whether it holds anything or not; nearly all values end here
     if is_shell(text):
         return -9.0
     tail = text[-60:].rstrip(_BLANKS)
