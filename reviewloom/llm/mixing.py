@@ -51,14 +51,27 @@ def flight(chance: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> n
     return p
 
 
-def landing(chance: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Decide the at most two documents that are left: the choice whose tokens are nearest to the expected ones."""
+def landing(chance: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Decide the at most two documents that are left, then exchange a few to meet the expected tokens.
+
+    One of the two may be long, so rounding alone can miss by half its tokens. What is missing or too much is made up by
+    the longest documents that fit, from the longest down: a number of them that grows with the logarithm of the gap.
+    ``before`` holds the chances before the flight; a document that was certain then isn't touched.
+    """
     p = chance.copy()
+    free = (before > TINY) & (before < 1 - TINY)
     left = [k for k in range(len(p)) if TINY < p[k] < 1 - TINY]
     wanted = sum(p[k] * sizes[k] for k in left)
     best = min(product((0.0, 1.0), repeat=len(left)), key=lambda xs: (abs(sum(x * sizes[k] for x, k in zip(xs, left, strict=True)) - wanted), xs))
     for x, k in zip(best, left, strict=True):
         p[k] = x
+    gap = float((before * sizes).sum() - (p * sizes).sum())
+    for k in np.lexsort((np.arange(len(p)), -sizes)):
+        if abs(gap) < 1:
+            break
+        if free[k] and k not in left and p[k] == (0.0 if gap > 0 else 1.0) and abs(gap - np.sign(gap) * sizes[k]) < abs(gap) and sizes[k] <= abs(gap):
+            gap -= np.sign(gap) * sizes[k]
+            p[k] = 1.0 - p[k]
     return p
 
 
@@ -70,8 +83,9 @@ def _decide(last: bool):
         # The largest first, so that what the flight leaves to the landing is small; equal sizes in random order.
         order = np.lexsort((seed.random(len(pdf)), -sizes))
         p = np.empty(len(pdf))
-        p[order] = flight(pdf["chance"].to_numpy()[order], sizes[order], seed)
-        return pdf.assign(chance=landing(p, sizes) if last else p)
+        before = pdf["chance"].to_numpy()
+        p[order] = flight(before[order], sizes[order], seed)
+        return pdf.assign(chance=landing(p, before, sizes) if last else p)
 
     return run
 
