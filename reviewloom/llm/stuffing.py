@@ -34,6 +34,8 @@ BEGIN, FUNCTION, SHORT, MIDDLE, LONG, AGAIN_SHORT, AGAIN_LONG, NUMBER, PAUSE, EN
 CLASSES = 16
 #: Tokens whose mean decides about the one in their middle; and how far back, in characters, a repetition counts.
 WINDOW, BACK = 21, 160
+#: A link counts as so many characters at most, so that a few cited links don't outweigh the text around them.
+LINK_SIZE = 12
 #: Characters whose repetition counts: so many Chinese ones, or so many of an alphabet.
 GRAM_HAN, GRAM_OTHER = 4, 10
 #: A window is abnormal so many standard deviations from the mean of the training windows.
@@ -110,11 +112,25 @@ def _repeated(codes: np.ndarray, text: np.ndarray, size: int, usable: np.ndarray
     return np.cumsum(covered[:n]) > 0
 
 
+def _labels_again(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, what: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which runs are labels, before a colon at the start of a line, that stood as one shortly before, too."""
+    again = np.zeros(len(starts), bool)
+    first = np.r_[True, (what[:-1] == 5) | (what[:-1] == 0)]
+    labels = np.flatnonzero(np.isin(what, (1, 2)) & first & (np.r_[what[1:], 0] == COLON + 16))
+    if len(labels) > 1:
+        flat = np.repeat(starts[labels] - np.r_[0, np.cumsum(lengths[labels])[:-1]], lengths[labels]) + np.arange(lengths[labels].sum())
+        h = _word_hash(codes[flat], np.r_[0, np.cumsum(lengths[labels])[:-1]], lengths[labels]) ^ (text[starts[labels]].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        order = np.argsort(h, kind="stable")
+        near = (h[order][1:] == h[order][:-1]) & (starts[labels][order][1:] - starts[labels][order][:-1] <= BACK)
+        again[labels[order[1:][near]]] = True
+    return again
+
+
 def tokenize(texts: list[str]) -> Tokens:
     """Word classes by table look-up over all characters at once; links and mark-up by one pattern."""
     parts = []
     for t in texts:
-        parts.append(_LINK.sub(lambda m: "\x01" * min(len(m[0]), 60), t.lower()))
+        parts.append(_LINK.sub(lambda m: "\x01" * min(len(m[0]), LINK_SIZE), t.lower()))
     joined = "\x02" + "\x02".join(parts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     begun = codes == 2
@@ -151,6 +167,7 @@ def tokenize(texts: list[str]) -> Tokens:
     # Letters next to digits are codes.
     code = (what == 2) & ((np.r_[what[1:], 0] == 3) | (np.r_[0, what[:-1]] == 3))
     classes[code] = NUMBER
+    share |= _labels_again(codes, starts, lengths, what, text)
     repeats = share & np.isin(classes, (SHORT, MIDDLE, LONG))
     classes[repeats] = np.where(classes[repeats] == SHORT, AGAIN_SHORT, AGAIN_LONG)
     # White space parts Chinese items like a sign; elsewhere it only parts words. It counts with the token before it.
