@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("q_copies", "q_pairs", "q_lookalike", "q_truncation", "q_personal", "q_topn", "q_frequency", "q_packing")
+MODULES = ("q_copies", "q_pairs", "q_lookalike", "q_truncation", "q_personal", "q_topn", "q_frequency", "q_packing", "q_stuffing")
 
 
 def _modules():

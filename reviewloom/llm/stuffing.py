@@ -30,8 +30,10 @@ WORDS = (
 )
 
 #: Word classes. Content counts by length; what repeats what stands shortly before it has classes of its own.
-BEGIN, FUNCTION, SHORT, MIDDLE, LONG, AGAIN_SHORT, AGAIN_LONG, NUMBER, PAUSE, END, COLON, BREAK, SIGN, LINK, TAG, GAP = range(16)
-CLASSES = 16
+BEGIN, FUNCTION, SHORT, MIDDLE, LONG, AGAIN_SHORT, AGAIN_LONG, NUMBER, PAUSE, END, COLON, BREAK, SIGN, LINK, TAG, GAP, AGAIN_CHAIN = range(17)
+CLASSES = 17
+#: From so many repeated content words on end, further ones are a chain.
+CHAIN = 5
 #: Tokens whose mean decides about the one in their middle; and how far back, in characters, a repetition counts.
 WINDOW, BACK = 21, 160
 #: A link counts as so many characters at most, so that a few cited links don't outweigh the text around them.
@@ -174,6 +176,11 @@ def tokenize(texts: list[str]) -> Tokens:
     blank = what == 4
     between = blank & np.r_[False, np.isin(what[:-1], (1, 6, 3))] & np.r_[np.isin(what[1:], (1, 6)), False]
     classes[between] = GAP
+    content = np.flatnonzero(np.isin(classes, (SHORT, MIDDLE, LONG, AGAIN_SHORT, AGAIN_LONG)))
+    if len(content):
+        fresh = ~np.isin(classes[content], (AGAIN_SHORT, AGAIN_LONG)) | np.r_[True, text[starts[content]][1:] != text[starts[content]][:-1]]
+        place = np.arange(len(content))
+        classes[content[place - np.maximum.accumulate(np.where(fresh, place, 0)) > CHAIN]] = AGAIN_CHAIN
     keep = ~blank | between
     owner = np.maximum(np.cumsum(keep) - 1, 0)
     sizes = np.bincount(owner, weights=lengths, minlength=int(keep.sum())).astype(np.int64)
@@ -208,12 +215,12 @@ def _contexts(t: Tokens) -> np.ndarray:
 def _prose(t: Tokens) -> np.ndarray:
     """Tokens to train on: windows with function words and few repetitions, or of labelled lines; without links and tags."""
     share = {}
-    for name, kinds in (("function", (FUNCTION,)), ("again", (AGAIN_SHORT, AGAIN_LONG)), ("web", (LINK, TAG)), ("colon", (COLON,)), ("break", (BREAK,)), ("sign", (SIGN, GAP))):
+    for name, kinds in (("function", (FUNCTION,)), ("again", (AGAIN_SHORT, AGAIN_LONG, AGAIN_CHAIN)), ("chain", (AGAIN_CHAIN,)), ("web", (LINK, TAG)), ("colon", (COLON,)), ("break", (BREAK,)), ("sign", (SIGN, GAP))):
         total, width = _window_sums(np.isin(t.classes, kinds).astype(np.float64), t.text)
         share[name] = total / width
     prose = (share["function"] >= 0.2) & (share["again"] <= 0.3)
     sheet = (share["colon"] >= 0.14) & (share["break"] >= 0.1) & (share["again"] <= 0.12)
-    return (prose | sheet) & (share["web"] == 0) & (share["sign"] <= 0.2)
+    return (prose | sheet) & (share["web"] == 0) & (share["chain"] == 0) & (share["sign"] <= 0.2)
 
 
 def count_classes(texts: list[str]) -> np.ndarray:
@@ -244,7 +251,7 @@ def fit(counts: np.ndarray) -> Model:
         n = max(1.0, c.sum())
         mean = (counts[k] * logs[k]).sum() / n
         spread = np.sqrt(max(1e-9, (counts[k] * (logs[k] - mean) ** 2).sum() / n) / WINDOW)
-        low[k], high[k] = mean - DEVIATIONS * spread, mean + 2 * DEVIATIONS * spread
+        low[k], high[k] = mean - DEVIATIONS * spread, mean + DEVIATIONS * spread
     return Model(logs, low, high)
 
 
@@ -263,7 +270,7 @@ def abnormal_shares(texts: list[str], model: Model) -> np.ndarray:
 
 
 def train(df: DataFrame, text: str) -> Model:
-    """Counts over every text; a task sends 2 x 4096 numbers at most, and so many reach the driver."""
+    """Counts over every text; a task sends 2 x 17**3 numbers at most, and so many reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, CLASSES**3), np.int64)
@@ -312,6 +319,6 @@ def stuffed_shares(df: DataFrame, record: str, text: str) -> DataFrame:
     return map_batches(rows, run, "record_id bigint, share double")
 
 
-def stuffed_pages(df: DataFrame, record: str, text: str, most: float = 0.5) -> DataFrame:
+def stuffed_pages(df: DataFrame, record: str, text: str, most: float = 0.62) -> DataFrame:
     """``record_id`` of the pages that are repeated words, links or tags for the most part."""
     return stuffed_shares(df, record, text).where((F.col("share") > most) & F.col("record_id").isNotNull()).select("record_id")
