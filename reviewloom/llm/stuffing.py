@@ -66,6 +66,8 @@ _KIND = _kinds()
 _ONE = np.zeros(0x110000, bool)
 _ONE[[ord(c) for c in ZH_ONE]] = True
 _TWO = np.unique([ord(w[0]) * 0x110000 + ord(w[1]) for w in ZH_TWO.split() if len(w) == 2])
+_FIRST = np.zeros(0x110000, bool)
+_FIRST[[ord(w[0]) for w in ZH_TWO.split()]] = True
 
 
 def _word_hash(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -132,7 +134,8 @@ def tokenize(texts: list[str]) -> Tokens:
     """Word classes by table look-up over all characters at once; links and mark-up by one pattern."""
     parts = []
     for t in texts:
-        parts.append(_LINK.sub(lambda m: "\x01" * min(len(m[0]), LINK_SIZE), t.lower()))
+        marked = "/" in t or "<" in t or "www." in t
+        parts.append(_LINK.sub(lambda m: "\x01" * min(len(m[0]), LINK_SIZE), t.lower()) if marked else t.lower())
     joined = "\x02" + "\x02".join(parts)
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     begun = codes == 2
@@ -142,8 +145,8 @@ def tokenize(texts: list[str]) -> Tokens:
     kind[begun] = 0
     han, letter = kind == 1, kind == 2
     function = han & _ONE[codes]
-    pair = np.r_[codes[:-1] * 0x110000 + codes[1:], 0]
-    two = np.flatnonzero(np.isin(pair, _TWO))
+    two = np.flatnonzero(_FIRST[codes[:-1]])
+    two = two[np.isin(codes[two] * 0x110000 + codes[two + 1], _TWO)]
     function[two] = True
     function[two + 1] = True
     again = _repeated(codes, text, GRAM_HAN, han) | _repeated(codes, text, GRAM_OTHER, letter | (kind == 4))
@@ -162,7 +165,7 @@ def tokenize(texts: list[str]) -> Tokens:
     content = what == 1
     classes[content] = np.where(lengths[content] <= 2, SHORT, np.where(lengths[content] <= 4, MIDDLE, LONG))
     words = np.flatnonzero(what == 2)
-    flat = np.flatnonzero(np.isin(np.repeat(np.arange(len(starts)), lengths), words)) if len(words) else np.zeros(0, np.int64)
+    flat = np.flatnonzero(np.repeat(what == 2, lengths))
     hashes = _word_hash(codes[flat], np.r_[0, np.cumsum(lengths[words])[:-1]] if len(words) else words, lengths[words])
     known = np.isin(hashes, _FUNCTION_WORDS)
     classes[words] = np.where(known, FUNCTION, np.where(lengths[words] <= 3, SHORT, np.where(lengths[words] <= 9, MIDDLE, LONG)))
