@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Code point ranges of emoji, and of symbol blocks, that cleaning deletes.
 EMOJI_RANGES = ((0x1F600, 0x1F64F), (0x1F300, 0x1F5FF), (0x1F680, 0x1F6FF), (0x1F1E0, 0x1F1FF), (0x1F900, 0x1F9FF), (0x1FA00, 0x1FA6F), (0x1FA70, 0x1FAFF), (0x1F000, 0x1F02F), (0x1F0A0, 0x1F0FF))
@@ -86,7 +87,7 @@ def unescape_entities(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_html(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(html.unescape, na_action="ignore")
@@ -155,5 +156,6 @@ def preprocess_tool(c: Column, max_length: int = 512, strict: bool = False) -> C
 def preprocess_result(c: Column, strict: bool = False) -> Column:
     """``STRUCT<success, cleaned_text, original_length, cleaned_length, error>``; blank and null texts fail."""
     blank = c.isNull() | (squeeze_space(c) == "")
-    cleaned = F.when(~blank, preprocess_tool(c, strict=strict))
-    return F.struct((~blank).alias("success"), cleaned.alias("cleaned_text"), F.length(c).alias("original_length"), F.length(cleaned).alias("cleaned_length"), F.when(blank, "empty text").alias("error"))
+    parts = lambda cleaned: F.struct((~blank).alias("success"), cleaned.alias("cleaned_text"), F.length(c).alias("original_length"), F.length(cleaned).alias("cleaned_length"), F.when(blank, "empty text").alias("error"))
+    # The cleaned text is computed once for both of its uses.
+    return F.element_at(F.transform(F.array(F.when(~blank, preprocess_tool(c, strict=strict))), parts), 1)

@@ -13,10 +13,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
 
 _HEAD = re.compile(r'\{\s*"keywords"\s*:\s*\[')
 _ARRAY = re.compile(r'"keywords"\s*:\s*\[')
 SENTIMENT_OBJECT = re.compile(r'\{[^{}]*"sentiment"\s*:\s*\[.*?\]\s*\}', re.DOTALL)
+SENTIMENT = StructType().add("label", StringType()).add("confidence", DoubleType()).add("reasoning", StringType())
 _FULL_WIDTH = str.maketrans("，：", ",:")
 # Labels of sentiment in either language.
 LABELS = {"正向": "positive", "负向": "negative", "中立": "neutral", "positive": "positive", "negative": "negative", "neutral": "neutral"}
@@ -192,32 +194,32 @@ def _number(x: object) -> float:
         return 0.5
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def extract_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(extract, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def repair_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(repair_truncated, na_action="ignore")
 
 
-@F.pandas_udf("json string, thinking string")
+@F.pandas_udf(StructType().add("json", StringType()).add("thinking", StringType()))
 def _with_thinking(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
         yield pd.DataFrame([extract_with_thinking(x if isinstance(x, str) else None) for x in s], columns=["json", "thinking"])
 
 
-@F.pandas_udf("label string, confidence double, reasoning string")
+@F.pandas_udf(SENTIMENT)
 def parse_sentiment(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
         found = [sentiment_of(x if isinstance(x, str) else None) or {} for x in s]
         yield pd.DataFrame(found, columns=["label", "confidence", "reasoning"], index=range(len(found)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def shorten_result(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(truncate_result, na_action="ignore")

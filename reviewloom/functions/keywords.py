@@ -16,6 +16,11 @@ MAX_LENGTH, TOP_N, SPAN_RATIO = 6, 8, 2
 KEYWORDS = "array<struct<reasoning:string,keyword:string,score:double>>"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used; lambdas would compute it anew for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
@@ -55,8 +60,8 @@ def min_span(keyword: Column, text: Column) -> Column:
 
 def is_aligned(keyword: Column, text: Column, ratio: int = SPAN_RATIO) -> Column:
     """Whether the keyword's characters stand close together and in order; false for an empty keyword or text."""
-    span = min_span(keyword, text)
-    return (span >= 0) & (span <= F.length(F.replace(keyword, F.lit(" "), F.lit(""))) * ratio)
+    most = F.length(F.replace(keyword, F.lit(" "), F.lit(""))) * ratio
+    return let(min_span(keyword, text), lambda span: (span >= 0) & (span <= most))
 
 
 def minimum_keywords(text: Column) -> Column:
@@ -85,8 +90,8 @@ def by_score(ks: Column) -> Column:
 
 def distinct_keywords(ks: Column) -> Column:
     """The first of equal keywords stays."""
-    names = F.transform(ks, lambda k: k["keyword"])
-    return F.filter(ks, lambda k, i: F.array_position(names, k["keyword"]) == i + 1)
+    named = F.struct(ks.alias("ks"), F.transform(ks, lambda k: k["keyword"]).alias("names"))
+    return let(named, lambda x: F.filter(x["ks"], lambda k, i: F.array_position(x["names"], k["keyword"]) == i + 1))
 
 
 def normalize_keywords(raw: Column, old_format: bool = False) -> Column:
@@ -147,18 +152,19 @@ def validate(ks: Column, text: Column, max_length: int = MAX_LENGTH, stopwords:
 
     In order: blank, duplicate, too_long, time, date, stopword, not_in_text. Kept keywords stay in their order.
     """
-    names = F.transform(ks, lambda k: k["keyword"])
-
-    def reason(k, i):
+    def reason(names, k, i):
         c = k["keyword"]
         test = F.when(~is_filled(c), "blank").when(F.array_position(names, c) < i + 1, "duplicate").when(F.length(c) > max_length, "too_long")
         test = test.when(is_time_keyword(c), "time").when(is_date_keyword(c), "date").when(is_stopword(c, stopwords), "stopword")
         return F.struct(k.alias("k"), test.when((F.coalesce(text, F.lit("")) != "") & ~is_aligned(c, text), "not_in_text").alias("reason"))
 
-    judged = F.transform(ks, reason)
-    kept = F.transform(F.filter(judged, lambda x: x["reason"].isNull()), lambda x: x["k"])
-    removed = F.transform(F.filter(judged, lambda x: x["reason"].isNotNull()), lambda x: F.struct(x["k"]["keyword"].alias("keyword"), x["reason"].alias("reason")))
-    return F.struct(kept.alias("valid_keywords"), removed.alias("removed_keywords"), F.size(kept).alias("valid_count"), F.size(removed).alias("removed_count"))
+    def parts(judged):
+        kept = F.transform(F.filter(judged, lambda x: x["reason"].isNull()), lambda x: x["k"])
+        removed = F.transform(F.filter(judged, lambda x: x["reason"].isNotNull()), lambda x: F.struct(x["k"]["keyword"].alias("keyword"), x["reason"].alias("reason")))
+        return F.struct(kept.alias("valid_keywords"), removed.alias("removed_keywords"), F.size(kept).alias("valid_count"), F.size(removed).alias("removed_count"))
+
+    judged = let(F.transform(ks, lambda k: k["keyword"]), lambda names: F.transform(ks, lambda k, i: reason(names, k, i)))
+    return let(judged, parts)
 
 
 def split_by_score(ks: Column, threshold: float = 0.7) -> Column:

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import extract_with_thinking, repair_truncated, sentiment_of
+from ..functions.jsonx import SENTIMENT, extract_with_thinking, repair_truncated, sentiment_of
 from ..functions.keywords import RETRYABLE
 
 ATTEMPTS = 3
@@ -117,7 +117,7 @@ def sentiment(df: DataFrame, key: str, text: str, make: Callable[[], ModelBacken
     asked = df.select(key, F.lit("判断评论的情感倾向").alias("system"), F.col(text).alias("prompt"))
     answered = call_model(asked, key, "system", "prompt", make)
 
-    @F.pandas_udf("label string, confidence double, reasoning string")
+    @F.pandas_udf(SENTIMENT)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             yield pd.DataFrame([(sentiment_of(x) if isinstance(x, str) else None) or {"label": "unknown", "confidence": 0.0, "reasoning": ""} for x in s], columns=["label", "confidence", "reasoning"])

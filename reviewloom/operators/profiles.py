@@ -75,7 +75,9 @@ def top_keywords(counts: DataFrame, most: int = TOP) -> DataFrame:
     """``product_id, rank, keyword, n, avg_score``: by count, then by first use, then by keyword."""
     order = Window.partitionBy("product_id").orderBy(F.col("n").desc(), "first_seq", "keyword")
     ranked = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
-    return ranked.select("product_id", "rank", "keyword", "n", F.round(F.col("score_sum").cast("double") / F.greatest("n", F.lit(1)), 2).alias("avg_score"))
+    # Half up, in whole millionths, so that no binary fraction decides a tie.
+    rounded = F.expr("(2 * cast(score_sum * 1000000 AS bigint) + n * 10000) div (2 * n * 10000)") / 100
+    return ranked.select("product_id", "rank", "keyword", "n", rounded.alias("avg_score"))
 
 
 def issues_and_strengths(counts: DataFrame, pool: int = 30, least: int = 2, most: int = ISSUES) -> DataFrame:

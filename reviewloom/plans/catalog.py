@@ -1,11 +1,384 @@
-"""Queries of the reference's own operators and their SQL oracles."""
+"""Queries of the reference's own operators and their SQL oracles. Every query runs over its whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import clean, jsonx, timex
+from ..functions import keywords as kw
+from ..operators import extract, lookups, profiles, reflect, training
+from ..operators.models import fill_template
+from ..streaming import streams
+from . import oracles as o
+from . import pipeline
+
+
+def _reviews(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{sf}/reviews.parquet")
+
+
+def _analyses(spark, sf) -> DataFrame:
+    """One row an analysis, with its request's reviewer and product."""
+    a = spark.read.parquet(f"{sf}/analyses.parquet").select("analysis_id", "request_id", F.col("analysis_id").alias("seq"), F.col("sentiment.label").alias("label"), "elapsed_ms", "error")
+    r = _reviews(spark, sf).select("request_id", "reviewer_id", "product_id")
+    return a.join(r, "request_id", "left")
+
+
+def _items(spark, sf) -> DataFrame:
+    """Single deliveries of keyword rows."""
+    rows = spark.read.parquet(f"{sf}/keyword_items.parquet").select("item_id", "analysis_id", "request_id", "product_id", "keyword", "reasoning", "score")
+    return rows.distinct()
+
+
+def _keywords(spark, sf) -> DataFrame:
+    known = _analyses(spark, sf).select("analysis_id", "reviewer_id")
+    return _items(spark, sf).join(known, "analysis_id", "left").withColumn("seq", F.col("analysis_id"))
+
+
+def _turns(spark, sf) -> DataFrame:
+    return spark.read.parquet(f"{sf}/tool_turns.parquet")
+
+
+def _cleaned(fn):
+    return lambda spark, sf: _reviews(spark, sf).select("request_id", fn(F.col("text")).alias("value"))
+
+
+_CLEANERS = {
+    "clean_urls": (clean.remove_urls, o.urls),
+    "clean_phones": (clean.remove_phone_numbers, o.phones),
+    "clean_emojis": (clean.remove_emojis, o.emojis),
+    "clean_garbled": (clean.remove_garbled, o.garbled),
+    "clean_symbols": (clean.remove_special_symbols, o.symbols),
+    "clean_numbers": (clean.normalize_numbers, o.numbers),
+    "clean_line_breaks": (clean.remove_line_breaks, o.line_breaks),
+    "clean_chinese_only": (clean.keep_chinese_only, o.chinese_only),
+    "clean_entities": (clean.unescape_entities, o.entities),
+    "clean_latin": (clean.remove_latin, o.latin),
+    "clean_control": (clean.remove_control, o.control),
+    "clean_punctuation": (clean.collapse_punctuation, o.collapse),
+    "clean_space": (clean.squeeze_space, o.squeeze),
+    "clean_truncated": (lambda c: clean.truncate(c, 40), lambda x: f"substr({x}, 1, 40)"),
+    "clean_date_expressions": (timex.remove_date_expressions, o.date_expressions),
+}
+#: Look-around and Unicode word boundaries have no form in RE2; these are tested against Python's own expressions.
+_UNCHECKED = {
+    "clean_emails": clean.remove_emails,
+    "clean_time_expressions": timex.remove_time_expressions,
+    "clean_dates": timex.remove_dates,
+    "preprocess_comment": clean.preprocess_comment,
+}
+
+
+def preprocess_tool(spark, sf):
+    done = _reviews(spark, sf).select("request_id", clean.preprocess_result(F.col("text")).alias("p"))
+    return done.select("request_id", "p.success", "p.cleaned_text", "p.original_length", "p.cleaned_length")
+
+
+def keyword_predicates(spark, sf):
+    words = spark.read.parquet(f"{sf}/keyword_items.parquet").select("keyword").where(F.col("keyword").isNotNull()).distinct()
+    c = F.col("keyword")
+    return words.select(
+        "keyword", kw.is_filled(c).alias("filled"), kw.is_time_keyword(c).alias("is_time"), kw.is_date_keyword(c).alias("is_date"), kw.has_latin(c).alias("latin"), kw.is_stopword(c).alias("stopword"), kw.contains_stopword(c).alias("holds_stopword"), (F.length(c) <= kw.MAX_LENGTH).alias("short")
+    )
+
+
+def _with_text(spark, sf):
+    return _items(spark, sf).join(_reviews(spark, sf).select("request_id", "text"), "request_id")
+
+
+def alignment_span(spark, sf):
+    rows = _with_text(spark, sf).where(F.col("keyword").isNotNull())
+    return rows.select("item_id", kw.min_span(F.col("keyword"), F.col("text")).alias("span"), kw.is_aligned(F.col("keyword"), F.col("text")).alias("aligned"))
+
+
+def _lists(spark, sf):
+    """Keyword lists of analyses, in the order of their items; an analysis has a handful."""
+    rows = _with_text(spark, sf).withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+    item = F.struct("item_id", F.coalesce("reasoning", F.lit("")).alias("reasoning"), "keyword", "score")
+    grouped = rows.groupBy("analysis_id").agg(F.array_sort(F.collect_list(item)).alias("k"), F.min("text").alias("text"))
+    return grouped.select("analysis_id", "text", F.transform("k", lambda k: F.struct(k["reasoning"].alias("reasoning"), k["keyword"].alias("keyword"), k["score"].alias("score"))).alias("keywords"))
+
+
+def _joined(c):
+    return F.array_join(F.transform(c, lambda k: k["keyword"]), "|")
+
+
+def keyword_validation(spark, sf):
+    judged = _lists(spark, sf).select("analysis_id", kw.validate(F.transform("keywords", lambda k: F.struct(k["reasoning"].alias("reasoning"), F.coalesce(k["keyword"], F.lit("")).alias("keyword"), k["score"].alias("score"))), F.col("text")).alias("v"))
+    removed = F.array_join(F.transform("v.removed_keywords", lambda r: F.concat(r["keyword"], F.lit(":"), r["reason"])), "|")
+    return judged.select("analysis_id", _joined("v.valid_keywords").alias("kept"), removed.alias("removed"))
+
+
+def keyword_top_n(spark, sf):
+    return _lists(spark, sf).select("analysis_id", _joined(kw.post_process(F.col("keywords"), F.col("text"))).alias("keywords"))
+
+
+def keyword_reflection(spark, sf):
+    none = F.array().cast(kw.KEYWORDS)
+    rows = _lists(spark, sf)
+    return rows.select("analysis_id", _joined(reflect.reflect_once(F.filter("keywords", lambda k: k["keyword"].isNotNull()), none, F.col("text"))).alias("keywords"), reflect.needs_reflection(F.col("keywords"), F.col("text")).alias("needs_model"))
+
+
+def routing(spark, sf):
+    c = F.col("text")
+    return _reviews(spark, sf).select("request_id", kw.route(c).alias("mode"), kw.short_prompt(c).alias("short_prompt"), kw.minimum_keywords(c).alias("minimum"))
+
+
+def tfidf(spark, sf):
+    return extract.tf_idf(_reviews(spark, sf), "request_id", "text").select(F.col("doc").alias("request_id"), "token", "weight", "rank")
+
+
+def cooccurrence(spark, sf):
+    return extract.cooccurrence(_reviews(spark, sf), "request_id", "text").withColumnRenamed("doc", "request_id")
+
+
+def textrank(spark, sf):
+    return extract.text_rank(_reviews(spark, sf), "request_id", "text").withColumnRenamed("doc", "request_id")
+
+
+def lexicon_keywords(spark, sf):
+    """The aspects that product profiles count stand in for a dictionary of nouns."""
+    words = spark.read.parquet(f"{sf}/product_profiles.parquet").select(F.explode(F.map_keys("keyword_counts")).alias("word")).where(F.length("word") == 2).distinct().withColumn("pos", F.lit("n"))
+    return extract.pos_keywords(_reviews(spark, sf), "request_id", "text", words).select(F.col("doc").alias("request_id"), "token", "rank")
+
+
+def run_offline(spark, sf):
+    done = pipeline.run_offline(_reviews(spark, sf), "request_id", "text")
+    return done.select("request_id", "cleaned_text", _joined("keywords").alias("keywords"), "analysis_complete", "mode", "error")
+
+
+def run_fast(spark, sf):
+    done = pipeline.run_fast(_reviews(spark, sf), "request_id", "text")
+    return done.select("request_id", _joined("keywords").alias("keywords"), F.col("sentiment.label").alias("label"), F.col("sentiment.confidence").alias("confidence"), "mode")
+
+
+def json_keywords(spark, sf):
+    """Keyword objects of model answers, with the text before them."""
+    rows = _turns(spark, sf).where(F.col("skill_name").startswith("keyword")).select("turn_id", jsonx.keyword_object(F.col("response.content")).alias("j"))
+    parsed = rows.select("turn_id", F.length("j.thinking").alias("thinking"), kw.normalize_keywords(jsonx.keyword_list(F.col("j.json"))).alias("k"))
+    return parsed.select("turn_id", "thinking", F.size("k").alias("n"), _joined("k").alias("keywords"))
+
+
+def json_sentiment(spark, sf):
+    rows = _turns(spark, sf).where(F.col("skill_name") == "sentiment_analyze").select("turn_id", jsonx.parse_sentiment(F.col("response.content")).alias("s"))
+    return rows.select("turn_id", "s.label", "s.confidence", "s.reasoning")
+
+
+def json_repair(spark, sf):
+    return _turns(spark, sf).where(F.col("skill_name").startswith("keyword")).select("turn_id", jsonx.repair_json(F.col("response.content")).alias("repaired"))
+
+
+def reviewer_profile(spark, sf):
+    a = _analyses(spark, sf)
+    return profiles.review_counts(a, "reviewer_id").join(profiles.sentiment_distribution(a, "reviewer_id"), "reviewer_id").withColumn("detail", profiles.detail_level(F.col("total_reviews")))
+
+
+def reviewer_keywords(spark, sf):
+    return profiles.keyword_frequency(_keywords(spark, sf), "reviewer_id")
+
+
+def reviewer_tags(spark, sf):
+    return profiles.reviewer_tags(_keywords(spark, sf), _analyses(spark, sf))
+
+
+def product_keywords(spark, sf):
+    return profiles.product_keywords(_keywords(spark, sf)).withColumn("score_sum", F.col("score_sum").cast("double"))
+
+
+def product_top_keywords(spark, sf):
+    return profiles.top_keywords(profiles.product_keywords(_keywords(spark, sf)))
+
+
+def product_issues(spark, sf):
+    return profiles.issues_and_strengths(profiles.product_keywords(_keywords(spark, sf)))
+
+
+def product_rates(spark, sf):
+    return profiles.sentiment_rates(_analyses(spark, sf))
+
+
+def delta_keywords(spark, sf):
+    return profiles.delta_keywords(_keywords(spark, sf))
+
+
+def global_summary(spark, sf):
+    return profiles.global_summary(_analyses(spark, sf))
+
+
+def tool_sft(spark, sf):
+    s = training.tool_sft(_turns(spark, sf))
+    return s.select("session_id", "seq", "skill_name", "model", F.size("messages").alias("messages"), F.element_at("messages", -1)["content"].alias("answer"))
+
+
+def _as_agent(spark, sf):
+    """Tool turns read as turns of an agent: those that didn't stop by themselves stand for tool calls."""
+    return _turns(spark, sf).select("session_id", "seq", F.lit("agent_llm").alias("type"), F.when(F.col("seq") % 2 == 1, F.col("messages")).alias("snapshot"), F.col("response.content").alias("content"), (F.coalesce("response.finish_reason", F.lit("")) != "stop").alias("has_tool_calls"))
+
+
+def agent_sft(spark, sf):
+    s = training.agent_sft(_as_agent(spark, sf))
+    return s.select("session_id", "seq", F.size("messages").alias("messages"), F.element_at("messages", 2)["content"].alias("question"), F.element_at("messages", -1)["content"].alias("answer"))
+
+
+def tool_supervision(spark, sf):
+    return training.tool_supervision(None, _turns(spark, sf)).select("session_id", "tool_name", "input", "result", "model")
+
+
+def trajectory_stats(spark, sf):
+    return training.trajectory_stats(_turns(spark, sf))
+
+
+def skill_distribution(spark, sf):
+    return training.skill_distribution(_turns(spark, sf))
+
+
+def _messages(spark, sf):
+    return _turns(spark, sf).select("session_id", F.col("turn_id").alias("seq"), F.when(F.col("skill_name").startswith("keyword"), "tool").otherwise("assistant").alias("role"), F.col("response.content").alias("content"))
+
+
+def memory_compact(spark, sf):
+    return training.compact_memory(_messages(spark, sf))
+
+
+def context_chars(spark, sf):
+    return training.context_chars(_messages(spark, sf))
+
+
+def stopword_anti(spark, sf):
+    words = spark.createDataFrame([(w,) for w in kw.STOPWORDS], "word string")
+    return lookups.without_words(_items(spark, sf).select("item_id", "keyword"), words)
+
+
+def stopword_contained(spark, sf):
+    return _items(spark, sf).where(F.col("keyword").isNotNull() & ~kw.contains_stopword(F.col("keyword"))).select("item_id", "keyword")
+
+
+def cache_keys(spark, sf):
+    return lookups.distinct_requests(_reviews(spark, sf), "fast", "text")
+
+
+def cache_lookup(spark, sf):
+    """Reviews against a cache that holds those texts which were sent more than once."""
+    r = _reviews(spark, sf).select("request_id", lookups.cache_key(F.lit("fast"), F.col("text")).alias("cache_key"))
+    sent = r.groupBy("cache_key").agg(F.count("*").alias("n"), F.min("request_id").alias("first")).where("n > 1")
+    cache = sent.select("cache_key", F.col("first").cast("string").alias("result"), F.timestamp_micros(F.lit(4_000_000_000_000_000)).alias("expires_at"))
+    return lookups.with_cache(r, cache, F.timestamp_micros(F.lit(3_000_000_000_000_000))).select("request_id", "cached_result")
+
+
+def request_metrics(spark, sf):
+    return lookups.request_metrics(spark.read.parquet(f"{sf}/events.parquet"), "event_type", F.col("value"))
+
+
+def batch_counters(spark, sf):
+    return lookups.batch_counters(spark.read.parquet(f"{sf}/analyses.parquet").select("error", F.nanvl("elapsed_ms", F.lit(0.0)).alias("elapsed_ms")))
+
+
+def event_windows(spark, sf):
+    return streams.event_windows(spark.read.parquet(f"{sf}/events.parquet")).select("window_start", "event_type", "n", F.round("total", 3).alias("total"))
+
+
+def session_preview(spark, sf):
+    """The latest analysis of each product with its first keywords, as a session's history shows it."""
+    latest = Window.partitionBy("product_id").orderBy(F.col("request_id").desc())
+    rows = _reviews(spark, sf).where(F.col("product_id").isNotNull()).withColumn("n", F.row_number().over(latest)).where("n = 1")
+    return rows.select("product_id", "request_id", F.substring("text", 1, 30).alias("preview"))
+
+
+def prompts(spark, sf):
+    return _reviews(spark, sf).select("request_id", fill_template(F.lit("评论：{{text}}｜{{other}}"), text=F.col("text")).alias("prompt"))
+
+
+_PLAIN = (
+    preprocess_tool, keyword_predicates, alignment_span, keyword_validation, keyword_top_n, keyword_reflection, routing, tfidf, cooccurrence, textrank, lexicon_keywords, run_offline, run_fast, json_keywords, json_sentiment, json_repair, reviewer_profile, reviewer_keywords,
+    reviewer_tags, product_keywords, product_top_keywords, product_issues, product_rates, delta_keywords, global_summary, tool_sft, agent_sft, tool_supervision, trajectory_stats, skill_distribution, memory_compact, context_chars, stopword_anti, stopword_contained, cache_keys,
+    cache_lookup, request_metrics, batch_counters, event_windows, session_preview, prompts,
+)
+
 
 def queries():
-    return {}
+    found = {name: _cleaned(fn) for name, (fn, _) in _CLEANERS.items()} | {name: _cleaned(fn) for name, fn in _UNCHECKED.items()}
+    return found | {fn.__name__: fn for fn in _PLAIN}
+
+
+_TOKENS = r"""
+    runs AS (SELECT request_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}|[\x{4e00}-\x{9fff}]+')) AS run FROM reviews),
+    grams AS (
+        SELECT request_id, run AS token FROM runs WHERE regexp_matches(run, '^[a-z]')
+        UNION ALL
+        SELECT request_id, substr(run, p::INT, n::INT) FROM (SELECT request_id, run, unnest(range(1, length(run) + 1)) AS p FROM runs WHERE NOT regexp_matches(run, '^[a-z]')), (VALUES (2), (3), (4)) AS sizes(n)
+        WHERE p + n - 1 <= length(run))
+"""
+_WORDS = r"""
+    words AS (SELECT request_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}|[\x{4e00}-\x{9fff}]{2}')) AS token, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{2,}|[\x{4e00}-\x{9fff}]{2}'), 1) AS pos FROM reviews)
+"""
+_REASON = f"""
+    listed AS (
+        SELECT o.analysis_id, o.item_id, coalesce(o.keyword, '') AS keyword, CASE WHEN isnan(o.score) THEN NULL ELSE o.score END AS score, coalesce(o.reasoning, '') AS reasoning, min(r.text) OVER (PARTITION BY o.analysis_id) AS text,
+            row_number() OVER (PARTITION BY o.analysis_id, coalesce(o.keyword, '') ORDER BY o.item_id) AS nth, o.keyword IS NULL AS missing
+        FROM once o JOIN reviews r ON o.request_id = r.request_id),
+    spanned AS (SELECT *, {o.span('keyword', 'text')} AS span FROM listed)
+"""
+_FAILS = f"""
+    CASE WHEN {o.strip('keyword')} = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN length(keyword) > 6 THEN 'too_long' WHEN {o.is_time('keyword')} THEN 'time' WHEN {o.is_date('keyword')} THEN 'date'
+        WHEN {o.is_stop('keyword')} THEN 'stopword' WHEN text <> '' AND NOT (span >= 0 AND span <= 2 * length(replace(keyword, ' ', ''))) THEN 'not_in_text' END
+"""
 
 
 def oracle_sql():
-    return {}
+    found = {name: f"SELECT request_id, {fn('text')} AS value FROM reviews" for name, (_, fn) in _CLEANERS.items() if name != "clean_punctuation"}
+    found["clean_punctuation"] = f"SELECT request_id, x AS value FROM ({o.steps('reviews', o.collapse)})"
+    c = "keyword"
+    base = "WITH " + o.BASE
+    return found | {
+        "keyword_predicates": f"""SELECT DISTINCT keyword, {o.strip(c)} <> '' AS filled, {o.is_time(c)} AS is_time, {o.is_date(c)} AS is_date, regexp_matches(keyword, '[a-zA-Z]') AS latin, {o.is_stop(c)} AS stopword,
+            {' OR '.join(f"contains(keyword, {o.q(w)})" for w in kw.STOPWORDS)} AS holds_stopword, length(keyword) <= 6 AS short FROM keyword_items WHERE keyword IS NOT NULL""",
+        "alignment_span": f"WITH once AS (SELECT DISTINCT item_id, analysis_id, request_id, product_id, keyword, reasoning, score FROM keyword_items), s AS (SELECT item_id, keyword, {o.span('keyword', 'text')} AS span FROM once JOIN reviews USING (request_id) WHERE keyword IS NOT NULL) SELECT item_id, span, span >= 0 AND span <= 2 * length(replace(keyword, ' ', '')) AS aligned FROM s",
+        "keyword_validation": f"{base}, {_REASON}, judged AS (SELECT *, {_FAILS} AS reason FROM spanned) SELECT analysis_id, coalesce(string_agg(keyword, '|' ORDER BY item_id) FILTER (reason IS NULL), '') AS kept, coalesce(string_agg(keyword || ':' || reason, '|' ORDER BY item_id) FILTER (reason IS NOT NULL), '') AS removed FROM judged GROUP BY analysis_id",
+        "keyword_top_n": f"""{base}, {_REASON}, ranked AS (SELECT *, row_number() OVER (PARTITION BY analysis_id, keyword ORDER BY coalesce(score, 0) DESC, item_id) AS copy FROM spanned),
+            good AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY coalesce(score, 0) DESC, item_id) AS place FROM ranked WHERE copy = 1 AND NOT missing AND {o.strip('keyword')} <> '' AND length(keyword) <= 6 AND NOT {o.is_time('keyword')} AND NOT {o.is_date('keyword')}
+                AND NOT {o.is_stop('keyword')} AND (text = '' OR (span >= 0 AND span <= 2 * length(replace(keyword, ' ', '')))))
+            SELECT x.analysis_id, coalesce(string_agg(g.keyword, '|' ORDER BY g.place) FILTER (g.place <= 8), '') AS keywords FROM (SELECT DISTINCT analysis_id FROM listed) x LEFT JOIN good g ON x.analysis_id = g.analysis_id GROUP BY x.analysis_id""",
+        "routing": f"SELECT request_id, CASE WHEN length(text) < 30 THEN 'fast' ELSE 'agent' END AS mode, length({o.strip('text')}) < 10 AS short_prompt, CASE WHEN length(text) < 20 THEN 2 WHEN length(text) < 60 THEN 5 WHEN length(text) < 120 THEN 8 ELSE 10 END AS minimum FROM reviews",
+        "tfidf": f"""WITH {_TOKENS}, counts AS (SELECT request_id, token, count(*) AS n FROM grams GROUP BY ALL), sized AS (SELECT *, sum(n) OVER (PARTITION BY request_id) AS total FROM counts),
+            idf AS (SELECT token, ln((SELECT count(DISTINCT request_id) FROM reviews) / count(*)) AS idf FROM counts GROUP BY token),
+            weighted AS (SELECT request_id, token, round(n / total * idf, 6) AS weight FROM sized JOIN idf USING (token))
+            SELECT request_id, token, weight, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, token) AS rank FROM weighted QUALIFY rank <= 8""",
+        "cooccurrence": f"WITH {_WORDS} SELECT a.request_id, least(a.token, b.token) AS a, greatest(a.token, b.token) AS b, count(*) AS weight FROM words a JOIN words b ON a.request_id = b.request_id AND b.pos > a.pos AND b.pos < a.pos + 5 WHERE a.token <> b.token GROUP BY ALL",
+        "reviewer_profile": f"{base} SELECT reviewer_id, count(*) AS total_reviews, count(*) FILTER (label = 'positive') AS positive_count, count(*) FILTER (label = 'negative') AS negative_count, count(*) FILTER (label = 'neutral') AS neutral_count, CASE WHEN count(*) < 5 THEN 'full' WHEN count(*) <= 20 THEN 'standard' ELSE 'delta' END AS detail FROM a WHERE reviewer_id IS NOT NULL GROUP BY reviewer_id",
+        "reviewer_keywords": f"{base} SELECT reviewer_id, keyword, count(*) AS n, min(seq) AS first_seq FROM k WHERE reviewer_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL",
+        "reviewer_tags": f"""{base}, t AS (SELECT k.reviewer_id, k.keyword, k.seq, CASE WHEN a.label = 'negative' OR k.keyword IN ({', '.join(map(o.q, profiles.NEGATIVE))}) THEN 'negative' WHEN a.label = 'positive' OR k.keyword IN ({', '.join(map(o.q, profiles.POSITIVE))}) THEN 'positive' END AS polarity FROM k LEFT JOIN a ON k.analysis_id = a.analysis_id),
+            f AS (SELECT reviewer_id, polarity, keyword, min(seq) AS s FROM t WHERE polarity IS NOT NULL AND reviewer_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL),
+            kept AS (SELECT *, row_number() OVER (PARTITION BY reviewer_id, polarity ORDER BY s DESC, keyword DESC) AS age FROM f QUALIFY age <= 50)
+            SELECT reviewer_id, polarity, keyword, row_number() OVER (PARTITION BY reviewer_id, polarity ORDER BY age DESC) AS place FROM kept""",
+        "product_keywords": f"{base} SELECT product_id, keyword, count(*) AS n, sum(coalesce(score, 0.5)::DECIMAL(18,6))::DOUBLE AS score_sum, min(seq) AS first_seq FROM k WHERE product_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL",
+        "product_top_keywords": f"""{base}, c AS (SELECT product_id, keyword, count(*) AS n, (sum(coalesce(score, 0.5)::DECIMAL(18,6)) * 1000000)::BIGINT AS s, min(seq) AS first_seq FROM k WHERE product_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL)
+            SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, first_seq, keyword) AS rank, keyword, n, ((2 * s + n * 10000) // (2 * n * 10000)) / 100 AS avg_score FROM c QUALIFY rank <= 20""",
+        "product_issues": f"""{base}, c AS (SELECT product_id, keyword, count(*) AS n, min(seq) AS first_seq FROM k WHERE product_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL),
+            r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, first_seq, keyword) AS rank FROM c QUALIFY rank <= 30),
+            s AS (SELECT *, CASE WHEN keyword IN ({', '.join(map(o.q, profiles.NEGATIVE))}) THEN 'issue' WHEN keyword IN ({', '.join(map(o.q, profiles.POSITIVE))}) THEN 'strength' END AS polarity FROM r WHERE n >= 2)
+            SELECT product_id, polarity, row_number() OVER (PARTITION BY product_id, polarity ORDER BY rank) AS place, keyword FROM s WHERE polarity IS NOT NULL QUALIFY place <= 15""",
+        "product_rates": f"{base} SELECT product_id, count(*) AS total_reviews, round(count(*) FILTER (label = 'positive') / count(*), 3) AS positive_rate, round(count(*) FILTER (label = 'negative') / count(*), 3) AS negative_rate, round(count(*) FILTER (label = 'neutral') / count(*), 3) AS neutral_rate FROM a WHERE product_id IS NOT NULL GROUP BY product_id",
+        "delta_keywords": f"{base}, f AS (SELECT reviewer_id, keyword, min(seq) AS s FROM k WHERE reviewer_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL) SELECT DISTINCT analysis_id, keyword FROM k JOIN f USING (reviewer_id, keyword) WHERE seq = s",
+        "global_summary": f"{base} SELECT count(DISTINCT reviewer_id) AS reviewers, count(DISTINCT product_id) AS products, count(reviewer_id) AS reviews FROM a",
+        "tool_sft": "SELECT session_id, seq, skill_name, response.model AS model, len(messages) + 1 AS messages, response.content AS answer FROM tool_turns WHERE type = 'tool_llm' AND len(messages) > 0 AND coalesce(response.content, '') <> ''",
+        "agent_sft": """WITH t AS (SELECT session_id, seq, CASE WHEN seq % 2 = 1 THEN messages END AS snapshot, response.content AS content, coalesce(response.finish_reason, '') <> 'stop' AS calls FROM tool_turns),
+            c AS (SELECT *, last_value(snapshot IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS context FROM t),
+            g AS (SELECT *, count(*) FILTER (NOT calls) OVER (PARTITION BY session_id) AS finals, row_number() OVER (PARTITION BY session_id ORDER BY seq DESC) AS back FROM c WHERE coalesce(content, '') <> '' AND context IS NOT NULL)
+            SELECT session_id, seq, len(context) + 1 AS messages, context[2].content AS question, content AS answer FROM g WHERE NOT calls OR (finals = 0 AND back = 1)""",
+        "tool_supervision": "SELECT session_id, skill_name AS tool_name, coalesce(list_filter(messages, lambda m: m.role = 'user')[-1].content, '') AS input, coalesce(response.content, '') AS result, response.model AS model FROM tool_turns WHERE type = 'tool_llm'",
+        "trajectory_stats": "SELECT count(DISTINCT session_id) AS sessions, count(*) FILTER (type IN ('agent_llm', 'tool_execution')) AS agent_turns, count(*) FILTER (type = 'tool_llm') AS tool_turns FROM tool_turns",
+        "skill_distribution": "SELECT coalesce(skill_name, 'unknown') AS skill, count(*) AS n FROM tool_turns GROUP BY 1",
+        "memory_compact": """WITH m AS (SELECT session_id, turn_id AS seq, CASE WHEN starts_with(skill_name, 'keyword') THEN 'tool' ELSE 'assistant' END AS role, response.content AS content FROM tool_turns),
+            n AS (SELECT *, row_number() OVER (PARTITION BY session_id, role = 'tool' ORDER BY seq DESC) AS back FROM m) SELECT session_id, seq, role, CASE WHEN role = 'tool' AND back > 2 THEN '[compacted]' ELSE content END AS content FROM n""",
+        "context_chars": "SELECT session_id, sum(length(coalesce(response.content, '')))::BIGINT AS chars, count(*) AS messages FROM tool_turns GROUP BY session_id",
+        "stopword_anti": f"WITH once AS (SELECT DISTINCT item_id, analysis_id, request_id, product_id, keyword, reasoning, score FROM keyword_items) SELECT item_id, keyword FROM once WHERE keyword IS NULL OR NOT {o.is_stop('keyword')}",
+        "stopword_contained": f"WITH once AS (SELECT DISTINCT item_id, analysis_id, request_id, product_id, keyword, reasoning, score FROM keyword_items) SELECT item_id, keyword FROM once WHERE keyword IS NOT NULL AND NOT ({' OR '.join(f'contains(keyword, {o.q(w)})' for w in kw.STOPWORDS)})",
+        "cache_keys": "SELECT md5('fast:' || text) AS cache_key, count(*) AS n, min(request_id) AS first_id FROM reviews WHERE text IS NOT NULL GROUP BY 1",
+        "cache_lookup": "WITH r AS (SELECT request_id, md5('fast:' || text) AS h FROM reviews), c AS (SELECT h, min(request_id)::VARCHAR AS first FROM r GROUP BY h HAVING count(*) > 1) SELECT request_id, first AS cached_result FROM r LEFT JOIN c USING (h)",
+        "request_metrics": f"SELECT event_type AS mode, CASE WHEN value IS NULL THEN NULL {' '.join(f'WHEN value <= {b} THEN {o.q(str(b))}' for b in lookups.LATENCY_BOUNDS)} ELSE '+Inf' END AS bucket, count(*) AS n FROM events GROUP BY ALL",
+        "batch_counters": "SELECT count(*) FILTER (error IS NULL) AS completed, count(*) FILTER (error IS NOT NULL) AS failed, round(sum(CASE WHEN isnan(elapsed_ms) THEN 0 ELSE elapsed_ms END), 3) AS elapsed_ms FROM analyses",
+        "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL",
+        "session_preview": "SELECT product_id, request_id, substr(text, 1, 30) AS preview FROM reviews WHERE product_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY request_id DESC) = 1",
+        "prompts": "SELECT request_id, replace('评论：{{text}}｜{{other}}', '{{text}}', coalesce(text, '')) AS prompt FROM reviews",
+    }
