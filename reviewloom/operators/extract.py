@@ -41,7 +41,8 @@ def tf_idf(df: DataFrame, doc: str, text: str, top_k: int = 8, idf: DataFrame |
     sized = counts.withColumn("total", F.sum("n").over(Window.partitionBy("doc")))
     if idf is None:
         documents = df.select(F.count_distinct(F.col(doc)).alias("documents"))
-        idf = counts.groupBy("token").agg(F.count("*").alias("df")).select("token", F.ln(documents.scalar() / F.col("df")).alias("idf"))
+        # Counting over ``n`` leaves this branch the same exchange as the one above, which Spark then runs once.
+        idf = counts.groupBy("token").agg(F.count_if(F.col("n") > 0).alias("df")).select("token", F.ln(documents.scalar() / F.col("df")).alias("idf"))
     weighted = sized.join(idf, "token").select("doc", "token", F.round(F.col("n") / F.col("total") * F.col("idf"), 6).alias("weight"))
     best = Window.partitionBy("doc").orderBy(F.col("weight").desc(), "token")
     ranked = weighted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clean import preprocess_result
+from ..functions.clean import preprocess_result, preprocess_tool, squeeze_space
 from ..functions.keywords import STOPWORDS, validate
 from ..operators.extract import extract
 from ..operators.models import RuleBackend, sentiment
@@ -18,11 +18,15 @@ def run_offline(df: DataFrame, key: str, text: str, method: str = "tfidf", top_k
     ``key, original_text, cleaned_text, keywords, removed, analysis_complete, sentiment, mode, error``. Without ``strict``
     stopwords aren't applied, as in the reference.
     """
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("original_text"), preprocess_result(F.col(text), strict=strict).alias("p"))
-    cleaned = rows.select("key", "original_text", "p.cleaned_text", "p.success", "p.error")
-    found = extract(cleaned.where("success"), "key", "cleaned_text", method, top_k).withColumnRenamed("doc", "key")
+    blank = F.col(text).isNull() | (squeeze_space(F.col(text)) == "")
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("original_text"), blank.alias("blank"))
+    # Blank texts are told apart before the costly cleaning, so the filter doesn't repeat it.
+    filled = rows.where(~F.col("blank")).select("key", preprocess_tool(F.col("original_text"), strict=strict).alias("cleaned_text"))
+    found = extract(filled, "key", "cleaned_text", method, top_k).withColumnRenamed("doc", "key")
     none = F.array().cast("array<struct<reasoning:string,keyword:string,score:double>>")
-    joined = cleaned.join(found, "key", "left").withColumn("v", validate(F.coalesce("keywords", none), F.col("original_text"), stopwords=STOPWORDS if strict else []))
+    cleaned = rows.select("key", "original_text", F.when(~F.col("blank"), preprocess_tool(F.col("original_text"), strict=strict)).alias("cleaned_text"), F.when(F.col("blank"), "empty text").alias("error"))
+    # Both sides are as long as the input, so they meet by shuffle, never by broadcast.
+    joined = cleaned.join(found.hint("merge"), "key", "left").withColumn("v", validate(F.coalesce("keywords", none), F.col("original_text"), stopwords=STOPWORDS if strict else []))
     return joined.select(
         F.col("key").alias(key), "original_text", "cleaned_text", F.col("v.valid_keywords").alias("keywords"), F.col("v.removed_keywords").alias("removed"), (F.size("v.valid_keywords") > 0).alias("analysis_complete"),
         F.lit(None).cast("struct<label:string,confidence:double,reasoning:string>").alias("sentiment"), F.lit("offline").alias("mode"), "error",
