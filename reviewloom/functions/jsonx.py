@@ -209,14 +209,14 @@ def repair_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 @F.pandas_udf(StructType().add("json", StringType()).add("thinking", StringType()))
 def _with_thinking(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
-        yield pd.DataFrame([extract_with_thinking(x if isinstance(x, str) else None) for x in s], columns=["json", "thinking"])
+        yield pd.DataFrame([extract_with_thinking(x if isinstance(x, str) else None) for x in s], columns=["json", "thinking"], dtype=object)
 
 
 @F.pandas_udf(SENTIMENT)
 def parse_sentiment(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for s in batches:
         found = [sentiment_of(x if isinstance(x, str) else None) or {} for x in s]
-        yield pd.DataFrame(found, columns=["label", "confidence", "reasoning"], index=range(len(found)))
+        yield pd.DataFrame(found, columns=["label", "confidence", "reasoning"], index=range(len(found)), dtype=object)
 
 
 @F.pandas_udf(StringType())

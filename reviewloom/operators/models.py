@@ -94,7 +94,7 @@ def call_model(df: DataFrame, key: str, system: str, prompt: str, make: Callable
                     if len(known) > 10_000:
                         known = {(s, p): known[s, p]}
                 rows.append((k, *known[s, p]))
-            yield pd.DataFrame(rows, columns=[key, "content", "finish_reason", "error"])
+            yield pd.DataFrame(rows, columns=[key, "content", "finish_reason", "error"]).astype({"content": object, "finish_reason": object, "error": object})
 
     return df.select(key, system, prompt).mapInPandas(run, f"{key} {kind}, content string, finish_reason string, error string")
 
@@ -120,6 +120,6 @@ def sentiment(df: DataFrame, key: str, text: str, make: Callable[[], ModelBacken
     @F.pandas_udf(SENTIMENT)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            yield pd.DataFrame([(sentiment_of(x) if isinstance(x, str) else None) or {"label": "unknown", "confidence": 0.0, "reasoning": ""} for x in s], columns=["label", "confidence", "reasoning"])
+            yield pd.DataFrame([(sentiment_of(x) if isinstance(x, str) else None) or {"label": "unknown", "confidence": 0.0, "reasoning": ""} for x in s], columns=["label", "confidence", "reasoning"], dtype=object)
 
     return answered.select(key, parse(F.col("content")).alias("sentiment"))
