@@ -107,6 +107,8 @@ def _repeated(codes: np.ndarray, text: np.ndarray, size: int, usable: np.ndarray
         h ^= h >> np.uint64(29)
     within = (text[: n - size + 1] == text[size - 1 :]) & (np.r_[0, np.cumsum(~usable)][size:] == np.r_[0, np.cumsum(~usable)][: n - size + 1])
     places = np.flatnonzero(within)
+    if not len(places):
+        return covered[:n] > 0
     h = h[places] ^ (text[places].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     order = np.argsort(h, kind="stable")
     same = np.r_[False, (h[order][1:] == h[order][:-1]) & (places[order][1:] - places[order][:-1] <= BACK) & (places[order][1:] - places[order][:-1] >= size)]
