@@ -31,7 +31,8 @@ NAME_BEFORE_EN = ("send it to", "send to", "ship to", "ship it to", "reach", "si
 # What may follow a name directly.
 NAME_FOLLOWED = "可家里|也遇到|直接|给我|给换|点个|帮忙|帮我|女士|先生|小姐|太太|老师|代签|代收|签收|收(?!到)|电话|手机|说|的(?:电话|手机|地址)"
 # Numbers announced by these belong to orders, parcels, coupons, devices and the like.
-NOT_PERSONAL = "订单|单号|运单|快递单|批次|编号|券码|券号|优惠码|兑换码|序列号|设备|条码|货号|型号|款号|流水|卡券|order|parcel|tracking|batch|serial|coupon|voucher|code|imei|s/n|model|sku|invoice|device|ticket|lot"
+NOT_PERSONAL_ZH = "订单|单号|运单|快递单|批次|编号|券码|券号|优惠码|兑换码|序列号|设备|条码|货号|型号|款号|流水|卡券"
+NOT_PERSONAL_EN = "order|parcel|tracking|batch|serial|coupon|voucher|code|imei|s/n|model|sku|invoice|device|ticket|lot"
 ID_CUES = "身份证|证件|护照|实名|申报|清关|通行证|填错一位|passport|\\bid\\b|identity|ssn|social security|customs|the form shows|licence|license"
 PHONE_CUES = "电话|手机|号码|微信|拨|打|联系|门卫|有意加|致电|call|text|phone|line|tel|reach|mobile|whatsapp|\\bat\\b|\\bor\\b"
 # Common family names, the most frequent first.
@@ -72,7 +73,7 @@ _LANDLINE = regex.compile(r"(?:0086|86)?0(?:10|2\d|[3-9]\d\d)[2-9]\d{6,7}")
 _AMERICAN = regex.compile(r"1?[2-9]\d{2}[2-9]\d{6}|1?555\d{7}")
 _SOCIAL = regex.compile(r"\d{3}[\s\-.]\d{2}[\s\-.]\d{4}|\d{9}")
 _WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
-_NOT_PERSONAL = regex.compile(rf"(?:{NOT_PERSONAL})[^\d，。！？；]{{0,10}}$", regex.I)
+_NOT_PERSONAL = regex.compile(rf"(?:{NOT_PERSONAL_ZH})[^\d，。！？；、!?,;\s]{{0,6}}[\s:：]*$|\b(?:{NOT_PERSONAL_EN})s?\b(?:\s*(?:no\.?|number|num|id|code|is|was|[#:]))*\s*$", regex.I)
 _ID_CUE = regex.compile(ID_CUES, regex.I)
 _PHONE_CUE = regex.compile(PHONE_CUES, regex.I)
 
@@ -178,7 +179,7 @@ def _mail(s: str, start: int, end: int) -> Found | None:
     left, right = _LOCAL.search(s, max(0, start - 70), start), _DOMAIN.match(s, end)
     if not left or not right:
         return None
-    if s[start:end] != "@" and not (regex.search(r"[0-9._+\-]", left[0]) or _MAIL_CUE.search(s[max(0, left.start() - 20) : left.start()])):
+    if s[start:end] == " at " and not (regex.search(r"[0-9._+\-]", left[0]) or _MAIL_CUE.search(s[max(0, left.start() - 20) : left.start()])):
         return None
     return Found("email", left.start(), right.end())
 
