@@ -70,9 +70,9 @@ def term_counts(df: DataFrame, term: str, record: str, occurrence: str | None =
         once = rows.where(F.col("occ").isNotNull()).groupBy("occ").agg(F.min(F.struct("term", "record")).alias("x"))
         rows = once.select("x.term", "x.record").unionByName(rows.where(F.col("occ").isNull()).drop("occ"))
     heavy = heavy_terms(rows)
-    slot = F.lit(None).cast("int") if not heavy else F.element_at(F.create_map(*[F.lit(x) for k, t in enumerate(heavy) for x in (t, k)]), F.col("term"))
+    slots = df.sparkSession.createDataFrame(list(zip(heavy, range(len(heavy)), strict=True)), "term string, slot int")  # at most HEAVY_SHARE rows
     words = range(max(1, -(-len(heavy) // WORD)))
-    marked = rows.where(F.col("record").isNotNull()).select("record", slot.alias("slot"))
+    marked = rows.where(F.col("record").isNotNull()).join(F.broadcast(slots), "term", "left").select("record", "slot")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col("slot"), F.lit(WORD)))
     masks = marked.groupBy("record").agg(*[F.coalesce(F.bit_or(F.when(F.floor(F.col("slot") / WORD) == w, bit)), F.lit(0).cast("bigint")).alias(f"m{w}") for w in words]).drop("record")
     by_slot = map_batches(masks, _count_bits(len(heavy)), "slot int, records bigint").groupBy("slot").agg(F.sum("records").alias("records"))
