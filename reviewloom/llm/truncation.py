@@ -158,7 +158,8 @@ class Model(NamedTuple):
 def train(df: DataFrame, text: str, contexts: int = CONTEXTS) -> Model:
     """Count what follows every context of every text.
 
-    Each task adds up its own contexts; Spark adds them over all tasks; the driver gets the ``contexts`` most frequent.
+    Each task adds up its own contexts; Spark adds them over all tasks. If more than ``contexts`` are left, the least
+    frequent ones go, by a limit that a table of counts gives (some hundred rows); nothing is sorted in one task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +176,13 @@ def train(df: DataFrame, text: str, contexts: int = CONTEXTS) -> Model:
     what = F.col("key").bitwiseAND(F.lit(3))
     rows = map_batches(texts, run, "key bigint, n bigint").groupBy((F.col("key") - what).alias("context"))
     rows = rows.agg(F.sum("n").alias("n"), F.sum(F.when(what == 1, F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(what == 2, F.col("n")).otherwise(0)).alias("pauses"))
-    kept = rows.where(F.col("n") >= LEAST_SEEN).orderBy(F.col("n").desc(), "context").limit(contexts).toArrow()
+    seen = cut_lineage(rows.where(F.col("n") >= LEAST_SEEN).withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
+    left, least = contexts, 1 << 30
+    for step, n in sorted(((r["step"], r["count"]) for r in seen.groupBy("step").count().collect()), reverse=True):
+        if n > left:
+            break
+        left, least = left - n, step
+    kept = seen.where(F.col("step") >= least).drop("step").toArrow()
     keys = kept.column("context").to_numpy()
     order = np.argsort(keys)
     counts = np.stack([np.minimum(kept.column(c).to_numpy(), 2**31 - 1).astype(np.int32) for c in ("n", "ends", "pauses")], axis=1) if len(keys) else np.zeros((0, 3), np.int32)
