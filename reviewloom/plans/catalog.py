@@ -9,25 +9,26 @@ from ..functions import clean, jsonx, timex
 from ..functions import keywords as kw
 from ..operators import extract, lookups, profiles, reflect, training
 from ..operators.models import fill_template
+from ..session import read_table
 from ..streaming import streams
 from . import oracles as o
 from . import pipeline
 
 
 def _reviews(spark, sf) -> DataFrame:
-    return spark.read.parquet(f"{sf}/reviews.parquet")
+    return read_table(spark, f"{sf}/reviews.parquet")
 
 
 def _analyses(spark, sf) -> DataFrame:
     """One row an analysis, with its request's reviewer and product."""
-    a = spark.read.parquet(f"{sf}/analyses.parquet").select("analysis_id", "request_id", F.col("analysis_id").alias("seq"), F.col("sentiment.label").alias("label"), "elapsed_ms", "error")
+    a = read_table(spark, f"{sf}/analyses.parquet").select("analysis_id", "request_id", F.col("analysis_id").alias("seq"), F.col("sentiment.label").alias("label"), "elapsed_ms", "error")
     r = _reviews(spark, sf).select("request_id", "reviewer_id", "product_id")
     return a.join(r, "request_id", "left")
 
 
 def _items(spark, sf) -> DataFrame:
     """Single deliveries of keyword rows."""
-    rows = spark.read.parquet(f"{sf}/keyword_items.parquet").select("item_id", "analysis_id", "request_id", "product_id", "keyword", "reasoning", "score")
+    rows = read_table(spark, f"{sf}/keyword_items.parquet").select("item_id", "analysis_id", "request_id", "product_id", "keyword", "reasoning", "score")
     return rows.distinct()
 
 
@@ -37,7 +38,7 @@ def _keywords(spark, sf) -> DataFrame:
 
 
 def _turns(spark, sf) -> DataFrame:
-    return spark.read.parquet(f"{sf}/tool_turns.parquet")
+    return read_table(spark, f"{sf}/tool_turns.parquet")
 
 
 def _cleaned(fn):
@@ -76,7 +77,7 @@ def preprocess_tool(spark, sf):
 
 
 def keyword_predicates(spark, sf):
-    words = spark.read.parquet(f"{sf}/keyword_items.parquet").select("keyword").where(F.col("keyword").isNotNull()).distinct()
+    words = read_table(spark, f"{sf}/keyword_items.parquet").select("keyword").where(F.col("keyword").isNotNull()).distinct()
     c = F.col("keyword")
     return words.select(
         "keyword", kw.is_filled(c).alias("filled"), kw.is_time_keyword(c).alias("is_time"), kw.is_date_keyword(c).alias("is_date"), kw.has_latin(c).alias("latin"), kw.is_stopword(c).alias("stopword"), kw.contains_stopword(c).alias("holds_stopword"), (F.length(c) <= kw.MAX_LENGTH).alias("short")
@@ -271,7 +272,7 @@ def request_metrics(spark, sf):
 
 
 def batch_counters(spark, sf):
-    return lookups.batch_counters(spark.read.parquet(f"{sf}/analyses.parquet").select("error", F.nanvl("elapsed_ms", F.lit(0.0)).alias("elapsed_ms")))
+    return lookups.batch_counters(read_table(spark, f"{sf}/analyses.parquet").select("error", F.nanvl("elapsed_ms", F.lit(0.0)).alias("elapsed_ms")))
 
 
 def event_windows(spark, sf):

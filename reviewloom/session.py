@@ -46,3 +46,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder, so that what follows survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, spread over the cores where it lies in so few pieces that more than half of them would idle.
+
+    A table of many files or row groups is read as it lies, without a shuffle.
+    """
+    table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() * 2 <= cores else table
