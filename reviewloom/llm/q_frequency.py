@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import read_table
 from .frequency import map_key_counts, term_counts, with_mark
 
 
 def _marked(spark, sf, occurrence):
-    items = spark.read.parquet(f"{sf}/keyword_items.parquet")
-    profiles = spark.read.parquet(f"{sf}/product_profiles.parquet")
+    items = read_table(spark, f"{sf}/keyword_items.parquet")
+    profiles = read_table(spark, f"{sf}/product_profiles.parquet")
     parts = (("keyword", term_counts(items, "keyword", "analysis_id", occurrence)), ("keyword_counts", map_key_counts(profiles, "keyword_counts")))
     tables = [with_mark(*x).select(F.lit(name).alias("field_name"), F.col("term").alias("keyword"), "occurrences", "records", "mark") for name, x in parts]
     return tables[0].unionByName(tables[1])

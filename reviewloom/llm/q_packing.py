@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, read_table
 from .mixing import mix, share_report
 from .packing import fill_report, pack
 from .tokens import token_counts
@@ -23,7 +23,7 @@ def _targets(spark, sf):
 
 def _packed(spark, sf):
     specs = _specs(spark, sf)
-    sizes = cut_lineage(token_counts(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id", "text"))
+    sizes = cut_lineage(token_counts(read_table(spark, f"{sf}/documents.parquet"), "doc_id", "text"))
     return pack(sizes, "record_id", "tokens", specs), specs
 
 
@@ -38,7 +38,7 @@ def p8_fill(spark, sf):
 
 def _mixed(spark, sf):
     table, targets = _targets(spark, sf)
-    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    documents = read_table(spark, f"{sf}/documents.parquet")
     listed = documents.where(F.col("source").isin([s for s, *_ in targets]))
     sizes = cut_lineage(token_counts(listed, "doc_id", "text", source="source"))
     return mix(sizes, targets), table

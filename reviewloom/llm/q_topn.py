@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from ..session import read_table
 from .topn import top_n
 
 
 def p6_found(spark, sf):
-    items = spark.read.parquet(f"{sf}/keyword_items.parquet")
+    items = read_table(spark, f"{sf}/keyword_items.parquet")
     return top_n(items, "product_id", "item_id", "score", n=5).select("product_id", "item_id")
 
 
