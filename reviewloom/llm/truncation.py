@@ -189,6 +189,8 @@ def train(df: DataFrame, text: str, contexts: int = CONTEXTS) -> Model:
     return Model(keys[order], counts[order])
 
 
+#: Prior log-odds of a cut for a text just as long as its source allows.
+AT_LIMIT = 6.0
 #: The least log-odds for a cut, by the alphabet of the value's last letter. Writers often leave out the last full stop
 #: and models hardly ever do, so a column of answers takes the second.
 THRESHOLDS = {"han": 2.5, "alphabet": 2.5}
@@ -213,7 +215,7 @@ def log_odds(text: str, model: Model, at_limit: bool = False) -> float:
     opened = open_structure(text)
     if opened in ("object", "fence", "opener"):
         return 9.0
-    prior = 4.0 if at_limit else 0.0
+    prior = AT_LIMIT if at_limit else 0.0
     if tail[-1] == "…" and (m := _SINGLE_ELLIPSIS.search(tail)):
         tail, prior = tail[: m.start()], prior + 3.0
         if is_shell(tail):
@@ -236,10 +238,15 @@ def script_of(text: str) -> str:
     return "han" if letters and regex.match(r"\p{Han}", letters[-1]) else "alphabet"
 
 
-def limits(df: DataFrame, text: str, source: str | Column) -> DataFrame:
-    """``source, limit``: sources whose longest length is held by far more texts than the lengths just below it."""
-    rows = pick(df, text=text, source=source).where(F.col("text").isNotNull()).select("source", F.length("text").alias("size"))
-    sizes = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
+def limits(df: DataFrame, text: str, source: str | Column, in_bytes: bool = False) -> DataFrame:
+    """``source, limit``: sources whose longest length is held by far more texts than the lengths just below it.
+
+    Lengths are of characters or of bytes; for bytes, texts with a broken character are left out, as it is longer than what it replaced.
+    """
+    rows = pick(df, text=text, source=source).where(F.col("text").isNotNull())
+    if in_bytes:
+        rows = rows.where(~F.col("text").contains("\ufffd"))
+    sizes = rows.groupBy("source", (F.octet_length("text") if in_bytes else F.length("text")).alias("size")).agg(F.count("*").alias("n"))
     longest = sizes.groupBy("source").agg(F.max(F.struct("size", "n")).alias("top"))
     near = sizes.join(longest, "source").where((F.col("size") < F.col("top.size")) & (F.col("size") >= F.col("top.size") * 0.8))
     below = near.groupBy("source").agg((F.sum("n") / F.max(F.col("top.size") * 0.2)).alias("usual"))
@@ -256,10 +263,11 @@ def cut_values(df: DataFrame, record: str, text: str, source: str | Column, thre
     spark, limit_by = df.sparkSession, thresholds or THRESHOLDS
     shared = spark.sparkContext.broadcast(train(df, text, contexts))
     rows = pick(df, record_id=record, text=text, source=source).where(F.col("record_id").isNotNull())
-    known = cut_lineage(limits(df, text, source))
+    known = cut_lineage(limits(df, text, source).join(limits(df, text, source, True).withColumnRenamed("limit", "bytes"), "source", "full"))
     if known.count() <= MAX_BROADCAST_SOURCES:
         known = F.broadcast(known)
-    marked = rows.join(known, "source", "left").select("record_id", "source", "text", F.coalesce(F.length("text") >= F.col("limit"), F.lit(False)).alias("at_limit"))
+    full = F.coalesce(F.length("text") >= F.col("limit"), F.lit(False)) | F.coalesce(F.octet_length("text") >= F.col("bytes"), F.lit(False))
+    marked = rows.join(known, "source", "left").select("record_id", "source", "text", full.alias("at_limit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
