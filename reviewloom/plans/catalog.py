@@ -346,6 +346,16 @@ def oracle_sql():
             weighted AS (SELECT request_id, token, round(n / total * idf, 6) AS weight FROM sized JOIN idf USING (token))
             SELECT request_id, token, weight, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, token) AS rank FROM weighted QUALIFY rank <= 8""",
         "cooccurrence": f"WITH {_WORDS} SELECT a.request_id, least(a.token, b.token) AS a, greatest(a.token, b.token) AS b, count(*) AS weight FROM words a JOIN words b ON a.request_id = b.request_id AND b.pos > a.pos AND b.pos < a.pos + 5 WHERE a.token <> b.token GROUP BY ALL",
+        "lexicon_keywords": r"""WITH runs AS (SELECT request_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}|[\x{4e00}-\x{9fff}]+')) AS run, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{2,}|[\x{4e00}-\x{9fff}]+'), 1) AS i FROM reviews),
+            grams AS (SELECT request_id, i, 0 AS p, 0 AS n, run AS token FROM runs WHERE regexp_matches(run, '^[a-z]')
+                UNION ALL SELECT request_id, i, p, n, substr(run, p::INT, n::INT) FROM (SELECT request_id, i, run, unnest(range(1, length(run) + 1)) AS p FROM runs WHERE NOT regexp_matches(run, '^[a-z]')), (VALUES (2), (3), (4)) AS sizes(n) WHERE p + n - 1 <= length(run)),
+            lexicon AS (SELECT DISTINCT w AS token FROM (SELECT unnest(map_keys(keyword_counts)) AS w FROM product_profiles) WHERE length(w) = 2),
+            found AS (SELECT request_id, token, min(i * 100000 + p * 10 + n) AS place FROM grams SEMI JOIN lexicon USING (token) GROUP BY ALL)
+            SELECT request_id, token, row_number() OVER (PARTITION BY request_id ORDER BY place, token) AS rank FROM found QUALIFY rank <= 20""",
+        "keyword_reflection": f"""{base}, listed AS (SELECT o.analysis_id, o.item_id, o.keyword, CASE WHEN isnan(o.score) THEN NULL ELSE o.score END AS score, min(length(r.text)) OVER (PARTITION BY o.analysis_id) AS size FROM once o JOIN reviews r ON o.request_id = r.request_id),
+            kept AS (SELECT *, coalesce(score, 1.0) >= 0.7 AS high, CASE WHEN size < 20 THEN 2 WHEN size < 60 THEN 5 WHEN size < 120 THEN 8 ELSE 10 END AS least FROM listed),
+            counted AS (SELECT *, count(*) FILTER (high AND keyword IS NOT NULL) OVER (PARTITION BY analysis_id) AS n, count(*) FILTER (high) OVER (PARTITION BY analysis_id) AS every FROM kept)
+            SELECT analysis_id, coalesce(string_agg(keyword, '|' ORDER BY CASE WHEN n >= least THEN 0 ELSE -coalesce(score, 0) END, item_id) FILTER (high AND keyword IS NOT NULL), '') AS keywords, min(every) < min(least) AS needs_model FROM counted GROUP BY analysis_id""",
         "reviewer_profile": f"{base} SELECT reviewer_id, count(*) AS total_reviews, count(*) FILTER (label = 'positive') AS positive_count, count(*) FILTER (label = 'negative') AS negative_count, count(*) FILTER (label = 'neutral') AS neutral_count, CASE WHEN count(*) < 5 THEN 'full' WHEN count(*) <= 20 THEN 'standard' ELSE 'delta' END AS detail FROM a WHERE reviewer_id IS NOT NULL GROUP BY reviewer_id",
         "reviewer_keywords": f"{base} SELECT reviewer_id, keyword, count(*) AS n, min(seq) AS first_seq FROM k WHERE reviewer_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL",
         "reviewer_tags": f"""{base}, t AS (SELECT k.reviewer_id, k.keyword, k.seq, CASE WHEN a.label = 'negative' OR k.keyword IN ({', '.join(map(o.q, profiles.NEGATIVE))}) THEN 'negative' WHEN a.label = 'positive' OR k.keyword IN ({', '.join(map(o.q, profiles.POSITIVE))}) THEN 'positive' END AS polarity FROM k LEFT JOIN a ON k.analysis_id = a.analysis_id),
