@@ -95,10 +95,12 @@ def alignment_span(spark, sf):
 
 def _lists(spark, sf):
     """Keyword lists of analyses, in the order of their items; an analysis has a handful."""
-    rows = _with_text(spark, sf).withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+    rows = _items(spark, sf).withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
     item = F.struct("item_id", F.coalesce("reasoning", F.lit("")).alias("reasoning"), "keyword", "score")
-    grouped = rows.groupBy("analysis_id").agg(F.array_sort(F.collect_list(item)).alias("k"), F.min("text").alias("text"))
-    return grouped.select("analysis_id", "text", F.transform("k", lambda k: F.struct(k["reasoning"].alias("reasoning"), k["keyword"].alias("keyword"), k["score"].alias("score"))).alias("keywords"))
+    # Texts join the grouped lists, so that no keyword row carries its text through a shuffle.
+    grouped = rows.groupBy("analysis_id").agg(F.array_sort(F.collect_list(item)).alias("k"), F.min("request_id").alias("request_id"))
+    texts = _reviews(spark, sf).select("request_id", "text")
+    return grouped.join(texts, "request_id").select("analysis_id", "text", F.transform("k", lambda k: F.struct(k["reasoning"].alias("reasoning"), k["keyword"].alias("keyword"), k["score"].alias("score"))).alias("keywords"))
 
 
 def _joined(c):
