@@ -9,7 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 SHORTEST, LONGEST = 2, 4
+#: Tokens whose frequencies are broadcast, at some 40 bytes each: 40 MB.
+MAX_VOCABULARY = 1_000_000
 # Part-of-speech tags of nouns, adjectives and verbs.
 NOUNS, ADJECTIVES, VERBS = ("n", "nr", "ns", "nt", "nz", "vn", "an"), ("a", "ad"), ("v", "vd", "vn")
 
@@ -35,15 +39,20 @@ def tf_idf(df: DataFrame, doc: str, text: str, top_k: int = 8, idf: DataFrame |
     """``doc, token, weight, score, rank``: the ``top_k`` tokens of each text by term frequency times inverse document frequency.
 
     Inverse document frequencies come from ``idf`` (``token, idf``) or from the corpus, as ln(texts / texts with it).
-    Equal weights go by token. Counts are combined before each shuffle; tokens are joined to their frequencies by shuffle.
+    Equal weights go by token.
+
+    Texts are placed by key once, before they are split, so that counting and ranking need no shuffle of tokens. The
+    frequencies are broadcast up to ``MAX_VOCABULARY`` tokens, counted first; a larger table is joined by shuffle.
     """
-    counts = exploded_tokens(df, doc, text).groupBy("doc", "token").agg(F.count("*").alias("n"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.select(F.col(doc), F.col(text)).repartition(parts, F.col(doc))
+    counts = exploded_tokens(placed, doc, text).groupBy("doc", "token").agg(F.count("*").alias("n"))
     sized = counts.withColumn("total", F.sum("n").over(Window.partitionBy("doc")))
     if idf is None:
         documents = df.select(F.count_distinct(F.col(doc)).alias("documents"))
-        # Counting over ``n`` leaves this branch the same exchange as the one above, which Spark then runs once.
-        idf = counts.groupBy("token").agg(F.count_if(F.col("n") > 0).alias("df")).select("token", F.ln(documents.scalar() / F.col("df")).alias("idf"))
-    weighted = sized.join(idf, "token").select("doc", "token", F.round(F.col("n") / F.col("total") * F.col("idf"), 6).alias("weight"))
+        idf = counts.groupBy("token").agg(F.count("*").alias("df")).select("token", F.ln(documents.scalar() / F.col("df")).alias("idf"))
+    idf = cut_lineage(idf.select("token", "idf"))
+    weighted = sized.join(F.broadcast(idf) if idf.count() <= MAX_VOCABULARY else idf, "token").select("doc", "token", F.round(F.col("n") / F.col("total") * F.col("idf"), 6).alias("weight"))
     best = Window.partitionBy("doc").orderBy(F.col("weight").desc(), "token")
     ranked = weighted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
     return ranked.withColumn("score", F.least(F.round(F.col("weight") * 2, 6), F.lit(1.0)))
