@@ -30,6 +30,13 @@ def tokens_of(text: Column) -> Column:
     return F.flatten(F.transform(runs, grams))
 
 
+def bag_of(text: Column) -> Column:
+    """The same tokens without their order: overlapping n-grams by a look-ahead, one scan for each length."""
+    low = F.lower(text)
+    grams = [F.regexp_extract_all(low, F.lit(rf"(?=([\x{{4e00}}-\x{{9fff}}]{{{n}}}))"), F.lit(1)) for n in range(SHORTEST, LONGEST + 1)]
+    return F.concat(F.regexp_extract_all(low, F.lit("[a-z]{2,}"), F.lit(0)), *grams)
+
+
 def exploded_tokens(df: DataFrame, doc: str, text: str) -> DataFrame:
     """``doc, pos, token``; texts without tokens give no rows."""
     return df.select(F.col(doc).alias("doc"), F.posexplode(tokens_of(F.col(text))).alias("pos", "token"))
@@ -46,7 +53,7 @@ def tf_idf(df: DataFrame, doc: str, text: str, top_k: int = 8, idf: DataFrame |
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.select(F.col(doc), F.col(text)).repartition(parts, F.col(doc))
-    counts = exploded_tokens(placed, doc, text).groupBy("doc", "token").agg(F.count("*").alias("n"))
+    counts = placed.select(F.col(doc).alias("doc"), F.explode(bag_of(F.col(text))).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("n"))
     sized = counts.withColumn("total", F.sum("n").over(Window.partitionBy("doc")))
     if idf is None:
         documents = df.select(F.count_distinct(F.col(doc)).alias("documents"))

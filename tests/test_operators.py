@@ -15,6 +15,11 @@ def test_tokens(apply):
     assert apply(extract.tokens_of, "Good 质量好", "", None) == [["good", "质量", "质量好", "量好"], [], None]
 
 
+def test_bag_holds_the_same_tokens(apply):
+    texts = ["Good 质量好呀x质", "", "abc好def一二三四五六 一", "很"]
+    assert [sorted(t) for t in apply(extract.bag_of, *texts)] == [sorted(t) for t in apply(extract.tokens_of, *texts)]
+
+
 def test_tf_idf_by_hand(spark):
     df = spark.createDataFrame([(1, "ab cd ab"), (2, "cd"), (3, "")], "id int, text string")
     got = {(r["doc"], r["token"]): r["weight"] for r in extract.tf_idf(df, "id", "text").collect()}
