@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,3 +56,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     """
     table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
     return table.repartition(cores) if table.rdd.getNumPartitions() * 2 <= cores else table
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once a context, so that Python workers find it wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_reviewloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="reviewloom-"), "reviewloom"), "zip", root, "reviewloom")
+    context.addPyFile(archive)
+    context._reviewloom_shipped = True
