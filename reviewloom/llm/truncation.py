@@ -203,8 +203,8 @@ def log_odds(text: str, model: Model, at_limit: bool = False) -> float:
     Marks left by a cut, a broken character and open mark-up decide by themselves; a final full stop, closing quotation
     or picture says that it ends. Else the continuation likelihood of the final context is held against that of an end.
     """
-    if text[-1:] in _FULL_STOPS and "{" not in text and "`" not in text:
-        return -9.0  # whether it holds anything or not; nearly all values end here
+    if text[-1:] in _FULL_STOPS and not any(c in text for c in "{[`"):
+        return -9.0  # whether it holds anything or not, as nothing can be open; nearly all values end here
     if is_shell(text):
         return -9.0
     tail = text[-60:].rstrip(_BLANKS)

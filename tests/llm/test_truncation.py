@@ -68,3 +68,11 @@ def test_structure():
     assert open_structure("1. 好\n2.") == "list" and open_structure("<b>好") == "tag" and open_structure("看[1]和(2)") is None
     assert all(map(is_shell, [None, "", " 　​", "{}", '""', "null", "```json\n```", '{"keywords": []}', "。", '{"a": [null, ""]}', "<p></p>"]))
     assert not any(map(is_shell, ["好", "{bad", '{"a": 0}', "nullable", "5"]))
+
+
+def test_lists_cut_after_a_full_stop():
+    empty = tr.Model(tr.np.zeros(0, tr.np.int64), tr.np.zeros((0, 3), tr.np.int32))
+    for text in ('["好用。', '[["原文说物流快。', '结果：["好用。', '结果\n["Good.", "Fast.'):
+        assert tr.log_odds(text, empty) == 9.0, text
+    for text in ('["好用。"]', '结果：["好用。"]。', "见[1]。", "【好评】不错。"):
+        assert tr.log_odds(text, empty) == -9.0, text
