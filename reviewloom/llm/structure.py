@@ -9,8 +9,17 @@ import regex
 _PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "《": "》", "“": "”", "<": ">"}
 _FENCE = regex.compile(r"```[^\n`]*")
 _OBJECT = regex.compile(r"[{\[]")
-_TAG = regex.compile(r"<(/?)([A-Za-z][\w-]*)[^<>]*?(/?)>")
-_VOID = {"br", "hr", "img", "input", "meta", "link", "p", "li"}
+_TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9-]*)(?:\s[^<>]*?)?(/?)>")
+#: HTML elements that must be closed. Others, as <answer>, count where they begin a line in small letters; so <PHONE>,
+#: <me@example.com> and List<String> don't.
+_ELEMENTS = frozenset(
+    "a abbr address article aside audio b bdi bdo blockquote button canvas caption cite code data details dfn dialog div dl em fieldset figcaption figure "
+    "footer form h1 h2 h3 h4 h5 h6 header i iframe ins kbd label legend main map mark math menu nav object ol output picture pre q s samp script section "
+    "select small span strong style sub summary sup svg table template textarea time title u ul var video".split()
+)
+#: Elements without an end, or whose end may be left out.
+_VOID = frozenset("area base body br col colgroup dd dt embed head hr html img input li link meta option optgroup p param rp rt source tbody td tfoot th thead tr track wbr".split())
+_INLINE_CODE = regex.compile(r"`[^`\n]*`")
 _MARKUP = regex.compile(r"[`{\[<\n]")
 _EMPTY_WORDS = {"", "null", "none", "nil", "undefined", "n/a", "na", "nan"}
 _UNSEEN = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cc}\p{Zs}\s]+")
@@ -50,17 +59,22 @@ def open_structure(text: str) -> str | None:
     s = text.rstrip()
     if not _MARKUP.search(s):
         return "opener" if s and s[-1] in _PAIRS else None
-    k, fence = 0, False
+    k, fence, since, prose = 0, False, 0, []  # prose: what lies outside fences and values, from ``since`` on
     while k < len(s):
         if m := _FENCE.match(s, k):
+            if not fence:
+                prose.append(s[since:k])
             fence = not fence
-            k = m.end()
+            k = since = m.end()
             continue
         before = s[:k].rstrip(" \t")
         if s[k] in "{[" and (not before or before[-1] in "\n`:：") and (s[k] == "{" or regex.match(r'\[\s*(?:["\[{]|$)', s[k:])):
             end = _skip_value(s, k)
             if end is None:
                 return "object"
+            if not fence:
+                prose.append(s[since:k])
+                since = end
             k = end
             continue
         nexts = [x for x in (s.find("{", k + 1), s.find("[", k + 1), s.find("```", k + 1)) if x > 0]
@@ -71,15 +85,19 @@ def open_structure(text: str) -> str | None:
         return "opener"
     if _LIST_END.search(text.rstrip(" ")) and "\n" in text.strip():
         return "list"
+    if "<" not in s:
+        return None
     depth: list[str] = []
-    for m in _TAG.finditer(s):
+    marked = _INLINE_CODE.sub(" ", " ".join([*prose, s[since:]]))
+    for m in _TAG.finditer(marked):
         name = m[2].lower()
         if m[3] or name in _VOID:
             continue
-        if not m[1]:
+        if m[1]:
+            if name in depth:
+                del depth[len(depth) - 1 - depth[::-1].index(name) :]
+        elif name in _ELEMENTS or (m[2].islower() and marked[: m.start()].rpartition("\n")[2].strip() == ""):
             depth.append(name)
-        elif name in depth:
-            del depth[depth.index(name) :]
     return "tag" if depth else None
 
 

@@ -203,7 +203,7 @@ def log_odds(text: str, model: Model, at_limit: bool = False) -> float:
     Marks left by a cut, a broken character and open mark-up decide by themselves; a final full stop, closing quotation
     or picture says that it ends. Else the continuation likelihood of the final context is held against that of an end.
     """
-    if text[-1:] in _FULL_STOPS and not any(c in text for c in "{[`"):
+    if text[-1:] in _FULL_STOPS and not any(c in text for c in "{[`<") and not (text[-2:-1].isdigit() and "\n" in text):
         return -9.0  # whether it holds anything or not, as nothing can be open; nearly all values end here
     if is_shell(text):
         return -9.0
@@ -212,8 +212,7 @@ def log_odds(text: str, model: Model, at_limit: bool = False) -> float:
         return 9.0
     if not _MARKS.isdisjoint(tail[-24:]) and _CUT_MARK.search(tail):
         return 9.0
-    opened = open_structure(text)
-    if opened in ("object", "fence", "opener"):
+    if open_structure(text):
         return 9.0
     prior = AT_LIMIT if at_limit else 0.0
     if tail[-1] == "…" and (m := _SINGLE_ELLIPSIS.search(tail)):

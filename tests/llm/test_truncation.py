@@ -76,3 +76,11 @@ def test_lists_cut_after_a_full_stop():
         assert tr.log_odds(text, empty) == 9.0, text
     for text in ('["好用。"]', '结果：["好用。"]。', "见[1]。", "【好评】不错。"):
         assert tr.log_odds(text, empty) == -9.0, text
+
+
+def test_open_list_items_and_tags_are_cuts():
+    empty = tr.Model(tr.np.zeros(0, tr.np.int64), tr.np.zeros((0, 3), tr.np.int32))
+    for text in ("要点：\n1. 好。\n2. 快。\n3.", "1. 好。\n2)", "- 好。\n-", "<b>好用。", "<div><div>好。</div>", "<answer>\n好。", '<span class="x">（好）', "<ul><li>好。</ul><b>快。"):
+        assert tr.log_odds(text, empty) == 9.0, text
+    for text in ("1. 好。\n2. 快。", "一共\n花了 3.", "<b>好</b>用。", "<p>好。", "<ul><li>好。</ul>快。", "电话 <PHONE>。", "写信给 <me@example.com>。", "用 List<String> 存。", "```\n<div>\n```\n好。", "写 `<b>` 就行。", '{"a": "<b>"}', "3 < 5。"):
+        assert tr.log_odds(text, empty) == -9.0, text
