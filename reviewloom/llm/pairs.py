@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .columns import at, map_batches
 from .lookalike import consistent_form
 from .structure import is_shell
-from .truncation import ANSWER_THRESHOLDS, CONTEXTS, Model, log_odds, script_of, train
+from .truncation import ANSWER_THRESHOLDS, CONTEXTS, SETTLED, Model, log_odds, script_of, settle_all, settled
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "language")
 
@@ -148,20 +148,24 @@ def written_in(answer: str) -> str | None:
     return best
 
 
-def defect_of(system: str, question: str, answer: str | None, model: Model, thresholds: dict[str, float]) -> str | None:
-    """The one defect of an answer, the first that applies in the order of ``DEFECTS``; None for a good answer."""
+def defects_beside_cuts(system: str, question: str, answer: str | None) -> tuple[str | None, str | None]:
+    """The defect that goes before a cut, and the one that counts if the answer isn't cut."""
     if is_shell(answer):
-        return "empty"
+        return "empty", None
     if refuses(answer):
-        return "refusal"
+        return "refusal", None
     if question and gives_back(question, answer):
-        return "copy"
-    if log_odds(answer, model) > thresholds[script_of(answer)]:
-        return "truncated"
+        return "copy", None
     found = written_in(answer)
-    if found and found != called_for(system, question):
-        return "language"
-    return None
+    return None, "language" if found and found != called_for(system, question) else None
+
+
+def defect_of(system: str, question: str, answer: str | None, model: Model, thresholds: dict[str, float]) -> str | None:
+    """The one defect of an answer, the first that applies in the order of ``DEFECTS``; None for a good answer."""
+    before, after = defects_beside_cuts(system, question, answer)
+    if before:
+        return before
+    return "truncated" if log_odds(answer, model) > thresholds[script_of(answer)] else after
 
 
 def defective_pairs(df: DataFrame, turn: str = "turn_id", messages: str = "messages", response: str = "response", thresholds: dict[str, float] | None = None, contexts: int = CONTEXTS) -> DataFrame:
@@ -169,7 +173,7 @@ def defective_pairs(df: DataFrame, turn: str = "turn_id", messages: str = "messa
 
     Null responses, contents and messages are allowed: a null or blank answer is ``empty``; without a question an answer
     can't be a ``copy``. The last user message is the question, the first system message the instruction. What the finish
-    reason says isn't read. A repeated turn is judged again. One Arrow hop after the n-gram counts; no shuffle of texts.
+    reason says isn't read. A repeated turn is judged again. One Arrow hop besides the n-gram counts; no shuffle of texts.
     """
     rows = df.select(
         at(df, turn).alias("turn_id"),
@@ -177,17 +181,19 @@ def defective_pairs(df: DataFrame, turn: str = "turn_id", messages: str = "messa
         F.coalesce(_content(at(df, messages), "user", -1), F.lit("")).alias("question"),
         at(df, response)["content"].alias("answer"),
     ).where(F.col("turn_id").isNotNull())
-    shared = df.sparkSession.sparkContext.broadcast(train(rows, "answer", contexts))
     limit_by = thresholds or ANSWER_THRESHOLDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            found = [defect_of(s, q, a, model, limit_by) for s, q, a in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
-            bad = pa.array([f is not None for f in found], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(bad), pa.array([f for f in found if f], pa.string())], ["turn_id", "defect"])
-
-    return map_batches(rows, run, "turn_id bigint, defect string")
+            systems, questions, answers = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            found = [defects_beside_cuts(s, q, a) for s, q, a in zip(systems, questions, answers, strict=True)]
+            cuts = settle_all([None if f[0] else a for f, a in zip(found, answers, strict=True)], [False] * len(found), limit_by)
+            named = [pa.array([f[k] for f in found], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *named, *cuts], ["turn_id", "before", "after", "odds", "tail", "prior", "least"])
+
+    judged = settled(map_batches(rows, run, f"turn_id bigint, before string, after string, {SETTLED}"), rows.select(F.col("answer").alias("text")), contexts)
+    defect = F.coalesce("before", F.when(F.col("cut"), "truncated"), "after")
+    return judged.select("turn_id", defect.alias("defect")).where(F.col("defect").isNotNull())
 
 
 def _content(messages, role: str, place: int):

@@ -19,11 +19,14 @@ from .structure import is_shell, open_structure
 
 #: Lengths of the contexts, in characters before the position.
 ORDERS = (1, 2, 3, 4, 6, 9)
-#: The model keeps the most frequent contexts, at most so many, at 20 bytes each: 40 MB, whatever the corpus.
+#: Up to so many contexts of open ends are sent to the tasks that count, 16 MB; beyond it they count all and the ends are joined.
 CONTEXTS = 2_000_000
-#: Contexts seen less often than this in all, and longer ones seen once or twice in a partition, say no more than shorter ones.
+#: Up to so many open ends and their contexts are broadcast to be looked up; beyond it the same comes by shuffle.
+MAX_BROADCAST_ENDS = 500_000
+#: Contexts seen less often than this in all say no more than shorter ones.
 LEAST_SEEN = 4
-LEAST_LOCAL = {1: 1, 2: 1, 3: 1, 4: 2, 6: 3, 9: 3}
+#: A task adds up so many counters before it sends them.
+LOCAL_COUNTERS = 1 << 21
 
 #: Sources whose limits are broadcast; each is one short row.
 MAX_BROADCAST_SOURCES = 100_000
@@ -101,10 +104,30 @@ _KINDS[0x1F000:0x1FB00] = 1
 _KINDS[ord(" ")] = 3
 
 
-def count_contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+class Wanted:
+    """A set of contexts to count, with a table of bits that tells most others apart at once."""
+
+    def __init__(self, contexts: np.ndarray) -> None:
+        self.contexts = np.sort(contexts)
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[self._place(contexts)] = True
+
+    def _place(self, contexts: np.ndarray) -> np.ndarray:
+        return (contexts >> 5) & (len(self.bits) - 1)
+
+    def holds(self, contexts: np.ndarray) -> np.ndarray:
+        found = self.bits[self._place(contexts)]
+        some = contexts[found]
+        if len(some):
+            at = np.minimum(np.searchsorted(self.contexts, some), len(self.contexts) - 1)
+            found[found] = self.contexts[at] == some
+        return found
+
+
+def count_contexts(texts: list[str], wanted: Wanted | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``(keys, counts)``: how often each context is followed by a letter (key + 0), an end (+ 1) or a pause (+ 2).
 
-    Every position counts but the last of each text.
+    Every position counts but the last of each text; with ``wanted``, contexts outside of it are left out.
     """
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     for start in range(0, len(texts), 4000):
@@ -121,17 +144,24 @@ def count_contexts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         usable = (kinds == 0) & (codes > 3) & ~last
         for place, order in enumerate(ORDERS):
             at = usable & (since >= order)
-            parts.append(np.unique(_hashes(codes, place)[at] | following[at], return_counts=True))
+            keys, after = _hashes(codes, place)[at], following[at]
+            if wanted is not None:
+                held = wanted.holds(keys)
+                keys, after = keys[held], after[held]
+            parts.append(np.unique(keys | after, return_counts=True))
     if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return _summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
 
-def _worth_sending(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Which keys a task sends: all of the short contexts, the longer ones if it saw them more than once or twice."""
-    contexts, totals = _summed(keys >> 2, counts)
-    total = totals[np.searchsorted(contexts, keys >> 2)]
-    return total >= np.array([LEAST_LOCAL[o] for o in ORDERS])[(keys >> 2) & 7]
+def end_contexts(tails: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(tail, place, context)``: the contexts at the end of each text, by its number and the place in ``ORDERS``."""
+    sizes = np.array([len(t) for t in tails], np.int64)
+    codes = np.frombuffer("".join(f"\x00{t}" for t in tails).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    last = np.cumsum(sizes + 1) - 1
+    parts = [(at, np.full(len(at), place, np.int32), _hashes(codes, place)[last[at]]) for place, order in enumerate(ORDERS) for at in [np.flatnonzero(sizes >= order)]]
+    tail, places, contexts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return tail, places, contexts
 
 
 class Model(NamedTuple):
@@ -155,38 +185,35 @@ class Model(NamedTuple):
         return end, pause
 
 
-def train(df: DataFrame, text: str, contexts: int = CONTEXTS) -> Model:
-    """Count what follows every context of every text.
+def count_following(texts: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """``context, n, ends, pauses`` of a table of ``text``: what follows the contexts, all of them or the wanted ones.
 
-    Each task adds up its own contexts; Spark adds them over all tasks. If more than ``contexts`` are left, the least
-    frequent ones go, by a limit that a table of counts gives (some hundred rows); nothing is sorted in one task.
+    Each task adds up its own contexts and sends all of them; Spark adds them over all tasks, and only then do contexts
+    seen less than ``LEAST_SEEN`` times go. So the counts are the same however the rows lie.
     """
+    shared = None if wanted is None else texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None if shared is None else Wanted(shared.value)
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(counts[at : at + (1 << 16)])], ["key", "n"])
+
         for batch in batches:
-            more = count_contexts([plain(t) for t in batch.column(0).to_pylist()])
+            more = count_contexts([plain(t) for t in batch.column(0).to_pylist()], known)
             keys, counts = _summed(np.r_[keys, more[0]], np.r_[counts, more[1]])
-        sent = _worth_sending(keys, counts)
-        keys, counts = keys[sent], counts[sent]
-        for at in range(0, len(keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), pa.array(counts[at : at + (1 << 16)])], ["key", "n"])
+            if len(keys) > LOCAL_COUNTERS:
+                yield from sent()
+                keys, counts = keys[:0], counts[:0]
+        yield from sent()
 
-    texts = pick(df, text=text).where(F.col("text").isNotNull() & (F.length("text") > 0))
+    texts = texts.where(F.col("text").isNotNull() & (F.length("text") > 0))
     what = F.col("key").bitwiseAND(F.lit(3))
     rows = map_batches(texts, run, "key bigint, n bigint").groupBy((F.col("key") - what).alias("context"))
     rows = rows.agg(F.sum("n").alias("n"), F.sum(F.when(what == 1, F.col("n")).otherwise(0)).alias("ends"), F.sum(F.when(what == 2, F.col("n")).otherwise(0)).alias("pauses"))
-    seen = cut_lineage(rows.where(F.col("n") >= LEAST_SEEN).withColumn("step", F.floor(F.log2("n") * 8).cast("int")))
-    left, least = contexts, 1 << 30
-    for step, n in sorted(((r["step"], r["count"]) for r in seen.groupBy("step").count().collect()), reverse=True):
-        if n > left:
-            break
-        left, least = left - n, step
-    kept = seen.where(F.col("step") >= least).drop("step").toArrow()
-    keys = kept.column("context").to_numpy()
-    order = np.argsort(keys)
-    counts = np.stack([np.minimum(kept.column(c).to_numpy(), 2**31 - 1).astype(np.int32) for c in ("n", "ends", "pauses")], axis=1) if len(keys) else np.zeros((0, 3), np.int32)
-    return Model(keys[order], counts[order])
+    return rows.where(F.col("n") >= LEAST_SEEN)
 
 
 #: Prior log-odds of a cut for a text just as long as its source allows.
@@ -197,11 +224,18 @@ THRESHOLDS = {"han": 2.5, "alphabet": 2.5}
 ANSWER_THRESHOLDS = {"han": -2.2, "alphabet": -2.2}
 
 
-def log_odds(text: str, model: Model, at_limit: bool = False) -> float:
-    """How much likelier it is that the text was cut at its end than that it ends there.
+class OpenEnd(NamedTuple):
+    """A text that the model decides on: its last characters as the model reads them, and the prior log-odds of a cut."""
+
+    tail: str
+    prior: float
+
+
+def settle(text: str, at_limit: bool = False) -> float | OpenEnd:
+    """The log-odds of a cut where marks decide, else the open end.
 
     Marks left by a cut, a broken character and open mark-up decide by themselves; a final full stop, closing quotation
-    or picture says that it ends. Else the continuation likelihood of the final context is held against that of an end.
+    or picture says that it ends.
     """
     if text[-1:] in _FULL_STOPS and not any(c in text for c in "{[`<") and not (text[-2:-1].isdigit() and "\n" in text):
         return -9.0  # whether it holds anything or not, as nothing can be open; nearly all values end here
@@ -226,10 +260,68 @@ def log_odds(text: str, model: Model, at_limit: bool = False) -> float:
     if text.count("“") > text.count("”") or text.count("「") > text.count("」"):
         prior += 4.0
     # The model looks back no further than its longest context, so the tail is all it reads.
-    end, pause = model.following(plain(tail))
+    return OpenEnd(plain(tail)[-max(ORDERS) :], prior)
+
+
+def log_odds(text: str, model: Model, at_limit: bool = False) -> float:
+    """How much likelier it is that the text was cut at its end than that it ends there; ``settled`` does it for tables.
+
+    Where marks don't decide, the continuation likelihood of the final context is held against that of an end.
+    """
+    found = settle(text, at_limit)
+    if isinstance(found, float):
+        return found
+    end, pause = model.following(found.tail)
     going = max(1e-6, 1.0 - end - pause)
     # Many writers leave out the last full stop, so a pause may be an end as well; a cut falls on one only by chance.
-    return float(np.log((going + 0.1 * pause) / (end + 0.5 * pause + 1e-3)) + prior)
+    return float(np.log((going + 0.1 * pause) / (end + 0.5 * pause + 1e-3)) + found.prior)
+
+
+#: What a task says of each text: log-odds or an open end, and the least log-odds of a cut.
+SETTLED = "odds double, tail string, prior double, least double"
+
+
+def settle_all(texts: list[str | None], at_limit: list[bool], thresholds: dict[str, float]) -> list[pa.Array]:
+    """The columns of ``SETTLED``; a null or empty text is never cut."""
+    found = [settle(t, full) if t else -np.inf for t, full in zip(texts, at_limit, strict=True)]
+    ends = [f if isinstance(f, OpenEnd) else OpenEnd(None, None) for f in found]
+    odds = pa.array([None if isinstance(f, OpenEnd) else float(f) for f in found], pa.float64())
+    least = pa.array([thresholds[script_of(t)] if t else 0.0 for t in texts], pa.float64())
+    return [odds, pa.array([e.tail for e in ends], pa.string()), pa.array([e.prior for e in ends], pa.float64()), least]
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            tail, place, context = end_contexts(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(tail)), pa.array(place), pa.array(context)], ["tail", "place", "context"])
+
+
+def settled(rows: DataFrame, texts: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
+    """``rows`` with ``SETTLED`` replaced by ``cut``, by what follows the ends' contexts in all of ``texts``.
+
+    Only contexts at an open end are looked up, so only these need counting. Up to ``contexts`` of them are sent to the
+    counting tasks; if there are more, the tasks count all contexts. The counts, and so the verdicts, are the same.
+    """
+    rows = cut_lineage(rows)
+    keyed = cut_lineage(map_batches(rows.where(F.col("tail").isNotNull()).select("tail").distinct(), _keyed, "tail string, place int, context bigint"))
+    needed = keyed.select("context").distinct()
+    number = needed.count()
+    wanted = needed.toArrow().column("context").to_numpy() if number <= contexts else None
+    seen, small = count_following(texts, wanted), number <= min(contexts, MAX_BROADCAST_ENDS)
+    # A context is seen at least as often as a longer one, so none is missing before one that is found.
+    listed = keyed.join(F.broadcast(seen) if small else seen, "context").groupBy("tail").agg(F.array_sort(F.collect_list(F.struct("place", "n", "ends", "pauses"))).alias("known"))
+
+    def refined(at, more):
+        return F.struct(*[((more[counted] + 2 * at[share]) / (more["n"] + 2)).alias(share) for share, counted in (("end", "ends"), ("pause", "pauses"))])
+
+    told = listed.select("tail", F.aggregate("known", F.struct(F.lit(0.1).alias("end"), F.lit(0.15).alias("pause")), refined).alias("told"))
+    open_ends = rows.where(F.col("tail").isNotNull()).join(F.broadcast(told) if small else told, "tail", "left")
+    end, pause = F.coalesce(F.col("told.end"), F.lit(0.1)), F.coalesce(F.col("told.pause"), F.lit(0.15))
+    odds = F.ln((F.greatest(F.lit(1e-6), 1.0 - end - pause) + 0.1 * pause) / (end + 0.5 * pause + 1e-3)) + F.col("prior")
+    kept = [c for c in rows.columns if c not in ("odds", "tail", "prior", "least")]
+    decided = rows.where(F.col("tail").isNull()).select(*kept, (F.col("odds") > F.col("least")).alias("cut"))
+    return decided.unionByName(open_ends.select(*kept, (odds > F.col("least")).alias("cut")))
 
 
 def script_of(text: str) -> str:
@@ -257,10 +349,9 @@ def cut_values(df: DataFrame, record: str, text: str, source: str | Column, thre
     """``record_id, source, cut`` for every row with a record id: whether its text was cut so that it ends within something.
 
     Null, empty and blank texts are never cut; a repeated row comes out as often as it is; an empty table gives no rows.
-    The corpus passes Python twice, once to count contexts and once to score; only counters are shuffled.
+    The corpus passes Python twice, once to settle and once to count contexts; only counters and open ends are shuffled.
     """
-    spark, limit_by = df.sparkSession, thresholds or THRESHOLDS
-    shared = spark.sparkContext.broadcast(train(df, text, contexts))
+    limit_by = thresholds or THRESHOLDS
     rows = pick(df, record_id=record, text=text, source=source).where(F.col("record_id").isNotNull())
     known = cut_lineage(limits(df, text, source).join(limits(df, text, source, True).withColumnRenamed("limit", "bytes"), "source", "full"))
     if known.count() <= MAX_BROADCAST_SOURCES:
@@ -269,12 +360,12 @@ def cut_values(df: DataFrame, record: str, text: str, source: str | Column, thre
     marked = rows.join(known, "source", "left").select("record_id", "source", "text", full.alias("at_limit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            cut = [bool(t) and log_odds(t, model, full) > limit_by[script_of(t)] for t, full in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cut, pa.bool_())], ["record_id", "source", "cut"])
+            found = settle_all(batch.column(2).to_pylist(), batch.column(3).to_pylist(), limit_by)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], ["record_id", "source", "odds", "tail", "prior", "least"])
 
-    return map_batches(marked, run, "record_id bigint, source string, cut boolean")
+    rows = map_batches(marked, run, f"record_id bigint, source string, {SETTLED}")
+    return settled(rows, pick(df, text=text), contexts).select("record_id", "source", "cut")
 
 
 def cut_shares(values: DataFrame) -> DataFrame:

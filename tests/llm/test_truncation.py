@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from reviewloom.llm import truncation as tr
@@ -84,3 +85,25 @@ def test_open_list_items_and_tags_are_cuts():
         assert tr.log_odds(text, empty) == 9.0, text
     for text in ("1. 好。\n2. 快。", "一共\n花了 3.", "<b>好</b>用。", "<p>好。", "<ul><li>好。</ul>快。", "电话 <PHONE>。", "写信给 <me@example.com>。", "用 List<String> 存。", "```\n<div>\n```\n好。", "写 `<b>` 就行。", '{"a": "<b>"}', "3 < 5。"):
         assert tr.log_odds(text, empty) == -9.0, text
+
+
+def test_counts_do_not_depend_on_partitions(spark):
+    texts = spark.createDataFrame([("甲乙丙丁戊己庚辛壬癸子。",)] * 24, "text string")
+    counts = [tuples(tr.count_following(texts.repartition(p)), "context", "n", "ends", "pauses") for p in (1, 12)]
+    assert counts[0] == counts[1] and len(counts[0]) == sum(12 - o for o in tr.ORDERS) and {c[1] for c in counts[0]} == {24}
+
+
+@pytest.mark.parametrize("contexts", [0, tr.CONTEXTS])
+def test_tables_are_scored_as_single_texts(spark, corpus, contexts):
+    texts = corpus[0][:300] + corpus[1] + corpus[2]
+    keys, counts = tr.count_contexts([tr.plain(t) for t in texts])
+    found = sorted(set((keys >> 2 << 2).tolist()))
+    at, sums = np.searchsorted(found, keys >> 2 << 2), np.zeros((len(found), 3), np.int32)
+    np.add.at(sums[:, 0], at, counts)
+    for kind in (1, 2):
+        np.add.at(sums[:, kind], at[keys & 3 == kind], counts[keys & 3 == kind])
+    often = sums[:, 0] >= tr.LEAST_SEEN
+    model = tr.Model(np.array(found)[often], sums[often])
+    df = table(spark, [(k, t, str(k)) for k, t in enumerate(texts)], "request_id bigint, text string, channel string").repartition(7)
+    got = tuples(tr.cut_values(df, "request_id", "text", "channel", contexts=contexts), "record_id", "cut")
+    assert got == [(k, tr.log_odds(t, model) > tr.THRESHOLDS[tr.script_of(t)]) for k, t in enumerate(texts)] and 0 < sum(c for _, c in got) < len(texts)
