@@ -66,9 +66,13 @@ def tf_idf(df: DataFrame, doc: str, text: str, top_k: int = 8, idf: DataFrame |
 
 
 def pos_keywords(df: DataFrame, doc: str, text: str, lexicon: DataFrame, nouns: bool = True, adjectives: bool = True, verbs: bool = False, shortest: int = 2, most: int = 20, score: float = 0.5) -> DataFrame:
-    """``doc, token, score, rank``: words of the lexicon (``word, pos``) with a wanted tag, the first ``most`` by place."""
+    """``doc, token, score, rank``: words of the lexicon (``word, pos``) with a wanted tag, the first ``most`` by place.
+
+    Words are broadcast up to ``MAX_VOCABULARY``, counted first, so that tokens aren't shuffled; a larger lexicon is joined by shuffle.
+    """
     tags = (NOUNS if nouns else ()) + (ADJECTIVES if adjectives else ()) + (VERBS if verbs else ())
-    wanted = lexicon.where(F.col("pos").isin(list(tags))).select(F.col("word").alias("token")).distinct()
+    wanted = cut_lineage(lexicon.where(F.col("pos").isin(list(tags))).select(F.col("word").alias("token")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_VOCABULARY else wanted
     found = exploded_tokens(df, doc, text).where(F.length("token") >= shortest).join(wanted, "token")
     first = found.groupBy("doc", "token").agg(F.min("pos").alias("pos"))
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("pos", "token")))

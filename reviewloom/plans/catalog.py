@@ -146,6 +146,12 @@ def lexicon_keywords(spark, sf):
     return extract.pos_keywords(_reviews(spark, sf), "request_id", "text", words).select(F.col("doc").alias("request_id"), "token", "rank")
 
 
+def lexicon_keywords_whole(spark, sf):
+    """``lexicon_keywords`` with the whole dictionary: words of every length, in small letters as the tokens are."""
+    words = spark.read.parquet(f"{sf}/product_profiles.parquet").select(F.explode(F.map_keys("keyword_counts")).alias("word")).select(F.lower("word").alias("word")).distinct().withColumn("pos", F.lit("n"))
+    return extract.pos_keywords(_reviews(spark, sf), "request_id", "text", words).select(F.col("doc").alias("request_id"), "token", "rank")
+
+
 def run_offline(spark, sf):
     done = pipeline.run_offline(_reviews(spark, sf), "request_id", "text")
     return done.select("request_id", "cleaned_text", _joined("keywords").alias("keywords"), "analysis_complete", "mode", "error")
@@ -293,7 +299,7 @@ def prompts(spark, sf):
 
 
 _PLAIN = (
-    preprocess_tool, keyword_predicates, alignment_span, keyword_validation, keyword_top_n, keyword_reflection, routing, tfidf, cooccurrence, textrank, lexicon_keywords, run_offline, run_fast, json_keywords, json_sentiment, json_repair, reviewer_profile, reviewer_keywords,
+    preprocess_tool, keyword_predicates, alignment_span, keyword_validation, keyword_top_n, keyword_reflection, routing, tfidf, cooccurrence, textrank, lexicon_keywords, lexicon_keywords_whole, run_offline, run_fast, json_keywords, json_sentiment, json_repair, reviewer_profile, reviewer_keywords,
     reviewer_tags, product_keywords, product_top_keywords, product_issues, product_rates, delta_keywords, global_summary, tool_sft, agent_sft, tool_supervision, trajectory_stats, skill_distribution, memory_compact, context_chars, stopword_anti, stopword_contained, cache_keys,
     cache_lookup, request_metrics, batch_counters, event_windows, session_preview, prompts,
 )

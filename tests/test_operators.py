@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.operators import extract, lookups, models, profiles, reflect, training
-from reviewloom.plans import pipeline
+from reviewloom.plans import catalog, pipeline
 
 
 def rows(df, *columns):
@@ -40,6 +40,20 @@ def test_lexicon(spark):
     assert [r["token"] for r in extract.pos_keywords(df, "id", "text", words).orderBy("rank").collect()] == ["质量", "物流"]
 
 
+def test_whole_lexicon(spark, tmp_path):
+    texts = ["这款保温杯质量很好，保温杯也轻", "USB 接口松，wifi 稳定", "性价比高", "", None]
+    keys = ["质量", "保温杯", "很不错", "性价比高", "wifi", "USB", "接口", "杯", "扫地机TQ2001"]
+    spark.createDataFrame(list(enumerate(texts)), "request_id int, text string").write.parquet(f"{tmp_path}/reviews.parquet")
+    spark.createDataFrame([({k: 1},) for k in keys] + [(None,)], "keyword_counts map<string,int>").write.parquet(f"{tmp_path}/product_profiles.parquet")
+    expected = []
+    for k, t in enumerate(texts):
+        # Every word of two letters or more that the text holds, by its first place: all these keys are tokens but the last.
+        places = sorted((t.lower().find(w.lower()), w.lower()) for w in keys if t and len(w) > 1 and w.lower() in t.lower())
+        expected += [(k, w, n) for n, (_, w) in enumerate(places, 1)]
+    assert rows(catalog.queries()["lexicon_keywords_whole"](spark, str(tmp_path)), "request_id", "token", "rank") == sorted(expected)
+    assert {"保温杯", "wifi", "usb", "性价比高"} <= {w for _, w, _ in expected}
+
+
 @pytest.fixture
 def base(spark):
     analyses = spark.createDataFrame([(k, f"r{k % 2}", "p", k, lab) for k, lab in enumerate(["正向", "negative", None, "odd", "positive"])], "analysis_id bigint, reviewer_id string, product_id string, seq bigint, label string")
