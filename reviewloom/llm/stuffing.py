@@ -96,7 +96,10 @@ class Tokens(NamedTuple):
 
 
 def _repeated(codes: np.ndarray, text: np.ndarray, size: int, usable: np.ndarray) -> np.ndarray:
-    """Which characters lie in a run of ``size`` usable ones that also stands within the last BACK characters of its text."""
+    """Which characters lie in a run of ``size`` usable ones that also stands within the last BACK characters of its text.
+
+    The run is held against its nearest earlier one that it doesn't overlap, so words of a shorter period count as well.
+    """
     n = len(codes)
     covered = np.zeros(n + 1, np.int64)
     if n <= size:
@@ -111,8 +114,12 @@ def _repeated(codes: np.ndarray, text: np.ndarray, size: int, usable: np.ndarray
         return covered[:n] > 0
     h = h[places] ^ (text[places].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     order = np.argsort(h, kind="stable")
-    same = np.r_[False, (h[order][1:] == h[order][:-1]) & (places[order][1:] - places[order][:-1] <= BACK) & (places[order][1:] - places[order][:-1] >= size)]
-    hits = places[order[same]]
+    at = places[order]
+    group = np.cumsum(np.r_[False, h[order][1:] != h[order][:-1]])
+    # Groups one after the other, by place within: the last entry of the same group that lies ``size`` or more before.
+    keys = group * (n + size) + size + at
+    earlier = np.searchsorted(keys, keys - size, "right") - 1
+    hits = at[(earlier >= 0) & (group[earlier] == group) & (at - at[earlier] <= BACK)]
     np.add.at(covered, hits, 1)
     np.add.at(covered, np.minimum(hits + size, n), -1)
     return np.cumsum(covered[:n]) > 0

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from reviewloom.llm import stuffing as sf
@@ -66,3 +67,14 @@ def test_tricky(spark):
     shares = sf.stuffed_shares(df, "doc_id", "text")
     assert shares.count() == len(TRICKY) and shares.where("record_id IN (2, 3) AND share > 0").count() == 0
     assert sf.stuffed_pages(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_words_of_a_short_period_are_repeated():
+    for text, size in (("手机" * 40, sf.GRAM_HAN), ("phone " * 40, sf.GRAM_OTHER), ("好" * 40, sf.GRAM_HAN), ("a " * 40, sf.GRAM_OTHER)):
+        codes = np.array([ord(c) for c in text])
+        every = np.ones(len(text), bool)
+        found = sf._repeated(codes, np.zeros(len(text), np.int64), size, every)
+        # By brute force: runs that stand once more, without overlap, within BACK characters before.
+        runs = [k for k in range(len(text) - size + 1) if text[k : k + size] in text[max(0, k - sf.BACK) : k]]
+        expected = {j for k in runs for j in range(k, k + size)}
+        assert set(np.flatnonzero(found).tolist()) == expected and len(expected) > 0.5 * len(text), text[:12]
