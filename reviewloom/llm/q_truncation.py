@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from .truncation import ANSWER_THRESHOLDS, cut_shares, cut_values
+from .truncation import cut_shares, cut_values
 
 
 def _values(spark, sf):
     turns = read_table(spark, f"{sf}/tool_turns.parquet").select("turn_id", F.col("response.content").alias("content"), F.col("response.model").alias("model"))
     reviews = read_table(spark, f"{sf}/reviews.parquet")
-    return (("text", cut_values(reviews, "request_id", "text", "channel")), ("content", cut_values(turns, "turn_id", "content", "model", ANSWER_THRESHOLDS)))
+    return (("text", cut_values(reviews, "request_id", "text", "channel")), ("content", cut_values(turns, "turn_id", "content", "model")))
 
 
 def p4_found(spark, sf):

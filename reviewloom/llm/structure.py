@@ -1,4 +1,4 @@
-"""A pushdown parser for the mark-up of model answers: fences, objects, lists, quotations and brackets."""
+"""A pushdown parser for the mark-up of model answers: fences, values, quotations, brackets, emphasis, tags, lists and tables."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ import json
 
 import regex
 
-_PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "《": "》", "“": "”", "<": ">"}
-_FENCE = regex.compile(r"```[^\n`]*")
-_OBJECT = regex.compile(r"[{\[]")
+_PAIRS = {"(": ")", "（": "）", "[": "]", "【": "】", "「": "」", "『": "』", "《": "》", "“": "”", "«": "»", "<": ">"}
+_OPENED_BY = {close: opener for opener, close in _PAIRS.items()}
+_QUOTES = frozenset("「『“«")
 _TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9-]*)(?:\s[^<>]*?)?(/?)>")
 #: HTML elements that must be closed. Others, as <answer>, count where they begin a line in small letters; so <PHONE>,
 #: <me@example.com> and List<String> don't.
@@ -19,11 +19,16 @@ _ELEMENTS = frozenset(
 )
 #: Elements without an end, or whose end may be left out.
 _VOID = frozenset("area base body br col colgroup dd dt embed head hr html img input li link meta option optgroup p param rp rt source tbody td tfoot th thead tr track wbr".split())
-_INLINE_CODE = regex.compile(r"`[^`\n]*`")
-_MARKUP = regex.compile(r"[`{\[<\n]")
+_MARKUP = regex.compile(r"[`{}\[\]<>()（）【】「」『』《》“”«»|\n]|\*\*")
+_TOKEN = regex.compile(r"```[^\n`]*|`|\*\*|</?[A-Za-z][A-Za-z0-9-]*(?:\s[^<>]*?)?/?>|[{}\[\]()（）【】「」『』《》“”«»]|\n\s*\n|\n")
+_VALUE = regex.compile(r'\{|\[\s*(?:["\[{]|$)')
+_LIST_END = regex.compile(r"(?:^|\n)[ \t]*(?:[-*+•·]|\d{1,3}[.)、．])[ \t]*$")
 _EMPTY_WORDS = {"", "null", "none", "nil", "undefined", "n/a", "na", "nan"}
 _UNSEEN = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cc}\p{Zs}\s]+")
-_LIST_END = regex.compile(r"(?:^|\n)[ \t]*(?:[-*+•·]|\d{1,3}[.)、．])[ \t]*$")
+_FENCE_ENDS, _TAGS, _LETTER = regex.compile(r"^```[A-Za-z]*|```$"), regex.compile(r"</?[A-Za-z][\w-]*[^<>]*>"), regex.compile(r"[\p{L}\p{N}]")
+
+#: What can't be open at the end of a whole text; a quotation or a bracket can, as writers forget to close them.
+DECISIVE = ("fence", "object", "opener", "list", "table", "emphasis", "tag")
 
 
 def _skip_value(s: str, at: int) -> int | None:
@@ -49,56 +54,125 @@ def _skip_value(s: str, at: int) -> int | None:
     return None
 
 
-def open_structure(text: str) -> str | None:
-    """What is still open at the end of ``text``: ``fence``, ``object``, ``tag``, ``opener`` or ``list``; None if nothing is.
+def _begins_value(s: str, at: int) -> bool:
+    """Whether the brace or bracket looks like a value's: at the start of the text, of a line or of a fence, or after a colon."""
+    k = at
+    while k and s[k - 1] in " \t":
+        k -= 1
+    return (not k or s[k - 1] in "\n`:：") and bool(_VALUE.match(s, at))
+
+
+def still_open(text: str) -> list[str]:
+    """What is open at the end of ``text``, the outermost first: one pass over its marks with a stack.
 
-    Objects count where they look like one: an opening brace, or a bracket followed by a quotation or another bracket, at
-    the start of the text, of a line or of a fence. A bracket opened in prose counts only at the very end of the text, as
-    unbalanced ones are common in what people write.
+    Kinds are ``fence``, ``object``, ``code``, ``emphasis``, ``tag``, ``quotation``, ``bracket``, and of the last line
+    ``opener`` (it ends in an opening mark), ``list`` (a bullet or number without its item) and ``table`` (a row without
+    its end). Inside a fence only values count. Inline code ends with its line, emphasis, quotations and brackets with
+    their paragraph.
     """
     s = text.rstrip()
     if not _MARKUP.search(s):
-        return "opener" if s and s[-1] in _PAIRS else None
-    k, fence, since, prose = 0, False, 0, []  # prose: what lies outside fences and values, from ``since`` on
-    while k < len(s):
-        if m := _FENCE.match(s, k):
-            if not fence:
-                prose.append(s[since:k])
+        return []
+    stack, fence, k = _Stack(), False, 0
+    while m := _TOKEN.search(s, k):
+        token, k = m[0], m.end()
+        if token.startswith("```"):
             fence = not fence
-            k = since = m.end()
-            continue
-        before = s[:k].rstrip(" \t")
-        if s[k] in "{[" and (not before or before[-1] in "\n`:：") and (s[k] == "{" or regex.match(r'\[\s*(?:["\[{]|$)', s[k:])):
-            end = _skip_value(s, k)
+            if fence:
+                stack.push("fence", "```")
+            else:
+                stack.close("fence", "```")
+        elif token in "{[" and _begins_value(s, m.start()):
+            end = _skip_value(s, m.start())
             if end is None:
-                return "object"
-            if not fence:
-                prose.append(s[since:k])
-                since = end
+                return [*(kind for kind, _ in stack), "object"]
             k = end
+        elif fence:
             continue
-        nexts = [x for x in (s.find("{", k + 1), s.find("[", k + 1), s.find("```", k + 1)) if x > 0]
-        k = min(nexts) if nexts else len(s)
+        elif token == "`":
+            if stack.holds("code", token):
+                stack.close("code", token)
+            else:
+                stack.push("code", token)
+        elif stack and stack[-1][0] == "code":
+            if token[0] == "\n":
+                stack.close("code", "`")
+        elif token == "**":
+            inner, outer = s[k : k + 1], s[m.start() - 1 : m.start()]
+            if stack.holds("emphasis", token):
+                stack.close("emphasis", token)
+            elif inner.strip() and not outer.isalnum():
+                stack.push("emphasis", token)
+        elif token[0] == "\n":
+            if len(token) > 1:
+                stack.end_paragraph()
+        elif token[0] == "<":
+            _tag(stack, s, m.start())
+        elif token in _PAIRS:
+            stack.push("quotation" if token in _QUOTES else "bracket", token)
+        elif token in _OPENED_BY:
+            stack.close("quotation" if _OPENED_BY[token] in _QUOTES else "bracket", _OPENED_BY[token])
+    return [*(kind for kind, _ in stack), *_at_last_line(text, s, fence)]
+
+
+class _Stack(list):
+    """Opened marks as (kind, mark); knows how many of each are open, so that a closer of nothing costs nothing."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self._open: dict[tuple[str, str], int] = {}
+
+    def push(self, kind: str, mark: str) -> None:
+        self.append((kind, mark))
+        self._open[kind, mark] = self._open.get((kind, mark), 0) + 1
+
+    def holds(self, kind: str, mark: str) -> bool:
+        return self._open.get((kind, mark), 0) > 0
+
+    def close(self, kind: str, mark: str) -> None:
+        """Pop up to the latest opener of this kind; what was opened inside it is over as well."""
+        while self.holds(kind, mark):
+            top = self.pop()
+            self._open[top] -= 1
+            if top == (kind, mark):
+                return
+
+    def end_paragraph(self) -> None:
+        kept = [x for x in self if x[0] in ("fence", "tag")]
+        self.clear()
+        self._open.clear()
+        for x in kept:
+            self.push(*x)
+
+
+def _tag(stack: _Stack, s: str, at: int) -> None:
+    m = _TAG.match(s, at)
+    name = m[2].lower() if m else ""
+    if not m or m[3] or name in _VOID:
+        return
+    if m[1]:
+        stack.close("tag", name)
+    elif name in _ELEMENTS or (m[2].islower() and not s[s.rfind("\n", 0, at) + 1 : at].strip()):
+        stack.push("tag", name)
+
+
+def _at_last_line(text: str, s: str, fence: bool) -> list[str]:
     if fence:
-        return "fence"
-    if s and s[-1] in _PAIRS:
-        return "opener"
-    if _LIST_END.search(text.rstrip(" ")) and "\n" in text.strip():
-        return "list"
-    if "<" not in s:
-        return None
-    depth: list[str] = []
-    marked = _INLINE_CODE.sub(" ", " ".join([*prose, s[since:]]))
-    for m in _TAG.finditer(marked):
-        name = m[2].lower()
-        if m[3] or name in _VOID:
-            continue
-        if m[1]:
-            if name in depth:
-                del depth[len(depth) - 1 - depth[::-1].index(name) :]
-        elif name in _ELEMENTS or (m[2].islower() and marked[: m.start()].rpartition("\n")[2].strip() == ""):
-            depth.append(name)
-    return "tag" if depth else None
+        return []
+    if s[-1] in _PAIRS:
+        return ["opener"]
+    if "\n" in text.strip() and _LIST_END.search(text.rstrip(" ")):
+        return ["list"]
+    lines = s[-4000:].split("\n")[-2:]
+    if len(lines) == 2 and all(x.lstrip().startswith("|") for x in lines) and lines[0].rstrip().endswith("|") and lines[0].count("|") > lines[1].count("|"):
+        return ["table"]
+    return []
+
+
+def open_structure(text: str) -> str | None:
+    """The outermost of ``DECISIVE`` that is open at the end of ``text``, else ``quotation`` or ``bracket``; None if nothing is."""
+    found = still_open(text)
+    return next((x for x in found if x in DECISIVE), next((x for x in found if x in ("quotation", "bracket")), None))
 
 
 def _holds_nothing(value: object) -> bool:
@@ -116,13 +190,13 @@ def is_shell(text: str | None) -> bool:
     if len(text) > 24 and text[0].isalnum() and text[0] not in "nNuU":
         return False
     s = _UNSEEN.sub(" ", text).strip()
-    s = regex.sub(r"^```[A-Za-z]*|```$", "", s).strip()
-    s = regex.sub(r"</?[A-Za-z][\w-]*[^<>]*>", "", s).strip()
+    s = _FENCE_ENDS.sub("", s).strip()
+    s = _TAGS.sub("", s).strip()
     if s.strip("\"'“”‘’ `").lower() in _EMPTY_WORDS:
         return True
     if s[:1] in "{[":
         try:
             return _holds_nothing(json.loads(s))
-        except ValueError:
+        except (ValueError, RecursionError):
             pass
-    return not regex.search(r"[\p{L}\p{N}]", s)
+    return not _LETTER.search(s)

@@ -9,13 +9,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .columns import map_batches, pick
 from .lookalike import consistent_form
-from .structure import is_shell, open_structure
+from .structure import DECISIVE, is_shell, open_structure
 
 #: Lengths of the contexts, in characters before the position.
 ORDERS = (1, 2, 3, 4, 6, 9)
@@ -170,7 +170,7 @@ class Model(NamedTuple):
 
     def following(self, context: str) -> tuple[float, float]:
         """P(end), P(pause) after the context: longer contexts refine shorter ones by their counts."""
-        end, pause = 0.1, 0.15
+        end, pause = UNKNOWN_END, UNKNOWN_PAUSE
         tail = context[-max(ORDERS) :]
         codes = np.frombuffer(tail.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         for place, order in enumerate(ORDERS):
@@ -216,12 +216,29 @@ def count_following(texts: DataFrame, wanted: np.ndarray | None = None) -> DataF
     return rows.where(F.col("n") >= LEAST_SEEN)
 
 
-#: Prior log-odds of a cut for a text just as long as its source allows.
-AT_LIMIT = 6.0
-#: The least log-odds for a cut, by the alphabet of the value's last letter. Writers often leave out the last full stop
-#: and models hardly ever do, so a column of answers takes the second.
-THRESHOLDS = {"han": 2.5, "alphabet": 2.5}
-ANSWER_THRESHOLDS = {"han": -2.2, "alphabet": -2.2}
+#: Evidence beside the model, as log-odds of a cut: a text just as long as its source allows, a single ellipsis at its end,
+#: and a quotation or a bracket that isn't closed.
+AT_LIMIT, ELLIPSIS, OPEN_QUOTATION, OPEN_BRACKET = 6.0, 3.0, 4.0, 1.0
+#: What the model says of a context it knows nothing about, end and pause, and the log-odds of a cut that this makes.
+UNKNOWN_END, UNKNOWN_PAUSE = 0.1, 0.15
+UNKNOWN_ODDS = float(np.log((1.0 - UNKNOWN_END - UNKNOWN_PAUSE + 0.1 * UNKNOWN_PAUSE) / (UNKNOWN_END + 0.5 * UNKNOWN_PAUSE + 1e-3)))
+#: Bins of log-odds for each unit, from which thresholds are learned.
+BINS = 4
+
+
+def learned_threshold(odds: np.ndarray, weights: np.ndarray, rounds: int = 100) -> float:
+    """The least log-odds of a cut for a column's open ends in one language, from the log-odds of all of them.
+
+    Each end's log-odds, less those of an unknown context, are the logarithm of how much likelier its context is before a
+    cut than before an end. The share of cuts that explains them best is found by expectation and maximization; where
+    cuts are likelier than ends, a smaller likelihood suffices. One cut and one end are supposed beforehand.
+    """
+    likelihood = np.clip(odds - UNKNOWN_ODDS, -30, 30)
+    share, total = 0.5, weights.sum()
+    for _ in range(rounds):
+        cut = share * np.exp(likelihood)
+        share = float(((weights * cut / (cut + 1 - share)).sum() + 1) / (total + 2))
+    return UNKNOWN_ODDS - float(np.log(share / (1 - share)))
 
 
 class OpenEnd(NamedTuple):
@@ -237,8 +254,8 @@ def settle(text: str, at_limit: bool = False) -> float | OpenEnd:
     Marks left by a cut, a broken character and open mark-up decide by themselves; a final full stop, closing quotation
     or picture says that it ends.
     """
-    if text[-1:] in _FULL_STOPS and not any(c in text for c in "{[`<") and not (text[-2:-1].isdigit() and "\n" in text):
-        return -9.0  # whether it holds anything or not, as nothing can be open; nearly all values end here
+    if text[-1:] in _FULL_STOPS and not any(c in text for c in "{[`<*|") and not (text[-2:-1].isdigit() and "\n" in text):
+        return -9.0  # whether it holds anything or not, as nothing decisive can be open; nearly all values end here
     if is_shell(text):
         return -9.0
     tail = text[-60:].rstrip(_BLANKS)
@@ -246,19 +263,18 @@ def settle(text: str, at_limit: bool = False) -> float | OpenEnd:
         return 9.0
     if not _MARKS.isdisjoint(tail[-24:]) and _CUT_MARK.search(tail):
         return 9.0
-    if open_structure(text):
+    opened = open_structure(text)
+    if opened in DECISIVE:
         return 9.0
-    prior = AT_LIMIT if at_limit else 0.0
+    prior = (AT_LIMIT if at_limit else 0.0) + {"quotation": OPEN_QUOTATION, "bracket": OPEN_BRACKET}.get(opened, 0.0)
     if tail[-1] == "…" and (m := _SINGLE_ELLIPSIS.search(tail)):
-        tail, prior = tail[: m.start()], prior + 3.0
+        tail, prior = tail[: m.start()], prior + ELLIPSIS
         if is_shell(tail):
             return -9.0
-    elif tail[-1] in _TERMINAL or _PICTURE.match(tail[-1]):
-        return -9.0
+    elif tail[-1] in _TERMINAL or _PICTURE.match(tail[-1]) or (tail[-1] == "|" and tail.rpartition("\n")[2].lstrip().startswith("|")):
+        return -9.0  # a whole row of a table ends as well
     if tail[-1] in _PAUSED:
         return 9.0
-    if text.count("“") > text.count("”") or text.count("「") > text.count("」"):
-        prior += 4.0
     # The model looks back no further than its longest context, so the tail is all it reads.
     return OpenEnd(plain(tail)[-max(ORDERS) :], prior)
 
@@ -266,6 +282,8 @@ def settle(text: str, at_limit: bool = False) -> float | OpenEnd:
 def log_odds(text: str, model: Model, at_limit: bool = False) -> float:
     """How much likelier it is that the text was cut at its end than that it ends there; ``settled`` does it for tables.
 
+    What marks decide has -9 or 9.
+
     Where marks don't decide, the continuation likelihood of the final context is held against that of an end.
     """
     found = settle(text, at_limit)
@@ -277,17 +295,20 @@ def log_odds(text: str, model: Model, at_limit: bool = False) -> float:
     return float(np.log((going + 0.1 * pause) / (end + 0.5 * pause + 1e-3)) + found.prior)
 
 
-#: What a task says of each text: log-odds or an open end, and the least log-odds of a cut.
-SETTLED = "odds double, tail string, prior double, least double"
+#: What a task says of each text: log-odds or an open end, and the language of its end.
+SETTLED = "odds double, tail string, prior double, language string"
 
 
-def settle_all(texts: list[str | None], at_limit: list[bool], thresholds: dict[str, float]) -> list[pa.Array]:
+def settle_all(texts: list[str | None], at_limit: list[bool]) -> list[pa.Array]:
     """The columns of ``SETTLED``; a null or empty text is never cut."""
     found = [settle(t, full) if t else -np.inf for t, full in zip(texts, at_limit, strict=True)]
-    ends = [f if isinstance(f, OpenEnd) else OpenEnd(None, None) for f in found]
-    odds = pa.array([None if isinstance(f, OpenEnd) else float(f) for f in found], pa.float64())
-    least = pa.array([thresholds[script_of(t)] if t else 0.0 for t in texts], pa.float64())
-    return [odds, pa.array([e.tail for e in ends], pa.string()), pa.array([e.prior for e in ends], pa.float64()), least]
+    ends = [f if isinstance(f, OpenEnd) else None for f in found]
+    odds = pa.array([None if e else float(f) for e, f in zip(ends, found, strict=True)], pa.float64())
+    language = pa.array([script_of(t) if e else None for e, t in zip(ends, texts, strict=True)], pa.string())
+    return [odds, pa.array([e and e.tail for e in ends], pa.string()), pa.array([e and e.prior for e in ends], pa.float64()), language]
+
+
+SETTLED_NAMES = ("odds", "tail", "prior", "language")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,54 +336,83 @@ def settled(rows: DataFrame, texts: DataFrame, contexts: int = CONTEXTS) -> Data
     def refined(at, more):
         return F.struct(*[((more[counted] + 2 * at[share]) / (more["n"] + 2)).alias(share) for share, counted in (("end", "ends"), ("pause", "pauses"))])
 
-    told = listed.select("tail", F.aggregate("known", F.struct(F.lit(0.1).alias("end"), F.lit(0.15).alias("pause")), refined).alias("told"))
+    told = listed.select("tail", F.aggregate("known", F.struct(F.lit(UNKNOWN_END).alias("end"), F.lit(UNKNOWN_PAUSE).alias("pause")), refined).alias("told"))
+    told = cut_lineage(told)
     open_ends = rows.where(F.col("tail").isNotNull()).join(F.broadcast(told) if small else told, "tail", "left")
-    end, pause = F.coalesce(F.col("told.end"), F.lit(0.1)), F.coalesce(F.col("told.pause"), F.lit(0.15))
+    end, pause = F.coalesce(F.col("told.end"), F.lit(UNKNOWN_END)), F.coalesce(F.col("told.pause"), F.lit(UNKNOWN_PAUSE))
     odds = F.ln((F.greatest(F.lit(1e-6), 1.0 - end - pause) + 0.1 * pause) / (end + 0.5 * pause + 1e-3)) + F.col("prior")
-    kept = [c for c in rows.columns if c not in ("odds", "tail", "prior", "least")]
-    decided = rows.where(F.col("tail").isNull()).select(*kept, (F.col("odds") > F.col("least")).alias("cut"))
-    return decided.unionByName(open_ends.select(*kept, (odds > F.col("least")).alias("cut")))
+    kept = [c for c in rows.columns if c not in SETTLED_NAMES]
+    weighed = open_ends.select(*kept, "language", odds.alias("odds"))
+    decided = rows.where(F.col("tail").isNull()).select(*kept, (F.col("odds") > 0).alias("cut"))
+    return decided.unionByName(weighed.select(*kept, (F.col("odds") > least_odds(weighed)).alias("cut")))
+
+
+def least_odds(weighed: DataFrame) -> Column:
+    """The learned threshold of each row's language; the driver gets a count of each bin, some hundred rows a language."""
+    bins = weighed.groupBy("language", F.round(F.greatest(F.lit(-12.0), F.least(F.lit(24.0), F.col("odds"))) * BINS).cast("int").alias("bin")).agg(F.count("*").alias("n")).collect()
+    found = F.lit(UNKNOWN_ODDS)
+    for language in sorted({r["language"] for r in bins}):
+        mine = [(r["bin"] / BINS, r["n"]) for r in bins if r["language"] == language]
+        least = learned_threshold(*(np.array(x, float) for x in zip(*mine, strict=True)))
+        found = F.when(F.col("language") == language, least).otherwise(found)
+    return found
+
+
+_LAST_LETTER = regex.compile(r"(?r)\p{L}")
+_SCRIPTS = tuple((name, regex.compile(p)) for name, p in (("han", r"\p{Han}"), ("latin", r"\p{Latin}"), ("cyrillic", r"\p{Cyrillic}")))
 
 
 def script_of(text: str) -> str:
-    letters = regex.findall(r"\p{L}", text[-40:])
-    return "han" if letters and regex.match(r"\p{Han}", letters[-1]) else "alphabet"
+    """The alphabet of a text's last letter stands for its language."""
+    last = _LAST_LETTER.search(text[-40:])
+    return next((name for name, p in _SCRIPTS if last and p.match(last[0])), "other")
 
 
-def limits(df: DataFrame, text: str, source: str | Column, in_bytes: bool = False) -> DataFrame:
-    """``source, limit``: sources whose longest length is held by far more texts than the lengths just below it.
+#: A source's limit: a length that so many texts have at least, and so many times as many as a usual length just below it,
+#: while at most one in so many texts of that number is longer.
+LIMIT_TEXTS, LIMIT_PEAK, LIMIT_BEYOND = 5, 8, 8
 
-    Lengths are of characters or of bytes; for bytes, texts with a broken character are left out, as it is longer than what it replaced.
-    """
-    rows = pick(df, text=text, source=source).where(F.col("text").isNotNull())
-    if in_bytes:
-        rows = rows.where(~F.col("text").contains("\ufffd"))
-    sizes = rows.groupBy("source", (F.octet_length("text") if in_bytes else F.length("text")).alias("size")).agg(F.count("*").alias("n"))
-    longest = sizes.groupBy("source").agg(F.max(F.struct("size", "n")).alias("top"))
-    near = sizes.join(longest, "source").where((F.col("size") < F.col("top.size")) & (F.col("size") >= F.col("top.size") * 0.8))
-    below = near.groupBy("source").agg((F.sum("n") / F.max(F.col("top.size") * 0.2)).alias("usual"))
-    found = longest.join(below, "source", "left").where((F.col("top.n") >= 5) & (F.col("top.n") > 8 * F.coalesce("usual", F.lit(0.0))))
-    return found.select("source", F.col("top.size").alias("limit"))
 
+def limits(df: DataFrame, text: str, source: str | Column) -> DataFrame:
+    """``source, characters, bytes``: the lengths at which a source cuts, where it does.
 
-def cut_values(df: DataFrame, record: str, text: str, source: str | Column, thresholds: dict[str, float] | None = None, contexts: int = CONTEXTS) -> DataFrame:
+    A limit shows as a length held by far more texts than the lengths just below it, with hardly any texts beyond; a few
+    longer texts, from before the limit was set, don't hide it. Of several the longest counts. Texts with a broken
+    character aren't measured in bytes, as it is longer than what it replaced. Both units come from one scan.
+    """
+    rows = pick(df, text=text, source=source).where(F.col("text").isNotNull())
+    whole = F.when(~F.col("text").contains("\ufffd"), F.octet_length("text"))
+    units = F.array(F.struct(F.lit("characters").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("bytes").alias("unit"), whole.alias("size")))
+    sizes = rows.select(F.col("source"), F.explode(units).alias("u")).where(F.col("u.size").isNotNull()).groupBy("source", "u.unit", "u.size").agg(F.count("*").alias("n"))
+    # One row a source, unit and length: no more rows a source than its longest text has bytes, however many texts it has.
+    by_size = Window.partitionBy("source", "unit").orderBy(F.col("size").desc())
+    reached = sizes.withColumn("beyond", F.sum("n").over(by_size) - F.col("n"))
+    peaks = reached.where((F.col("n") >= LIMIT_TEXTS) & (F.col("beyond") * LIMIT_BEYOND <= F.col("n"))).select(F.col("source").alias("s"), F.col("unit").alias("u"), F.col("size").alias("peak"), F.col("n").alias("held"))
+    same = F.col("s").eqNullSafe(F.col("source")) & (F.col("u") == F.col("unit"))
+    near = peaks.join(sizes, same & (F.col("size") < F.col("peak")) & (F.col("size") >= F.col("peak") * 0.8), "left")
+    usual = near.groupBy("s", "u", "peak", "held").agg((F.coalesce(F.sum("n"), F.lit(0)) / (F.col("peak") * 0.2)).alias("usual"))
+    longest = usual.where(F.col("held") > LIMIT_PEAK * F.col("usual")).groupBy("s").agg(*[F.max(F.when(F.col("u") == unit, F.col("peak"))).alias(unit) for unit in ("characters", "bytes")])
+    return longest.withColumnRenamed("s", "source")
+
+
+def cut_values(df: DataFrame, record: str, text: str, source: str | Column, contexts: int = CONTEXTS) -> DataFrame:
     """``record_id, source, cut`` for every row with a record id: whether its text was cut so that it ends within something.
 
     Null, empty and blank texts are never cut; a repeated row comes out as often as it is; an empty table gives no rows.
-    The corpus passes Python twice, once to settle and once to count contexts; only counters and open ends are shuffled.
+    A column's thresholds are learned from all its open ends, one a language. The corpus passes Python twice, once to
+    settle and once to count contexts; only counters and open ends are shuffled.
     """
-    limit_by = thresholds or THRESHOLDS
     rows = pick(df, record_id=record, text=text, source=source).where(F.col("record_id").isNotNull())
-    known = cut_lineage(limits(df, text, source).join(limits(df, text, source, True).withColumnRenamed("limit", "bytes"), "source", "full"))
+    known = cut_lineage(limits(df, text, source))
     if known.count() <= MAX_BROADCAST_SOURCES:
         known = F.broadcast(known)
-    full = F.coalesce(F.length("text") >= F.col("limit"), F.lit(False)) | F.coalesce(F.octet_length("text") >= F.col("bytes"), F.lit(False))
-    marked = rows.join(known, "source", "left").select("record_id", "source", "text", full.alias("at_limit"))
+    full = F.coalesce(F.length("text") == F.col("characters"), F.lit(False)) | F.coalesce(F.octet_length("text") == F.col("bytes"), F.lit(False))
+    marked = rows.join(known.withColumnRenamed("source", "known_source"), F.col("source").eqNullSafe(F.col("known_source")), "left").select("record_id", "source", "text", full.alias("at_limit"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = settle_all(batch.column(2).to_pylist(), batch.column(3).to_pylist(), limit_by)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], ["record_id", "source", "odds", "tail", "prior", "least"])
+            found = settle_all(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], ["record_id", "source", *SETTLED_NAMES])
 
     rows = map_batches(marked, run, f"record_id bigint, source string, {SETTLED}")
     return settled(rows, pick(df, text=text), contexts).select("record_id", "source", "cut")

@@ -50,7 +50,12 @@ def test_counting_in_parts_is_counting_whole():
 def test_limits(spark):
     rows = [(k, "字" * (20 if k % 3 else k % 20), "sms") for k in range(300)] + [(k, "字" * (k % 40), "web") for k in range(300)] + [(1, None, None)]
     df = table(spark, rows, "request_id bigint, text string, channel string")
-    assert tuples(tr.limits(df, "text", "channel"), "source", "limit") == [("sms", 20)]
+    assert tuples(tr.limits(df, "text", "channel"), "source", "characters", "bytes") == [("sms", 20, 60)]
+    # A few older texts beyond the limit don't hide it, and a null source has limits of its own.
+    longer = df.unionByName(table(spark, [(k, "字" * (25 + 3 * k), "sms") for k in range(3)], "request_id bigint, text string, channel string"))
+    assert tuples(tr.limits(longer, "text", "channel"), "source", "characters", "bytes") == [("sms", 20, 60)]
+    nameless = df.withColumn("channel", tr.F.lit(None).cast("string")).where("request_id % 3 > 0 AND length(text) = 20")
+    assert tuples(tr.limits(nameless, "text", "channel"), "source", "characters") == [(None, 20)]
 
 
 def test_tricky(spark):
@@ -89,8 +94,8 @@ def test_open_list_items_and_tags_are_cuts():
 
 def test_counts_do_not_depend_on_partitions(spark):
     texts = spark.createDataFrame([("甲乙丙丁戊己庚辛壬癸子。",)] * 24, "text string")
-    counts = [tuples(tr.count_following(texts.repartition(p)), "context", "n", "ends", "pauses") for p in (1, 12)]
-    assert counts[0] == counts[1] and len(counts[0]) == sum(12 - o for o in tr.ORDERS) and {c[1] for c in counts[0]} == {24}
+    counts = [tuples(tr.count_following(texts.repartition(p)), "context", "n", "ends", "pauses") for p in (1, 4, 64)]
+    assert counts[0] == counts[1] == counts[2] and len(counts[0]) == sum(12 - o for o in tr.ORDERS) and {c[1] for c in counts[0]} == {24}
 
 
 @pytest.mark.parametrize("contexts", [0, tr.CONTEXTS])
@@ -106,4 +111,39 @@ def test_tables_are_scored_as_single_texts(spark, corpus, contexts):
     model = tr.Model(np.array(found)[often], sums[often])
     df = table(spark, [(k, t, str(k)) for k, t in enumerate(texts)], "request_id bigint, text string, channel string").repartition(7)
     got = tuples(tr.cut_values(df, "request_id", "text", "channel", contexts=contexts), "record_id", "cut")
-    assert got == [(k, tr.log_odds(t, model) > tr.THRESHOLDS[tr.script_of(t)]) for k, t in enumerate(texts)] and 0 < sum(c for _, c in got) < len(texts)
+    odds = [tr.log_odds(t, model) for t in texts]
+    bins = np.floor(np.array([o for o, t in zip(odds, texts) if isinstance(tr.settle(t), tr.OpenEnd)]) * tr.BINS + 0.5) / tr.BINS
+    least = tr.learned_threshold(bins, np.ones(len(bins)))
+    assert got == [(k, o > (least if isinstance(tr.settle(t), tr.OpenEnd) else 0)) for k, (o, t) in enumerate(zip(odds, texts))] and 0 < sum(c for _, c in got) < len(texts)
+
+
+def test_thresholds_follow_the_share_of_cuts():
+    ends, cuts = np.full(100, -3.0), np.full(100, 6.0)
+    few = tr.learned_threshold(np.r_[ends, cuts[:5]], np.ones(105))
+    many = tr.learned_threshold(np.r_[ends[:5], cuts], np.ones(105))
+    assert -3 < many < tr.UNKNOWN_ODDS < few < 6
+    assert tr.learned_threshold(np.zeros(0), np.zeros(0)) == pytest.approx(tr.UNKNOWN_ODDS)
+    # Equal to what each end by itself would give.
+    assert tr.learned_threshold(np.array([-3.0, 6.0]), np.array([100.0, 5.0])) == pytest.approx(few)
+
+
+def test_the_model_finds_cuts_at_letters(spark, corpus):
+    """Held-out cuts between two characters, without any mark: the model finds them, and without counts nothing does."""
+    texts, whole, cut = corpus
+    rows = [(k, t, "s") for k, t in enumerate(texts + whole + cut)]
+    df = table(spark, rows, "request_id bigint, text string, channel string")
+    first = len(texts) + len(whole)
+    found = {i for i, c in tuples(tr.cut_values(df, "request_id", "text", "channel"), "record_id", "cut") if c and i >= first}
+    alone = tr.cut_values(df.where(f"request_id >= {len(texts)}"), "request_id", "text", "channel")
+    empty = tr.Model(np.zeros(0, np.int64), np.zeros((0, 3), np.int32))
+    marks = [t for t in cut if tr.log_odds(t, empty) > tr.UNKNOWN_ODDS + 1e-9]
+    assert len(found) >= 0.9 * len(cut) and len(marks) <= 0.5 * len(cut) and alone.count() == len(whole) + len(cut)
+
+
+def test_open_emphasis_rows_and_quotations():
+    empty = tr.Model(np.zeros(0, np.int64), np.zeros((0, 3), np.int32))
+    for text in ("**思考", "要点：**质量好", "| 名称 | 值 |\n| 质量 | 好 |\n| 物流", "```\n{\"a\": 1}\n```\n结论：{\"b\": [1"):
+        assert tr.log_odds(text, empty) == 9.0, text
+    for text in ("**思考**：好。", "| 名称 | 值 |\n| 质量 | 好 |", "5 ** 2 = 25。"):
+        assert tr.log_odds(text, empty) == -9.0, text
+    assert tr.settle("他说“质量很好").prior == tr.OPEN_QUOTATION and tr.settle("质量很好（物流").prior == tr.OPEN_BRACKET and tr.settle("他说“好”真").prior == 0
