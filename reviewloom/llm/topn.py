@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,40 +26,36 @@ def valid_items(df: DataFrame, group: str, item: str, score: str, low: float, hi
 
 
 def _nth_best(n: int):
-    """Per partition and group: the score of the n-th best distinct item, where the partition has so many."""
-
-    def best(groups: np.ndarray, scores: np.ndarray, items: np.ndarray):
-        """The n best distinct items of each group, an item by its best score; with their ranks from 0."""
-        order = np.lexsort((-scores, items, groups))
-        g, s, i = groups[order], scores[order], items[order]
-        fresh = np.ones(len(g), bool)
-        fresh[1:] = (g[1:] != g[:-1]) | (i[1:] != i[:-1])
-        g, s, i = g[fresh], s[fresh], i[fresh]
-        order = np.lexsort((i, -s, g))
-        g, s, i = g[order], s[order], i[order]
-        starts = np.ones(len(g), bool)
-        starts[1:] = g[1:] != g[:-1]
-        rank = np.arange(len(g)) - np.maximum.accumulate(np.where(starts, np.arange(len(g)), 0)) if len(g) else np.zeros(0, np.int64)
-        keep = rank < n
-        return g[keep], s[keep], i[keep], rank[keep]
+    """Over rows sorted by group, score (the highest first) and item: each group's n-th best distinct item, where it has so many.
+
+    One pass, batch by batch. What is kept from one batch to the next is the last group and its best items, n at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, int] = {}
-        kept = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        name, seen = None, np.zeros(0, np.int64)  # the group that the last batch ended in, and its best distinct items so far
         for batch in batches:
-            encoded = pc.dictionary_encode(batch.column(0))
-            codes = np.array([names.setdefault(x, len(names)) for x in encoded.dictionary.to_pylist()], np.int64)
-            groups = codes[encoded.indices.to_numpy(zero_copy_only=False)] if len(codes) else np.zeros(0, np.int64)
-            kept = best(
-                np.r_[kept[0], groups],
-                np.r_[kept[1], batch.column(1).to_numpy(zero_copy_only=False)],
-                np.r_[kept[2], batch.column(2).to_numpy(zero_copy_only=False)],
-            )[:3]
-        g, s, i, rank = best(*kept)
-        full = rank == n - 1
-        texts = list(names)
-        columns = [pa.array([texts[k] for k in g[full]], pa.string()), pa.array(s[full], pa.float64()), pa.array(-i[full], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["grp", "low", "negated"])
+            if not batch.num_rows:
+                continue
+            groups = batch.column(0)
+            codes = groups.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            starts = np.r_[True, codes[1:] != codes[:-1]]
+            run_of, first = np.cumsum(starts) - 1, np.flatnonzero(starts)
+            scores, items = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+            # An item's first row is its best; later ones of the same group don't count.
+            order = np.lexsort((np.arange(len(items)), items, run_of))
+            again = np.r_[False, (run_of[order][1:] == run_of[order][:-1]) & (items[order][1:] == items[order][:-1])]
+            fresh = np.ones(len(items), bool)
+            fresh[order[again]] = False
+            known = len(seen) if groups[0].as_py() == name else 0
+            if known:
+                fresh[: first[1] if len(first) > 1 else len(items)] &= ~np.isin(items[: first[1] if len(first) > 1 else len(items)], seen)
+            total = np.cumsum(fresh)
+            rank = total - np.r_[0, total][first][run_of] + np.where(run_of == 0, known, 0)
+            hits = np.flatnonzero(fresh & (rank == n))
+            if len(hits):
+                yield pa.RecordBatch.from_arrays([groups.take(pa.array(hits)), pa.array(scores[hits], pa.float64()), pa.array(-items[hits], pa.int64())], ["grp", "low", "negated"])
+            last = items[first[-1] :][fresh[first[-1] :]]
+            name, seen = groups[len(items) - 1].as_py(), (np.r_[seen, last] if known and len(first) == 1 else last)[:n]
 
     return run
 
@@ -69,10 +64,12 @@ def partition_bounds(rows: DataFrame, n: int) -> DataFrame:
     """The largest lower bound of each group's n-th best score, over all partitions.
 
     A partition's own n-th best distinct item is no better than the group's, so the maximum is still valid. Bounds hold
-    the item besides the score, so that a million ties at the top score don't survive together. Each task holds at most
-    n items a group; one row a group and partition is shuffled, and partial maxima are combined first.
+    the item besides the score, so that a million ties at the top score don't survive together. Spark sorts each
+    partition, spilling where it must, and one pass reads off the bounds, so time grows with the rows and not with the
+    groups, and no task holds more than a batch. One row a group and partition is shuffled, partial maxima combined first.
     """
-    local = map_batches(rows.select("grp", "score", "item"), _nth_best(n), "grp string, low double, negated bigint")
+    placed = rows.select("grp", "score", "item").sortWithinPartitions(F.col("grp"), F.col("score").desc(), F.col("item"))
+    local = map_batches(placed, _nth_best(n), "grp string, low double, negated bigint")
     return local.groupBy("grp").agg(F.max(F.struct("low", "negated")).alias("bound"))
 
 

@@ -1,6 +1,8 @@
 import math
 import random
+import time
 
+import pyarrow as pa
 import pytest
 
 from reviewloom.llm import topn
@@ -37,3 +39,38 @@ def test_equals_brute_force(spark, monkeypatch, broadcast):
 def test_empty(spark):
     df = table(spark, [], SCHEMA)
     assert topn.top_n(df, "product_id", "item_id", "score").count() == 0
+
+
+def batches_of(rows, size):
+    for k in range(0, len(rows), size):
+        g, i, s = zip(*rows[k : k + size])
+        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(s, pa.float64()), pa.array(i, pa.int64())], ["grp", "score", "item"])
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_bounds_of_a_sorted_partition(size):
+    """Groups and repeats that go over batches; an item with several scores counts by its best one."""
+    rng = random.Random(size)
+    rows = [(rng.choice("abcde"), rng.randint(0, 12), rng.choice([0.1, 0.2, 0.9])) for _ in range(200)] + [("f", k, 0.5) for k in range(3)]
+    rows.sort(key=lambda r: (r[0], -r[2], r[1]))
+    got = {(g, low, -i) for b in topn._nth_best(4)(batches_of(rows, size)) for g, low, i in zip(*(c.to_pylist() for c in b.columns))}
+    wanted = set()
+    for group in "abcde":
+        best = {}
+        for g, i, s in rows:
+            if g == group:
+                best[i] = max(s, best.get(i, 0))
+        s, i = sorted((-s, i) for i, s in best.items())[3]
+        wanted.add((group, -s, i))
+    assert got == wanted
+
+
+def test_time_grows_with_rows_and_not_with_groups():
+    def took(n):
+        rows = list(batches_of([(f"g{k // 8:07d}", k, 0.5) for k in range(n)], 10_000))
+        began = time.perf_counter()
+        assert sum(len(b) for b in topn._nth_best(5)(iter(rows))) == n // 8
+        return time.perf_counter() - began
+
+    once = min(took(200_000) for _ in range(3))
+    assert min(took(400_000) for _ in range(3)) < 2.5 * max(once, 0.02)
