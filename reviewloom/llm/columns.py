@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import confusables
+
 
 def at(df: DataFrame, name: str) -> Column:
     """The column called exactly ``name``, dots included."""
@@ -20,8 +22,17 @@ def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """One Arrow hop, kept in one place so that every Python boundary of the subpackage is easy to find."""
-    return df.mapInArrow(fn, schema)
+    """One Arrow hop, kept in one place so that every Python boundary of the subpackage is easy to find.
+
+    Tasks find the driver's table of look-alike characters installed.
+    """
+    prototypes = confusables.shared(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        confusables.install(prototypes.value)
+        yield from fn(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def text_column(fn: Callable[[str], object], name: str, out: str, kind: pa.DataType):

@@ -13,14 +13,21 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .columns import map_batches, pick
-from .lookalike import INSIDE_LATIN, consistent_form
+from .confusables import table
+from .lookalike import consistent_form
 
-#: A key is hot from this share of all rows on, so there are at most so many hot keys and their table can be broadcast.
-HOT_SHARE = 1000
-HOT_LEAST = 10_000
+#: A key is hot from this number of rows on: so many ids and keys, 24 bytes each, are one task's at most.
+HOT_LEAST = 100_000
+#: There are never more hot keys than this, whose table is broadcast (about 50 MB); beyond 10^11 rows the limit rises.
+HOT_KEYS = 1_000_000
 SALTS = 64
 
-_SIGN = regex.compile(r"[^\p{L}\p{N}\p{M}]+")
+#: Signs that say something: a decimal point, a number's sign, per cent and degree, a plus or number sign after a letter
+#: (C++, C#), currencies, and pictures. All other signs, spaces and invisible characters are formatting.
+_SAYING = r"(?<=\d)[.](?=\d)|(?<![\p{L}\p{N}\p{M}\-−+])[\-−+±](?=\d)|(?<=[\p{L}\p{N}+])\+|(?<=\p{Latin})#|(?<=\d ?)[%‰°]|\p{Sc}|[\p{So}&&\p{Extended_Pictographic}]|[\U0001F1E6-\U0001F1FF]"
+_SIGN = regex.compile(rf"({_SAYING})|[^\p{{L}}\p{{N}}\p{{M}}]|\p{{Default_Ignorable_Code_Point}}", regex.V1)
+_ALIKE = str.maketrans("−￥﹩＄", "-¥$$")
+_WRITTEN = regex.compile(r"[^\p{L}\p{N}\p{M}]|\p{Default_Ignorable_Code_Point}")
 _LABEL = r"(\p{L}[\p{L}\p{M}\p{N}_ ]{0,23}?)"
 _BRACKETED = regex.compile(rf"[【\[]\s*{_LABEL}\s*[】\]]\s*[:：]?")
 #: A label stands at the start of a line or after a separator, and is followed by a colon, an equals sign or a dash between spaces.
@@ -28,14 +35,16 @@ _MARKED = regex.compile(rf"(?:(?<![^\n;；/|,，。.、!！])|(?<=[;；/|,，。
 _GAP = regex.compile(r"(?<=\p{Han})[^\S\n]+(?=\p{Han})")
 
 
-_PROTOTYPES = str.maketrans(INSIDE_LATIN)
 _ANY_LABEL = regex.compile(r"[:：=\]】]|\s[-–—]\s")
 
 
 def _plain(text: str) -> str:
-    """Letters and digits in lower case, with look-alikes on their prototypes."""
-    plain = _SIGN.sub("", text).lower()
-    return plain if plain.isascii() else plain.translate(_PROTOTYPES)
+    """Letters and digits in lower case with look-alikes on their prototypes, and the signs that say something."""
+    plain = _SIGN.sub(lambda m: m[1] or "", text).lower() if _WRITTEN.search(text) else text.lower()
+    if plain.isascii():
+        return plain
+    inside = table().inside_latin
+    return "".join(inside.get(c, c) for c in plain.translate(_ALIKE))
 
 
 def _flat(value: object) -> str:
@@ -96,12 +105,12 @@ def copy_groups(df: DataFrame, record: str, text: str) -> DataFrame:
     A row given twice counts once. Null texts are in no group; empty texts and texts of signs alone group when equal.
 
     Hot keys are found exactly, from counts that every task adds up before the shuffle. Only they are aggregated in two
-    levels, over salts, and their few results are broadcast back (at most HOT_SHARE rows); all other keys take one
+    levels, over salts, and their few results are broadcast back (at most HOT_KEYS rows); all other keys take one
     shuffle, in which no group is larger than the hot limit.
     """
     rows = cut_lineage(keyed(df, record, text))
     counts = rows.groupBy("copy_key").agg(F.count("*").alias("n"))
-    limit = max(HOT_LEAST, rows.count() // HOT_SHARE)
+    limit = max(HOT_LEAST, rows.count() // HOT_KEYS)
     hot = cut_lineage(counts.where(F.col("n") > limit).select("copy_key"))
     within = Window.partitionBy("copy_key")
     if not hot.count():

@@ -11,17 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import map_batches, pick, text_column
-
-# Letters of other alphabets that look like a Latin letter, and that letter.
-CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝӏѵАВЕКМНОРСТУХІЈЅԌԚԜ", "aeopcyxijshdqwlvABEKMHOPCTYXIJSGQW", strict=True))
-GREEK = dict(zip("οαρνιχγυΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "oapvixyuABEZHIKMNOPTYX", strict=True))
-# Small letters that look like a small capital; they count as that letter only inside a Latin word.
-SMALL_CAPITALS = dict(zip("кмтнвικμτβεζη", "kmthbikmtbezh", strict=True))
-
-LOOKALIKES = CYRILLIC | GREEK
-INSIDE_LATIN = SMALL_CAPITALS | LOOKALIKES
-TO_CYRILLIC = {v: k for k, v in reversed(CYRILLIC.items())}
-TO_GREEK = {v: k for k, v in reversed(GREEK.items())}
+from .confusables import table
 
 _PICTURE = r"\p{Extended_Pictographic}[️\U0001F3FB-\U0001F3FF]*"
 _EMOJI = rf"{_PICTURE}(?:‍{_PICTURE})*|[0-9#*]️?⃣|\U0001F3F4[\U000E0020-\U000E007F]+"
@@ -30,8 +20,10 @@ _INVISIBLE = regex.compile(rf"({_EMOJI})|{_HIDDEN}+", regex.V1)
 _SPACE = regex.compile(r"[\p{Zs}--[ ]]", regex.V1)
 _BREAK = regex.compile(r"[  \x0b\x0c\x85]")
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_WORD = regex.compile(r"[\p{Latin}\p{Cyrillic}\p{Greek}][\p{Latin}\p{Cyrillic}\p{Greek}\p{M}]*")
-_FOREIGN = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
+#: A word of any alphabet; Chinese, Japanese and Korean characters don't make words with letters.
+_NOT_ALPHABETIC = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Bopomofo}ー々〆"
+_WORD = regex.compile(rf"[[\p{{L}}\p{{Nl}}]--[{_NOT_ALPHABETIC}〇]][[\p{{L}}\p{{M}}\p{{Nl}}]--[{_NOT_ALPHABETIC}〇]]*", regex.V1)
+_FOREIGN = regex.compile(rf"[[\p{{L}}\p{{Nl}}]--[\p{{Latin}}{_NOT_ALPHABETIC}〇]]|[ɐ-ʯᴀ-ᶿ\p{{Nl}}&&\p{{Latin}}]", regex.V1)
 _LATIN = regex.compile(r"\p{Latin}")
 #: Texts of these characters only are in the consistent form already; nearly all texts stop here.
 _PLAIN = regex.compile(r"[\t\n\r -~一-鿿，。！？；：、…“”‘’（）【】《》—·￥]*")
@@ -49,20 +41,34 @@ def _ordinary(c: str) -> str:
     return c
 
 
-def _one_alphabet(word: str) -> str:
-    """A word that mixes alphabets, written in the one that its letters without a look-alike belong to."""
-    latin = [c for c in word if _LATIN.match(c)]
+def _script(c: str) -> str:
+    return unicodedata.name(c, "").partition(" ")[0]
+
+
+def _one_alphabet(word: str, foreign_text: bool = False) -> str:
+    """A word that mixes alphabets, written by the letters of one of them that have the same prototypes.
+
+    It is Latin if each of its other letters looks like a Latin one, unless all its Latin letters look like letters of
+    the other alphabet, too, and the text has words truly of that (``foreign_text``). Else it is of the alphabet of its
+    letters without a look-alike. Phonetic letters count as ordinary ones where they stand among them.
+    """
+    t = table()
     foreign = [c for c in word if _FOREIGN.match(c)]
+    latin = [c for c in word if _LATIN.match(c) and c not in foreign]
     if not latin or not foreign:
-        if foreign and any(unicodedata.name(c, "").startswith("GREEK") for c in foreign) and any(unicodedata.name(c, "").startswith("CYRILLIC") for c in foreign):
-            return "".join(TO_CYRILLIC.get(GREEK.get(c, ""), c) for c in word)
+        scripts = {_script(c) for c in foreign}
+        if {"GREEK", "CYRILLIC"} <= scripts:
+            return "".join(t.back["CYRILLIC"].get(t.latin.get(c, ""), c) if _script(c) == "GREEK" else c for c in word)
+        return word
+    own = [c for c in foreign if c not in t.inside_latin]
+    back = t.back.get(_script((own or foreign)[0]), {})
+    returns = bool(back) and all(c in back for c in latin)
+    if not own and not (foreign_text and returns):
+        return "".join(t.inside_latin.get(c, c) for c in word)
+    if not back:
         return word
-    own = [c for c in foreign if c not in INSIDE_LATIN]
-    if not own:
-        return "".join(INSIDE_LATIN.get(c, c) for c in word)
-    back = TO_GREEK if unicodedata.name(own[0], "").startswith("GREEK") else TO_CYRILLIC
-    if any(c not in back for c in latin) and len(latin) > len(foreign):
-        return "".join(LOOKALIKES.get(c, c) for c in word)
+    if own and not returns and len(latin) > len(foreign):
+        return "".join(t.latin.get(c, c) for c in word)
     return "".join(back.get(c, c) for c in word)
 
 
@@ -76,18 +82,25 @@ def consistent_form(text: str) -> str:
     s = _LETTERS.sub(lambda m: unicodedata.normalize("NFC", m[0]), s)
     if not _FOREIGN.search(s):
         return s
-    s = _WORD.sub(lambda m: _one_alphabet(m[0]), s)
+    t = table()
+    words = [w for w in _WORD.findall(s) if _FOREIGN.search(w)]
+    own = any(_FOREIGN.match(c) and c not in t.latin for w in words if not _LATIN.search(w) for c in w)
+    s = _WORD.sub(lambda m: unicodedata.normalize("NFC", _one_alphabet(m[0], own)), s)
     # A word made of look-alikes alone is taken for Latin only where nothing else in the text is truly of its alphabet.
     words = [w for w in _WORD.findall(s) if _FOREIGN.search(w)]
-    if words and _LATIN.search(s) and all(c in LOOKALIKES for w in words for c in w):
-        s = _WORD.sub(lambda m: "".join(LOOKALIKES.get(c, c) for c in m[0]), s)
+    if words and _LATIN.search(s) and all(c in t.latin for w in words for c in w):
+        s = _WORD.sub(lambda m: unicodedata.normalize("NFC", "".join(t.latin.get(c, c) for c in m[0])), s)
     return s
 
 
 def skeleton(text: str) -> str:
-    """Decompose, replace every character by its prototype, decompose again: equal for texts that look the same."""
+    """Decompose, replace every character by its prototype, decompose again: equal for texts that look the same.
+
+    It is the skeleton of the consistent form, so that small letters in the shape of a small capital agree as well.
+    """
     s = unicodedata.normalize("NFD", consistent_form(text))
-    return unicodedata.normalize("NFD", "".join(LOOKALIKES.get(c, c) for c in s))
+    prototypes = table().prototypes
+    return unicodedata.normalize("NFD", "".join(prototypes.get(c, c) for c in s))
 
 
 def normalized(df: DataFrame, record: str, text: str) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from reviewloom.llm import confusables
 from reviewloom.llm import lookalike as la
 
 from .helpers import TRICKY, table, tuples
@@ -25,6 +26,29 @@ def test_idempotent(text):
     assert la.consistent_form(once) == once
 
 
+#: Look-alikes beyond Cyrillic and Greek, by the public table.
+ALIKE = [("օnly", "only"), ("pɑy", "pay"), ("Ꭺpple", "Apple"), ("ꓮpple", "Apple"), ("ⅼook", "look"), ("modern", "modem"), ("G00D", "GOOD"), ("1ove", "love"), ("Іvan", "Ivan"), ("ɡood", "good")]
+
+
+def test_skeletons_are_those_of_the_public_table():
+    assert all(la.skeleton(a) == la.skeleton(b) for a, b in ALIKE)
+    assert [la.consistent_form(a) for a, _ in ALIKE[:5]] == [b for _, b in ALIKE[:5]] and la.consistent_form("G00D modern") == "G00D modern"
+    assert la.skeleton("good") != la.skeleton("goad") and len(confusables.table().prototypes) > 6000
+
+
+def test_words_truly_of_another_alphabet_stay():
+    for text in ("Հայաստան", "Αθήνα και Kestra", "год good", "нос и рот у Kestra", "ᏣᎳᎩ", "[ɑː]", "ночь"):
+        assert la.consistent_form(text) == text
+    # A word that could be either goes with the text's other words.
+    assert la.consistent_form("у нас гoрe") == "у нас горе" and la.consistent_form("the рrice") == "the price"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcopxyAEHKaеосрхуԛΑΕΗοраｅօɑ ", max_size=20))
+def test_a_text_and_its_form_have_one_skeleton(text):
+    assert la.skeleton(text) == la.skeleton(la.consistent_form(text))
+
+
 def test_skeleton():
     assert la.skeleton("Тhe") == la.skeleton("The") == la.skeleton("Ｔhe") != la.skeleton("Tha")
 
