@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 from .columns import map_batches, pick
 
-# Function words. Chinese ones of one and of two characters, and those of languages with spaces.
-ZH_ONE = "的了是在和也就都很还不没有我你他她它这那个与及或而但被把让给对从到向比跟又再才只更最太真挺着过吗呢吧啊呀哦嘛之其因所以如若则却能会可要想说去来用得地后前里上下中时等"
+# Function words as grammars list them, Chinese ones of one and of two characters (particles, pronouns,
+# prepositions, conjunctions, adverbs of degree, time and scope, auxiliaries, classifiers, localizers), and those of languages
+# with spaces.
+ZH_ONE = "的了是在和也就都很还不没有我你他她它这那个与及或而但被把让给对从到向比跟又再才只更最太真挺着过吗呢吧啊呀哦嘛之其因所以如若则却能会可要想去来用得地后前里上下中时等"
 ZH_TWO = (
-    "就是 不过 另外 而且 加上 可惜 尤其 再说 但是 因为 所以 如果 虽然 还是 或者 以及 而是 于是 然后 然而 因此 只是 只要 只有 除了 关于 对于 "
-    "真的 确实 一直 依旧 算是 倒是 整体 相当 特别 非常 比较 有点 已经 正在 可以 可能 应该 需要 没有 不是 不会 不能 什么 怎么 为什么 这个 那个 "
-    "这款 这台 这样 那样 我们 他们 自己 大家 有人 有些 一些 一点 一个 一下 之后 之前 以后 以前 时候 的话 来说 起来 出来 下来 也说 先说 说到 更在 那么 至少 毕竟 属于"
+    "就是 不过 另外 而且 并且 加上 可惜 尤其 再说 但是 可是 因为 所以 因此 由于 如果 假如 要是 虽然 尽管 即使 还是 或者 以及 而是 于是 然后 然而 从而 只是 只要 只有 除了 关于 对于 根据 "
+    "真的 确实 的确 一直 依旧 仍然 依然 算是 倒是 整体 相当 特别 非常 比较 十分 有点 几乎 已经 曾经 正在 刚刚 马上 常常 往往 可以 可能 应该 必须 需要 能够 没有 不是 不会 不能 不要 什么 怎么 怎样 为何 哪里 哪个 "
+    "这个 那个 这些 那些 这里 那里 这样 那样 这么 那么 我们 你们 他们 她们 它们 自己 大家 别人 有人 有些 一些 一点 一个 一下 之后 之前 以后 以前 以上 以下 之间 时候 的话 来说 起来 出来 下来 过来 上去 至少 毕竟 其实 甚至 属于 为了 通过 同时 此外 总之 例如"
 )
 WORDS = (
     "the a an and or but of to in on at by for with from as is are was were be been has have had do does did will would can could may might not no it its this that these those "
@@ -36,12 +38,21 @@ CLASSES = 17
 CHAIN = 5
 #: Tokens whose mean decides about the one in their middle; and how far back, in characters, a repetition counts.
 WINDOW, BACK = 21, 160
+#: A line break is a wrap only after a line of so many characters.
+WRAP = 40
 #: A link counts as so many characters at most, so that a few cited links don't outweigh the text around them.
 LINK_SIZE = 12
 #: Characters whose repetition counts: so many Chinese ones, or so many of an alphabet.
 GRAM_HAN, GRAM_OTHER = 4, 10
 #: A window is abnormal so many standard deviations from the mean of the training windows.
 DEVIATIONS = 3.0
+#: An abnormal window is one of a list if at least this share of its content words are repeated ones, links or tags; or if it
+#: has hardly any function words, without being code or labelled values. Prose of another kind than the corpus's, code and
+#: sheets have an odd perplexity as well, but aren't lists.
+LISTED, FEW_FUNCTION, CODE_SIGNS, LABELLED, ECHOED = 0.25, 0.1, 0.1, 0.12, 0.4
+#: For the most part: more than half of a page's characters.
+MOST = 0.5
+
 
 _LINK = regex.compile(r"(?:https?://|ftp://|www\.)[^\s<>\"'，。！？；、)\]]+|(?<![\w@.])(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}/[^\s<>\"'，。！？；、)\]]+|</?[A-Za-z][^<>]*>")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -63,6 +74,8 @@ def _kinds() -> np.ndarray:
 
 
 _KIND = _kinds()
+_CODE = np.zeros(0x110000, bool)
+_CODE[[ord(c) for c in "(){}[]=_+\"'`\\$&@^%"]] = True
 _ONE = np.zeros(0x110000, bool)
 _ONE[[ord(c) for c in ZH_ONE]] = True
 _TWO = np.unique([ord(w[0]) * 0x110000 + ord(w[1]) for w in ZH_TWO.split() if len(w) == 2])
@@ -92,6 +105,8 @@ class Tokens(NamedTuple):
     classes: np.ndarray
     lengths: np.ndarray  # characters of each token
     text: np.ndarray  # which text it is of
+    echo: np.ndarray  # whether it is a content word that stands within the last BACK characters of its text as well
+    code: np.ndarray  # whether it is a sign of program code: brackets, quotation marks, operators
     han: np.ndarray  # by text: whether it is mostly Chinese
 
 
@@ -127,16 +142,41 @@ def _repeated(codes: np.ndarray, text: np.ndarray, size: int, usable: np.ndarray
 
 def _labels_again(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, what: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Which runs are labels, before a colon at the start of a line, that stood as one shortly before, too."""
-    again = np.zeros(len(starts), bool)
     first = np.r_[True, (what[:-1] == 5) | (what[:-1] == 0)]
-    labels = np.flatnonzero(np.isin(what, (1, 2)) & first & (np.r_[what[1:], 0] == COLON + 16))
-    if len(labels) > 1:
-        flat = np.repeat(starts[labels] - np.r_[0, np.cumsum(lengths[labels])[:-1]], lengths[labels]) + np.arange(lengths[labels].sum())
-        h = _word_hash(codes[flat], np.r_[0, np.cumsum(lengths[labels])[:-1]], lengths[labels]) ^ (text[starts[labels]].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    return _echoes(codes, starts, lengths, np.isin(what, (1, 2)) & first & (np.r_[what[1:], 0] == COLON + 16), text)
+
+
+def _wraps(codes: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Line breaks that only wrap a paragraph: single ones between a letter or a pause and a small letter.
+
+    A following indent doesn't matter. In a list of words that begin with small letters the line before is short.
+    """
+    breaks = np.flatnonzero(codes == 10)
+    if not len(breaks):
+        return breaks
+    n = len(codes)
+    solid = np.flatnonzero(kind != 4)
+    after = solid[np.minimum(np.searchsorted(solid, breaks, "right"), len(solid) - 1)]
+    before = breaks - 1
+    line = breaks - np.r_[-1, breaks[:-1]]
+    text_begins = np.flatnonzero(kind == 0)
+    line = np.minimum(line, breaks - text_begins[np.searchsorted(text_begins, breaks) - 1])
+    small = (kind[after] == 2) & (after > breaks)
+    joined = np.isin(kind[before], (2, 3, 4, PAUSE + 16, END + 16, SIGN + 16))
+    return breaks[small & joined & (line >= WRAP) & (breaks + 1 < n)]
+
+
+def _echoes(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, chosen: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which of the chosen runs stand, with the same characters, within the last BACK characters of their text."""
+    echo, at = np.zeros(len(starts), bool), np.flatnonzero(chosen)
+    if len(at) > 1:
+        offsets = np.r_[0, np.cumsum(lengths[at])[:-1]]
+        flat = np.repeat(starts[at] - offsets, lengths[at]) + np.arange(lengths[at].sum())
+        h = _word_hash(codes[flat], offsets, lengths[at]) ^ (text[starts[at]].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
         order = np.argsort(h, kind="stable")
-        near = (h[order][1:] == h[order][:-1]) & (starts[labels][order][1:] - starts[labels][order][:-1] <= BACK)
-        again[labels[order[1:][near]]] = True
-    return again
+        near = (h[order][1:] == h[order][:-1]) & (starts[at][order][1:] - starts[at][order][:-1] <= BACK)
+        echo[at[order[1:][near]]] = True
+    return echo
 
 
 def tokenize(texts: list[str]) -> Tokens:
@@ -152,6 +192,7 @@ def tokenize(texts: list[str]) -> Tokens:
     kind = _KIND[codes].astype(np.int64)
     kind[codes == 1] = LINK + 16
     kind[begun] = 0
+    kind[_wraps(codes, kind)] = 4
     han, letter = kind == 1, kind == 2
     function = han & _ONE[codes]
     two = np.flatnonzero(_FIRST[codes[:-1]])
@@ -193,13 +234,15 @@ def tokenize(texts: list[str]) -> Tokens:
         fresh = ~np.isin(classes[content], (AGAIN_SHORT, AGAIN_LONG)) | np.r_[True, text[starts[content]][1:] != text[starts[content]][:-1]]
         place = np.arange(len(content))
         classes[content[place - np.maximum.accumulate(np.where(fresh, place, 0)) > CHAIN]] = AGAIN_CHAIN
+    echo = _echoes(codes, starts, lengths, np.isin(classes, (SHORT, MIDDLE, LONG, AGAIN_SHORT, AGAIN_LONG, AGAIN_CHAIN)), text)
+    code = (classes == SIGN) & _CODE[codes[starts]]
     keep = ~blank | between
     owner = np.maximum(np.cumsum(keep) - 1, 0)
     sizes = np.bincount(owner, weights=lengths, minlength=int(keep.sum())).astype(np.int64)
     of = text[starts][keep]
     number = len(texts)
     mostly = np.bincount(text, weights=han, minlength=number) * 2 >= np.bincount(text, weights=letter, minlength=number)
-    return Tokens(classes[keep], sizes - (classes[keep] == BEGIN), of, mostly)
+    return Tokens(classes[keep], sizes - (classes[keep] == BEGIN), of, echo[keep], code[keep], mostly)
 
 
 def _window_sums(values: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,6 +310,18 @@ def fit(counts: np.ndarray) -> Model:
     return Model(logs, low, high)
 
 
+def _listed(t: Tokens) -> np.ndarray:
+    """Around each token: whether its window is one of a list of words, links or tags."""
+    count = lambda chosen: _window_sums(chosen.astype(np.float64), t.text)[0]
+    width = _window_sums(np.ones(len(t.classes)), t.text)[1]
+    again, fresh = np.isin(t.classes, (AGAIN_SHORT, AGAIN_LONG, AGAIN_CHAIN, LINK, TAG)), np.isin(t.classes, (SHORT, MIDDLE, LONG))
+    content = count(again | fresh)
+    listed = count(again) >= LISTED * content
+    bare = count(t.classes == FUNCTION) <= FEW_FUNCTION * content
+    few_labels = (count(t.classes == COLON) <= LABELLED * width) | (count(t.echo) >= ECHOED * content)
+    return (content > 0) & (listed | (bare & (count(t.code) <= CODE_SIGNS * width) & few_labels))
+
+
 def abnormal_shares(texts: list[str], model: Model) -> np.ndarray:
     """For each text: the share of its characters in windows of abnormal perplexity."""
     if not texts:
@@ -276,7 +331,7 @@ def abnormal_shares(texts: list[str], model: Model) -> np.ndarray:
     logs = model.logs.reshape(-1)[language * CLASSES**3 + _contexts(t)]
     total, width = _window_sums(logs, t.text)
     mean = total / width
-    odd = (mean < model.low[language]) | (mean > model.high[language])
+    odd = ((mean < model.low[language]) | (mean > model.high[language])) & _listed(t)
     n = len(texts)
     return np.bincount(t.text, weights=t.lengths * odd, minlength=n) / np.maximum(1, np.bincount(t.text, weights=t.lengths, minlength=n))
 
@@ -331,6 +386,6 @@ def stuffed_shares(df: DataFrame, record: str, text: str) -> DataFrame:
     return map_batches(rows, run, "record_id bigint, share double")
 
 
-def stuffed_pages(df: DataFrame, record: str, text: str, most: float = 0.62) -> DataFrame:
+def stuffed_pages(df: DataFrame, record: str, text: str, most: float = MOST) -> DataFrame:
     """``record_id`` of the pages that are repeated words, links or tags for the most part."""
     return stuffed_shares(df, record, text).where((F.col("share") > most) & F.col("record_id").isNotNull()).select("record_id")

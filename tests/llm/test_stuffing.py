@@ -1,4 +1,14 @@
+import argparse
+import calendar
+import decimal
+import doctest
+import heapq
+import inspect
+import os
+import pdb
 import random
+import textwrap
+import unittest
 
 import numpy as np
 import pytest
@@ -78,3 +88,29 @@ def test_words_of_a_short_period_are_repeated():
         runs = [k for k in range(len(text) - size + 1) if text[k : k + size] in text[max(0, k - sf.BACK) : k]]
         expected = {j for k in runs for j in range(k, k + size)}
         assert set(np.flatnonzero(found).tolist()) == expected and len(expected) > 0.5 * len(text), text[:12]
+
+
+def stdlib(*names):
+    folder = os.path.dirname(os.__file__)
+    return [open(os.path.join(folder, n), encoding="utf-8").read() for n in names if os.path.exists(os.path.join(folder, n))]
+
+
+def test_pages_of_other_kinds_are_no_lists(corpus):
+    """A model trained on the corpus alone is held against wrapped prose, a licence, manuals, code and lists of a kind it hasn't seen."""
+    model = sf.fit(sf.count_classes(corpus[0]))
+    manuals = [inspect.cleandoc(m.__doc__) for m in (argparse, heapq, doctest, random, unittest, decimal, calendar, pdb) if len(m.__doc__ or "") > 150]
+    code = stdlib("argparse.py", "heapq.py", "csv.py", "queue.py", "shutil.py", "textwrap.py", "tempfile.py", "zipfile/__init__.py", "json/decoder.py", "logging/__init__.py")
+    wrapped = [textwrap.fill(english(random.Random(k)), w) for k, w in enumerate((60, 72, 80, 100))]
+    wrapped += [textwrap.fill("Permission is hereby granted to any person who obtains a copy of this work to use it without restriction, and to permit others to do so, as long as this notice is kept in all copies. The work is provided as it is, and the authors are not liable for any claim.", 70)]
+    good = [*manuals, *code, *wrapped, *stdlib("LICENSE.txt")]
+    towns, goods = ["Aberdale", "Northwick", "Eastbury", "Millford"], ["plumber", "locksmith", "dentist", "florist"]
+    bad = [", ".join(f"cheap {g} {t}" for t in towns for g in goods), "\n".join(f"http://site{k}.test/{g}/{k}" for k in range(30) for g in goods[:1]), " ".join(f"#{g}{t}" for t in towns for g in goods), "\n".join(["best casino bonus"] * 50), " | ".join(f"{t} {g} near me" for t in towns for g in goods)]
+    bad += ["Need a plumber? Our plumber is the best plumber, and a plumber near you is the plumber you want when you call a plumber. " * 4]
+    flagged_good = [t[:60] for t in good if sf.abnormal_shares([t], model)[0] > sf.MOST]
+    flagged_bad = [t for t in bad if sf.abnormal_shares([t], model)[0] > sf.MOST]
+    assert len(good) >= 20 and len(flagged_bad) >= len(bad) - 1 and len(flagged_bad) >= 0.9 * (len(flagged_bad) + len(flagged_good)), flagged_good
+
+
+def test_wraps_are_no_line_ends():
+    t = sf.tokenize(["a line that is long enough to be a wrapped one, it\ngoes on here and has\n  an indent as well.", "cheap phone\nbuy phone\n"])
+    assert [(t.classes[t.text == k] == sf.BREAK).sum() for k in (0, 1)] == [1, 2]
