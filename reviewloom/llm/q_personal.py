@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from .personal import occurrences, redacted
+from .personal import KINDS, occurrences, redacted
 
 
 def p5_found(spark, sf):
     found = occurrences(read_table(spark, f"{sf}/reviews.parquet"), "request_id", "text")
-    return found.select(F.col("record_id").alias("request_id"), "kind", "nth")
+    return found.where(F.col("kind").isin(*KINDS)).select(F.col("record_id").alias("request_id"), "kind", "nth")
 
 
 def p5_redacted(spark, sf):
