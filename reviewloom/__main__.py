@@ -1,7 +1,7 @@
 """Command line: analyze files, export training samples, and report on tables.
 
     python -m reviewloom analyze reviews.csv --column text --out results
-    python -m reviewloom export tool-sft turns/ --out samples [--session s1 ...]
+    python -m reviewloom export openai turns/ --out samples [--session s1 ...]
     python -m reviewloom stats turns/
 
 Run it under spark-submit on a cluster; by itself it starts a local session.
@@ -19,7 +19,11 @@ from .plans.pipeline import run_fast, run_offline
 from .session import local_session
 from .sources import readers, writers
 
-FORMATS = {"tool-sft": training.tool_sft, "tool-supervision": lambda t: training.tool_supervision(None, t.withColumn("ts", F.col("timestamp")))}
+FORMATS = {
+    "openai": lambda spark, root: training.agent_sft(training.agent_turns(readers.read_agent_sessions(spark, root))),
+    "tool-sft": lambda spark, root: training.tool_sft(readers.read_sessions(spark, root)),
+    "tool-supervision": lambda spark, root: training.tool_supervision(training.tool_executions(readers.read_agent_sessions(spark, root)), readers.read_sessions(spark, root).withColumn("ts", F.col("timestamp"))),
+}
 
 
 def main(arguments: list[str] | None = None) -> int:
@@ -44,8 +48,7 @@ def main(arguments: list[str] | None = None) -> int:
         run = run_fast if given.mode == "fast" else run_offline
         writers.write_jsonl(run(texts, "id", "text"), given.out)
     elif given.command == "export":
-        turns = readers.read_sessions(spark, given.path)
-        print(writers.export(FORMATS[given.format](turns), given.out, given.session))
+        print(writers.export(FORMATS[given.format](spark, given.path), given.out, given.session))
     else:
         turns = readers.read_sessions(spark, given.path)
         training.trajectory_stats(turns).show()

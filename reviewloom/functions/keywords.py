@@ -46,16 +46,18 @@ def min_span(keyword: Column, text: Column) -> Column:
     """The length of the shortest window of ``text`` that holds the keyword's characters in order; -1 if there is none.
 
     From every place of the first character the others are taken at their next place; spaces in the keyword don't count.
+    A keyword that stands in the text as it is needs no search, as no window is shorter, and one with a character that the
+    text lacks has none; only for others the text is split into characters, once.
     """
     kw = F.replace(keyword, F.lit(" "), F.lit(""))
     size = F.length(kw)
-    rest = F.transform(F.sequence(F.lit(2), size), lambda k: F.substr(kw, k, F.lit(1)))
+    others = F.transform(F.sequence(F.lit(2), size), lambda k: F.substr(kw, k, F.lit(1)))
     first = F.substr(kw, F.lit(1), F.lit(1))
-    starts = F.filter(F.sequence(F.lit(1), F.length(text)), lambda p: F.substr(text, p, F.lit(1)) == first)
-    last = F.transform(starts, lambda s: F.struct(s.alias("s"), F.aggregate(rest, s, lambda p, c: F.when(p == 0, 0).otherwise(F.call_function("locate", c, text, p + 1))).alias("e")))
+    places = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(c == first, i + 1)), lambda p: p.isNotNull())
+    last = F.transform(places, lambda s: F.struct(s.alias("s"), F.aggregate(others, s, lambda p, c: F.when(p == 0, 0).otherwise(F.call_function("locate", c, text, p + 1))).alias("e")))
     spans = F.transform(F.filter(last, lambda x: x["e"] > 0), lambda x: x["e"] - x["s"] + 1)
-    several = F.coalesce(F.array_min(spans), F.lit(-1))
-    return F.when((size == 0) | (F.length(text) == 0), -1).when(size == 1, F.when(text.contains(first), 1).otherwise(-1)).otherwise(several)
+    lacking = F.exists(others, lambda c: ~text.contains(c))
+    return F.when((size == 0) | (F.length(text) == 0), -1).when(text.contains(kw), size).when((size == 1) | ~text.contains(first) | lacking, -1).otherwise(F.coalesce(F.array_min(spans), F.lit(-1)))
 
 
 def is_aligned(keyword: Column, text: Column, ratio: int = SPAN_RATIO) -> Column:

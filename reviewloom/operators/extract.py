@@ -42,29 +42,56 @@ def exploded_tokens(df: DataFrame, doc: str, text: str) -> DataFrame:
     return df.select(F.col(doc).alias("doc"), F.posexplode(tokens_of(F.col(text))).alias("pos", "token"))
 
 
+def document_frequencies(texts: DataFrame, doc: str, text: str) -> DataFrame:
+    """``token, df, idf`` over the texts: how many hold the token, and ln(texts / texts with it). A text's repeats count once."""
+    single = texts.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(bag_of(F.col(text)))).alias("token"))
+    documents = texts.select(F.count_distinct(F.col(doc)).alias("documents"))
+    return single.groupBy("token").agg(F.count("*").alias("df")).withColumn("idf", F.ln(documents.scalar() / F.col("df")))
+
+
 def tf_idf(df: DataFrame, doc: str, text: str, top_k: int = 8, idf: DataFrame | None = None) -> DataFrame:
     """``doc, token, weight, score, rank``: the ``top_k`` tokens of each text by term frequency times inverse document frequency.
 
-    Inverse document frequencies come from ``idf`` (``token, idf``) or from the corpus, as ln(texts / texts with it).
-    Equal weights go by token.
+    Inverse document frequencies come from ``idf`` (``token, idf``) or from the corpus, as ln(texts / texts with it); texts
+    are single by ``doc``. Equal weights go by token.
 
     Texts are placed by key once, before they are split, so that counting and ranking need no shuffle of tokens. The
-    frequencies are broadcast up to ``MAX_VOCABULARY`` tokens, counted first; a larger table is joined by shuffle.
+    frequencies are broadcast up to ``MAX_VOCABULARY`` tokens, counted first. Of a larger table the most frequent ones are
+    broadcast, and only the other tokens are joined by shuffle, none of which is hot.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.select(F.col(doc), F.col(text)).repartition(parts, F.col(doc))
-    counts = placed.select(F.col(doc).alias("doc"), F.explode(bag_of(F.col(text))).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("n"))
+    placed = df.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
+    if not _is_placed(df, doc):
+        placed = placed.repartition(parts, F.col("doc"))
+    counts = placed.select("doc", F.explode(bag_of(F.col("text"))).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("n"))
     sized = counts.withColumn("total", F.sum("n").over(Window.partitionBy("doc")))
-    if idf is None:
-        documents = df.select(F.count_distinct(F.col(doc)).alias("documents"))
-        idf = counts.groupBy("token").agg(F.count("*").alias("df")).select("token", F.ln(documents.scalar() / F.col("df")).alias("idf"))
-    idf = cut_lineage(idf.select("token", "idf"))
-    weighted = sized.join(F.broadcast(idf) if idf.count() <= MAX_VOCABULARY else idf, "token").select("doc", "token", F.round(F.col("n") / F.col("total") * F.col("idf"), 6).alias("weight"))
+    known = cut_lineage((document_frequencies(df, doc, text) if idf is None else idf).select("token", *([] if idf is not None else ["df"]), "idf"))
+    if known.count() <= MAX_VOCABULARY:
+        weighted = sized.join(F.broadcast(known.select("token", "idf")), "token")
+    else:
+        order = [F.col("df").desc(), "token"] if idf is None else [F.col("idf"), "token"]
+        heavy = cut_lineage(known.orderBy(*order).limit(MAX_VOCABULARY).select("token", "idf"))
+        both = sized.join(F.broadcast(heavy), "token", "left")
+        light = both.where(F.col("idf").isNull()).drop("idf").join(known.join(F.broadcast(heavy), "token", "left_anti").select("token", "idf"), "token")
+        weighted = both.where(F.col("idf").isNotNull()).unionByName(light)
+    weighted = weighted.select("doc", "token", F.round(F.col("n") / F.col("total") * F.col("idf"), 6).alias("weight"))
     best = Window.partitionBy("doc").orderBy(F.col("weight").desc(), "token")
     ranked = weighted.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_k)
     return ranked.withColumn("score", F.least(F.round(F.col("weight") * 2, 6), F.lit(1.0)))
 
 
+def placed_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` written once to the shared folder, placed by ``key``: what groups or joins by it later shuffles no rows of it."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut_lineage(df.repartition(parts, F.col(key)))
+    found._placed_by = key
+    return found
+
+
+def _is_placed(df: DataFrame, key: str) -> bool:
+    return getattr(df, "_placed_by", None) == key
+
+
 def pos_keywords(df: DataFrame, doc: str, text: str, lexicon: DataFrame, nouns: bool = True, adjectives: bool = True, verbs: bool = False, shortest: int = 2, most: int = 20, score: float = 0.5) -> DataFrame:
     """``doc, token, score, rank``: words of the lexicon (``word, pos``) with a wanted tag, the first ``most`` by place.
 
@@ -125,12 +152,21 @@ def text_rank(df: DataFrame, doc: str, text: str, top_k: int = 8, window: int =
     return both.groupBy("doc").applyInPandas(rank, f"doc {kind}, token string, weight double, rank int")
 
 
-METHODS = {"tfidf": tf_idf, "textrank": text_rank}
+def pos_top(df: DataFrame, doc: str, text: str, top_k: int = 8, lexicon: DataFrame | None = None) -> DataFrame:
+    """The part-of-speech method under the name of the others' parameters; without a lexicon there are no keywords."""
+    words = df.sparkSession.createDataFrame([], "word string, pos string") if lexicon is None else lexicon
+    return pos_keywords(df, doc, text, words, most=top_k)
+
+
+METHODS = {"tfidf": tf_idf, "textrank": text_rank, "pos": pos_top}
 
 
-def extract(df: DataFrame, doc: str, text: str, method: str = "tfidf", top_k: int = 8) -> DataFrame:
-    """``doc, keywords array<struct<reasoning, keyword, score>>``; an unknown method is taken for TF-IDF."""
-    found = METHODS.get(method, tf_idf)(df, doc, text, top_k)
+def extract(df: DataFrame, doc: str, text: str, method: str = "tfidf", top_k: int = 8, **options) -> DataFrame:
+    """``doc, keywords array<struct<reasoning, keyword, score>>``; an unknown method is taken for TF-IDF.
+
+    Texts without any keyword give no row: for the fallback tool they have failed, as blank ones have.
+    """
+    found = METHODS.get(method, tf_idf)(df, doc, text, top_k, **options)
     score = F.col("score") if "score" in found.columns else F.least(F.col("weight"), F.lit(1.0))
     item = F.struct("rank", F.lit("").alias("reasoning"), F.col("token").alias("keyword"), score.alias("score"))
     grouped = found.groupBy("doc").agg(F.array_sort(F.collect_list(item)).alias("k"))  # at most top_k a text

@@ -52,3 +52,14 @@ def batch_counters(results: DataFrame) -> DataFrame:
     """Completed, failed and the sum of elapsed time."""
     failed = F.col("error").isNotNull()
     return results.agg(F.count_if(~failed).alias("completed"), F.count_if(failed).alias("failed"), F.round(F.sum("elapsed_ms"), 3).alias("elapsed_ms"))
+
+
+def status_counters(results: DataFrame, mode: str = "mode", error: str = "error") -> DataFrame:
+    """``mode, status, n``: requests by mode, and whether they ended in an error; a missing mode is ``unknown``."""
+    status = F.when(F.col(error).isNull(), "success").otherwise("error")
+    return results.groupBy(F.coalesce(F.col(mode), F.lit("unknown")).alias("mode"), status.alias("status")).agg(F.count("*").alias("n"))
+
+
+def tool_counters(calls: DataFrame, tool: str, success: Column) -> DataFrame:
+    """``tool, success, n``: tool calls by tool, and whether they gave a result."""
+    return calls.groupBy(F.coalesce(F.col(tool), F.lit("unknown")).alias("tool"), success.alias("success")).agg(F.count("*").alias("n"))

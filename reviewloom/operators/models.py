@@ -6,6 +6,7 @@ default backend is deterministic and needs no network; a failure of one row is a
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import time
@@ -24,9 +25,22 @@ ATTEMPTS = 3
 VARY_FROM = 2
 
 
+class Call(NamedTuple):
+    """A tool call as a model service gives it: its id, the tool and its arguments as JSON."""
+
+    id: str
+    name: str
+    arguments: str
+
+
 class Reply(NamedTuple):
     content: str
     finish_reason: str = "stop"
+    tool_calls: tuple[Call, ...] = ()
+
+
+# What the tasks' system prompts begin with; the rule backend tells its tasks by them.
+KEYWORD_TASK, SENTIMENT_TASK, REFLECT_TASK, AGENT_TASK = "提取关键词", "判断评论的情感倾向", "reflect", "agent"
 
 
 class ModelBackend(Protocol):
@@ -39,9 +53,25 @@ BLAME = "差 不好 失望 垃圾 慢 坏 破 脏 贵 刺 难 漏 踩雷 bad poo
 
 
 class RuleBackend:
-    """Answers by counting words; for tests, for offline work and as a fallback."""
+    """Answers by looking for words; for tests, for offline work and as a fallback.
+
+    Keywords are the words of praise and blame that the text holds; a text without any gets an answer without an object. A
+    reflection removes keywords that aren't in the text and proposes such words. An agent calls each tool once.
+    """
 
     def complete(self, system: str, user: str, seed: int) -> Reply:
+        if system.startswith(KEYWORD_TASK):
+            found = rule_keywords(user)
+            return Reply(json.dumps({"keywords": found}, ensure_ascii=False) if found else "没有关键词")
+        if system.startswith(REFLECT_TASK):
+            asked = json.loads(user)
+            names = [k["keyword"] for k in asked["keywords"]]
+            add = [{"reasoning": r, "keyword": w, "score": s} for r, w, s in rule_keywords(asked["text"]) if w not in names]
+            return Reply(json.dumps({"passed": not add, "issues": [], "add_keywords": add, "remove_keywords": [n for n in names if n not in asked["text"]]}, ensure_ascii=False))
+        if system.startswith(AGENT_TASK):
+            if "结果]" in user:
+                return Reply("分析完成")
+            return Reply("".join(f'<tool_call>{{"name": "{t}", "arguments": {{}}}}</tool_call>' for t in ("preprocess", "keyword_extract", "sentiment_analyze")))
         low = user.lower()
         good, bad = (sum(low.count(w) for w in words) for words in (PRAISE, BLAME))
         label = "正向" if good > bad else "负向" if bad > good else "中立"
@@ -49,6 +79,11 @@ class RuleBackend:
         return Reply(f'{{"sentiment": ["{good} / {bad}", "{label}", {confidence}]}}')
 
 
+def rule_keywords(text: str) -> list[tuple[str, str, float]]:
+    low = text.lower()
+    return [(reason, w, score) for reason, words, score in (("praise", PRAISE, 0.9), ("blame", BLAME, 0.8)) for w in words if w in low]
+
+
 def with_retry(call: Callable[[int], Reply], tries: int = ATTEMPTS, base: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Reply:
     """Repeat a call that failed for a passing reason, with growing and jittered waits; other errors rise at once."""
     for attempt in range(tries + 1):
@@ -67,7 +102,7 @@ def whole_answer(backend: ModelBackend, system: str, user: str, seed: int) -> Re
     if first.finish_reason != "length":
         return first
     more = with_retry(lambda k: backend.complete(system, f"{user}\n{first.content}", seed))
-    return Reply(first.content + more.content, more.finish_reason)
+    return Reply(first.content + more.content, more.finish_reason, more.tool_calls)
 
 
 def fill_template(template: Column, **values: Column) -> Column:
@@ -88,7 +123,7 @@ def call_model(df: DataFrame, key: str, system: str, prompt: str, make: Callable
             for k, s, p in zip(pdf[key], pdf[system], pdf[prompt], strict=True):
                 if (s, p) not in known:
                     try:
-                        known[s, p] = (*whole_answer(backend, s or "", p or "", seed), None)
+                        known[s, p] = (*whole_answer(backend, s or "", p or "", seed)[:2], None)
                     except Exception as error:  # noqa: BLE001  a row's failure is that row's result
                         known[s, p] = (None, None, str(error)[:500])
                     if len(known) > 10_000:
@@ -114,7 +149,7 @@ def keyword_attempts(backend: ModelBackend, system: str, user: str, seed: int =
 
 def sentiment(df: DataFrame, key: str, text: str, make: Callable[[], ModelBackend] = RuleBackend) -> DataFrame:
     """``key, sentiment struct<label, confidence, reasoning>``; a row whose call fails has the label ``unknown``."""
-    asked = df.select(key, F.lit("判断评论的情感倾向").alias("system"), F.col(text).alias("prompt"))
+    asked = df.select(key, F.lit(SENTIMENT_TASK).alias("system"), F.col(text).alias("prompt"))
     answered = call_model(asked, key, "system", "prompt", make)
 
     @F.pandas_udf(SENTIMENT)

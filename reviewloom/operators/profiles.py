@@ -80,11 +80,11 @@ def top_keywords(counts: DataFrame, most: int = TOP) -> DataFrame:
     return ranked.select("product_id", "rank", "keyword", "n", rounded.alias("avg_score"))
 
 
-def issues_and_strengths(counts: DataFrame, pool: int = 30, least: int = 2, most: int = ISSUES) -> DataFrame:
+def issues_and_strengths(counts: DataFrame, pool: int = 30, least: int = 2, most: int = ISSUES, negative: tuple[str, ...] = NEGATIVE, positive: tuple[str, ...] = POSITIVE) -> DataFrame:
     """``product_id, polarity, place, keyword``: of the ``pool`` most frequent keywords, those that speak for or against."""
     order = Window.partitionBy("product_id").orderBy(F.col("n").desc(), "first_seq", "keyword")
     pooled = counts.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= pool) & (F.col("n") >= least))
-    sided = pooled.withColumn("polarity", F.when(F.col("keyword").isin(*NEGATIVE), "issue").when(F.col("keyword").isin(*POSITIVE), "strength")).where(F.col("polarity").isNotNull())
+    sided = pooled.withColumn("polarity", F.when(F.col("keyword").isin(*negative), "issue").when(F.col("keyword").isin(*positive), "strength")).where(F.col("polarity").isNotNull())
     placed = sided.withColumn("place", F.row_number().over(Window.partitionBy("product_id", "polarity").orderBy("rank")))
     return placed.where(F.col("place") <= most).select("product_id", "polarity", "place", "keyword")
 
@@ -127,3 +127,30 @@ def reviewer_report(analyses: DataFrame, keywords: DataFrame, reviewer: str, mos
     return shares.unionByName(top.select(F.lit("keyword").alias("section"), "place", F.col("keyword").alias("name"), F.col("n").cast("double").alias("value"))).unionByName(
         tags.select(F.concat(F.col("polarity"), F.lit("_tag")).alias("section"), "place", F.col("keyword").alias("name"), F.lit(None).cast("double").alias("value"))
     )
+
+
+def product_report(analyses: DataFrame, keywords: DataFrame, product: str, most: int = TOP) -> DataFrame:
+    """``section, place, name, count, value`` of one product: labels with their per cent of all reviews, top keywords with their average
+    score, strengths and issues. The key is pushed to the scan."""
+    mine, words = analyses.where(F.col("product_id") == product), keywords.where(F.col("product_id") == product)
+    both = sentiment_distribution(mine, "product_id").join(sentiment_rates(mine), "product_id")
+    labels = F.array(*[F.struct(F.lit("sentiment").alias("section"), F.lit(k).alias("place"), F.lit(x).alias("name"), F.col(f"{x}_count").alias("count"), F.round(F.col(f"{x}_rate") * 100, 1).alias("value")) for k, x in enumerate(("positive", "negative", "neutral"), 1)])
+    counts = product_keywords(words)
+    top = top_keywords(counts, most).select(F.lit("keyword").alias("section"), F.col("rank").alias("place"), F.col("keyword").alias("name"), F.col("n").alias("count"), F.col("avg_score").alias("value"))
+    sides = issues_and_strengths(counts).select(F.col("polarity").alias("section"), "place", F.col("keyword").alias("name"), F.lit(None).cast("bigint").alias("count"), F.lit(None).cast("double").alias("value"))
+    return both.select(F.explode(labels).alias("r")).select("r.*").unionByName(top).unionByName(sides)
+
+
+def profile_keys(profiles: DataFrame, key: str) -> DataFrame:
+    """The keys of a profile table, each once, in order."""
+    return profiles.where(F.col(key).isNotNull()).select(key).distinct().orderBy(key)
+
+
+def with_detail(results: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Results (``reviewer_id`` among their columns) with their reviewer's number of reviews and detail level; an unknown reviewer has ``full``.
+
+    A left look-up: a profile table has one row a reviewer, so no row is lost or doubled. Rows without a reviewer have no level.
+    """
+    known = profiles.groupBy("reviewer_id").agg(F.max("total_reviews").alias("total_reviews"))
+    level = F.when(F.col("reviewer_id").isNotNull(), detail_level(F.col("total_reviews")))
+    return results.join(known, "reviewer_id", "left").withColumn("detail_level", level)

@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..functions.keywords import distinct_keywords, normalize_keywords
 
 MESSAGE = "struct<role:string,content:string>"
 COMPACTED = "[compacted]"
 
 
-def _answered(messages: Column, content: Column) -> Column:
-    return F.concat(messages, F.array(F.struct(F.lit("assistant").alias("role"), content.alias("content"))))
+def _answered(messages: Column, content: Column, fields: StructType | None = None) -> Column:
+    """The messages and an answer of the assistant, with nulls in the other fields that the messages have."""
+    told = {"role": F.lit("assistant"), "content": content}
+    names = [(f.name, f.dataType) for f in fields] if fields else [(n, None) for n in told]
+    return F.concat(messages, F.array(F.struct(*[told.get(n, F.lit(None).cast(t) if t else None).alias(n) for n, t in names])))
 
 
 def tool_sft(turns: DataFrame) -> DataFrame:
@@ -33,7 +39,35 @@ def agent_sft(turns: DataFrame) -> DataFrame:
     whole = Window.partitionBy("session_id")
     marked = carried.withColumn("finals", F.count_if(~F.col("has_tool_calls")).over(whole)).withColumn("last", F.row_number().over(whole.orderBy(F.col("seq").desc())))
     chosen = marked.where((~F.col("has_tool_calls")) | ((F.col("finals") == 0) & (F.col("last") == 1)))
-    return chosen.select("session_id", "seq", _answered(F.col("context"), F.col("content")).alias("messages"))
+    return chosen.select("session_id", "seq", _answered(F.col("context"), F.col("content"), turns.schema["snapshot"].dataType.elementType).alias("messages"))
+
+
+def agent_turns(turns: DataFrame) -> DataFrame:
+    """Turns as ``readers.AGENT_TURN`` has them, in the form that ``agent_sft`` takes; messages keep their tool calls."""
+    calls = F.coalesce(F.size("response.tool_calls"), F.lit(0)) > 0
+    return turns.select("session_id", "seq", "type", F.col("messages_snapshot").alias("snapshot"), F.col("response.content").alias("content"), calls.alias("has_tool_calls"))
+
+
+def tool_executions(turns: DataFrame) -> DataFrame:
+    """``session_id, seq, tool_name, tool_call_id, arguments, result, ts`` of an agent's turns that ran a tool."""
+    ran = turns.where(F.col("type") == "tool_execution")
+    return ran.select("session_id", "seq", "tool_name", "tool_call_id", "arguments", "result", F.col("timestamp").alias("ts"))
+
+
+def call_results(turns: DataFrame) -> DataFrame:
+    """Every tool call of an agent's answers with its result, by session and call id; ``result`` is null where none came."""
+    called = turns.where(F.col("type") == "agent_llm").select("session_id", "seq", F.explode("response.tool_calls").alias("c"))
+    calls = called.select("session_id", "seq", F.col("c.id").alias("tool_call_id"), F.col("c.function.name").alias("tool_name"), F.col("c.function.arguments").alias("arguments"))
+    results = tool_executions(turns).where(F.col("tool_call_id").isNotNull()).groupBy("session_id", "tool_call_id").agg(F.max_by("result", "seq").alias("result"))
+    return matched_calls(calls, results)
+
+
+def session_streams(agent: DataFrame, tool: DataFrame) -> DataFrame:
+    """Both streams of every session as one table, ``session_id, stream, seq, name, content``, the agent's turns first within a place.
+
+    ``agent`` and ``tool`` have ``session_id, seq, name, content``; a session of one stream only stays.
+    """
+    return agent.select("session_id", F.lit("agent").alias("stream"), "seq", "name", "content").unionByName(tool.select("session_id", F.lit("tool").alias("stream"), "seq", "name", "content"))
 
 
 def last_user_message(messages: Column) -> Column:
@@ -79,8 +113,12 @@ def matched_calls(calls: DataFrame, results: DataFrame) -> DataFrame:
 def assemble_results(events: DataFrame) -> DataFrame:
     """The last result of each tool in a session: ``session_id, cleaned, keywords, fallback, validated, sentiment``, last writer wins.
 
-    ``events`` has ``session_id, seq, tool, result``. Validated keywords come before extracted ones, these before the fallback's.
+    ``events`` has ``session_id, seq, tool, result``, results being JSON as tools give it. ``final_keywords`` are read from
+    the validated ones, if a validation ran, even where it kept none; else from the extracted, else from the fallback's; each
+    keyword once. A session is complete with keywords or a sentiment.
     """
     tools = {"preprocess": "cleaned", "keyword_extract": "keywords", "fallback_extract": "fallback", "validate": "validated", "sentiment_analyze": "sentiment"}
-    last = events.groupBy("session_id").agg(*[F.max_by(F.when(F.col("tool") == t, F.col("result")), F.when(F.col("tool") == t, F.col("seq"))).alias(n) for t, n in tools.items()])
-    return last.withColumn("final_keywords", F.coalesce("validated", "keywords", "fallback")).withColumn("complete", F.col("final_keywords").isNotNull() | F.col("sentiment").isNotNull())
+    last = events.groupBy("session_id").agg(*[F.max_by(F.when(F.col("tool") == t, F.col("result")), F.when((F.col("tool") == t) & F.col("result").isNotNull(), F.col("seq"))).alias(n) for t, n in tools.items()])
+    lists = {n: F.try_variant_get(F.try_parse_json(n), path, "array<variant>") for n, path in (("validated", "$.valid_keywords"), ("keywords", "$.keywords"), ("fallback", "$.keywords"))}
+    found = normalize_keywords(F.coalesce(*[F.when(F.size(c) > 0, c) if n != "validated" else c for n, c in lists.items()], F.array().cast("array<variant>")))
+    return last.withColumn("final_keywords", distinct_keywords(found)).withColumn("complete", (F.size("final_keywords") > 0) | F.col("sentiment").isNotNull())

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, jsonx, timex
 from ..functions import keywords as kw
-from ..operators import extract, lookups, profiles, reflect, training
-from ..operators.models import fill_template
+from ..operators import agent, extract, lookups, profiles, reflect, sessions, training
+from ..operators.models import BLAME, PRAISE, fill_template
 from ..session import read_table
 from ..streaming import streams
 from . import oracles as o
@@ -29,7 +29,13 @@ def _analyses(spark, sf) -> DataFrame:
 def _items(spark, sf) -> DataFrame:
     """Single deliveries of keyword rows."""
     rows = read_table(spark, f"{sf}/keyword_items.parquet").select("item_id", "analysis_id", "request_id", "product_id", "keyword", "reasoning", "score")
-    return rows.distinct()
+    return rows.dropDuplicates(["item_id"])  # repeated deliveries are equal
+
+
+def _product_items(spark, sf) -> DataFrame:
+    """Single deliveries with what product counts need; the table has the product itself."""
+    rows = read_table(spark, f"{sf}/keyword_items.parquet").select("item_id", "product_id", F.col("analysis_id").alias("seq"), "keyword", "score")
+    return rows.where(F.col("product_id").isNotNull() & F.col("keyword").isNotNull()).dropDuplicates(["item_id"])
 
 
 def _keywords(spark, sf) -> DataFrame:
@@ -61,14 +67,12 @@ _CLEANERS = {
     "clean_space": (clean.squeeze_space, o.squeeze),
     "clean_truncated": (lambda c: clean.truncate(c, 40), lambda x: f"substr({x}, 1, 40)"),
     "clean_date_expressions": (timex.remove_date_expressions, o.date_expressions),
+    "clean_emails": (clean.remove_emails, o.emails),
+    "clean_time_expressions": (timex.remove_time_expressions, o.time_expressions),
+    "clean_dates": (timex.remove_dates, lambda x: o.date_expressions(o.time_expressions(x))),
 }
-#: Look-around and Unicode word boundaries have no form in RE2; these are tested against Python's own expressions.
-_UNCHECKED = {
-    "clean_emails": clean.remove_emails,
-    "clean_time_expressions": timex.remove_time_expressions,
-    "clean_dates": timex.remove_dates,
-    "preprocess_comment": clean.preprocess_comment,
-}
+def preprocess_comment(spark, sf):
+    return _cleaned(clean.preprocess_comment)(spark, sf)
 
 
 def preprocess_tool(spark, sf):
@@ -118,9 +122,16 @@ def keyword_top_n(spark, sf):
 
 
 def keyword_reflection(spark, sf):
-    none = F.array().cast(kw.KEYWORDS)
+    """One round by rule; the proposals are the words that the rule backend finds in the text."""
+    words = F.array(*[F.struct(F.lit("").alias("reasoning"), F.lit(w).alias("keyword"), F.lit(0.9 if w in PRAISE else 0.6).alias("score")) for w in (*PRAISE, *BLAME)])
     rows = _lists(spark, sf)
-    return rows.select("analysis_id", _joined(reflect.reflect_once(F.filter("keywords", lambda k: k["keyword"].isNotNull()), none, F.col("text"))).alias("keywords"), reflect.needs_reflection(F.col("keywords"), F.col("text")).alias("needs_model"))
+    return rows.select("analysis_id", _joined(reflect.reflect_once(F.filter("keywords", lambda k: k["keyword"].isNotNull()), words, F.col("text"))).alias("keywords"), reflect.needs_reflection(F.col("keywords"), F.col("text")).alias("needs_model"))
+
+
+def reflection_rounds(spark, sf):
+    """Reflection with the rule backend: it removes keywords that aren't in the text and proposes words of praise and blame."""
+    rows = _lists(spark, sf).select("analysis_id", "text", F.filter("keywords", lambda k: k["keyword"].isNotNull()).alias("keywords"), F.lit(None).cast(jsonx.SENTIMENT).alias("sentiment"))
+    return agent.reflect_rows(rows, "analysis_id", "text", "keywords", "sentiment").select("analysis_id", _joined("keywords").alias("keywords"), "rounds", "passed")
 
 
 def routing(spark, sf):
@@ -141,13 +152,7 @@ def textrank(spark, sf):
 
 
 def lexicon_keywords(spark, sf):
-    """The aspects that product profiles count stand in for a dictionary of nouns."""
-    words = spark.read.parquet(f"{sf}/product_profiles.parquet").select(F.explode(F.map_keys("keyword_counts")).alias("word")).where(F.length("word") == 2).distinct().withColumn("pos", F.lit("n"))
-    return extract.pos_keywords(_reviews(spark, sf), "request_id", "text", words).select(F.col("doc").alias("request_id"), "token", "rank")
-
-
-def lexicon_keywords_whole(spark, sf):
-    """``lexicon_keywords`` with the whole dictionary: words of every length, in small letters as the tokens are."""
+    """The aspects that product profiles count, in small letters as the tokens are, stand in for a dictionary of nouns."""
     words = spark.read.parquet(f"{sf}/product_profiles.parquet").select(F.explode(F.map_keys("keyword_counts")).alias("word")).select(F.lower("word").alias("word")).distinct().withColumn("pos", F.lit("n"))
     return extract.pos_keywords(_reviews(spark, sf), "request_id", "text", words).select(F.col("doc").alias("request_id"), "token", "rank")
 
@@ -158,8 +163,23 @@ def run_offline(spark, sf):
 
 
 def run_fast(spark, sf):
+    """The fast pipeline with the rule backend: its keywords where it has some, else the fallback's."""
     done = pipeline.run_fast(_reviews(spark, sf), "request_id", "text")
-    return done.select("request_id", _joined("keywords").alias("keywords"), F.col("sentiment.label").alias("label"), F.col("sentiment.confidence").alias("confidence"), "mode")
+    return done.select("request_id", "cleaned_text", _joined("keywords").alias("keywords"), "source", F.col("sentiment.label").alias("label"), F.col("sentiment.confidence").alias("confidence"), "mode")
+
+
+def run_routed(spark, sf):
+    """The router: short texts by the fast pipeline, the others by the agent with reflection; each with its reviewer's detail level."""
+    reviews = _reviews(spark, sf)
+    known = reviews.where(F.col("reviewer_id").isNotNull()).groupBy("reviewer_id").agg(F.count("*").alias("total_reviews"))
+    done = pipeline.run(reviews, "request_id", "text", profiles=known, reviewer="reviewer_id")
+    return done.select("request_id", "mode", _joined("keywords").alias("keywords"), F.col("sentiment.label").alias("label"), "steps", "rounds", "detail_level")
+
+
+def agent_dialogues(spark, sf):
+    """The agent over all reviews, with the rule backend."""
+    done = agent.agent_rows(_reviews(spark, sf), "request_id", "text")
+    return done.select("request_id", _joined("keywords").alias("keywords"), F.col("sentiment.label").alias("label"), "steps", "ended", F.size("trace").alias("told"), "analysis_complete")
 
 
 def json_keywords(spark, sf):
@@ -192,15 +212,36 @@ def reviewer_tags(spark, sf):
 
 
 def product_keywords(spark, sf):
-    return profiles.product_keywords(_keywords(spark, sf)).withColumn("score_sum", F.col("score_sum").cast("double"))
+    return profiles.product_keywords(_product_items(spark, sf)).withColumn("score_sum", F.col("score_sum").cast("double"))
 
 
 def product_top_keywords(spark, sf):
-    return profiles.top_keywords(profiles.product_keywords(_keywords(spark, sf)))
+    return profiles.top_keywords(profiles.product_keywords(_product_items(spark, sf)))
+
+
+#: Aspects of the test tables that speak for themselves; the reference's own single words don't occur in them.
+ISSUE_WORDS = ("土", "没有诚意", "色差大", "卡不进去", "丢过件", "发暗", "先涨后降", "清洗费水", "味道太冲", "价格不值")
+STRENGTH_WORDS = ("显白", "公道", "舒服", "简单", "可靠", "清楚", "主动跟进", "没有破损", "味道清淡", "颜色耐看")
 
 
 def product_issues(spark, sf):
-    return profiles.issues_and_strengths(profiles.product_keywords(_keywords(spark, sf)))
+    return profiles.issues_and_strengths(profiles.product_keywords(_product_items(spark, sf)), negative=ISSUE_WORDS, positive=STRENGTH_WORDS)
+
+
+def product_report(spark, sf):
+    """The report of the first product by its key."""
+    product = read_table(spark, f"{sf}/product_profiles.parquet").agg(F.min("product_id")).first()[0] or ""
+    return profiles.product_report(_analyses(spark, sf), _keywords(spark, sf), product)
+
+
+def profile_keys(spark, sf):
+    return profiles.profile_keys(read_table(spark, f"{sf}/product_profiles.parquet"), "product_id")
+
+
+def review_detail(spark, sf):
+    """Every review with its reviewer's profile."""
+    known = profiles.review_counts(_analyses(spark, sf), "reviewer_id")
+    return profiles.with_detail(_reviews(spark, sf).select("request_id", "reviewer_id"), known)
 
 
 def product_rates(spark, sf):
@@ -246,6 +287,72 @@ def _messages(spark, sf):
     return _turns(spark, sf).select("session_id", F.col("turn_id").alias("seq"), F.when(F.col("skill_name").startswith("keyword"), "tool").otherwise("assistant").alias("role"), F.col("response.content").alias("content"))
 
 
+def _executions(spark, sf):
+    """Keyword turns read as tools that an agent ran."""
+    turns = _turns(spark, sf).where(F.col("skill_name").startswith("keyword"))
+    return turns.select("session_id", "seq", F.lit("tool_execution").alias("type"), F.col("skill_name").alias("tool_name"), F.col("turn_id").cast("string").alias("tool_call_id"), F.coalesce(training.last_user_message(F.col("messages")), F.lit("")).alias("arguments"), F.col("response.content").alias("result"), F.col("ts").alias("timestamp"))
+
+
+def full_supervision(spark, sf):
+    """Executed tools and tool turns together."""
+    done = training.tool_supervision(training.tool_executions(_executions(spark, sf)), _turns(spark, sf).where("skill_name NOT LIKE 'keyword%'"))
+    return done.select("session_id", "tool_name", "input", "result", "model")
+
+
+def session_streams(spark, sf):
+    turns = _turns(spark, sf).select("session_id", "seq", F.col("skill_name").alias("name"), F.col("response.content").alias("content"))
+    return training.session_streams(turns.where("name LIKE 'keyword%'"), turns.where("name IS NULL OR name NOT LIKE 'keyword%'"))
+
+
+def call_results(spark, sf):
+    """Tool calls of answers with their results; the turn before a keyword turn stands for the answer that called it."""
+    call = F.struct(F.col("tool_call_id").alias("id"), F.lit("function").alias("type"), F.struct(F.col("tool_name").alias("name"), F.col("arguments").alias("arguments")).alias("function"))
+    ran = _executions(spark, sf)
+    called = ran.select("session_id", (F.col("seq") - 1).alias("seq"), F.lit("agent_llm").alias("type"), F.struct(F.array(call).alias("tool_calls")).alias("response"))
+    whole = called.unionByName(ran.where("seq % 3 > 0"), allowMissingColumns=True)
+    return training.call_results(whole).select("session_id", "seq", "tool_call_id", "tool_name", "result")
+
+
+def assembled(spark, sf):
+    """Keyword and sentiment turns of a session read as its tools' results, the last of each tool counting."""
+    tool = F.when(F.col("skill_name").startswith("keyword"), "keyword_extract").when(F.col("skill_name") == "sentiment_analyze", "sentiment_analyze")
+    events = _turns(spark, sf).select("session_id", F.col("turn_id").alias("seq"), tool.alias("tool"), F.when(F.col("skill_name").startswith("keyword"), F.lit('{"keywords": [["r", "质量", 0.9], ["r", "物流", 0.8], ["s", "质量", 0.7]]}')).otherwise(F.col("response.content")).alias("result"))
+    done = training.assemble_results(events.where("tool IS NOT NULL"))
+    return done.select("session_id", _joined("final_keywords").alias("keywords"), F.length("sentiment").alias("sentiment"), "complete")
+
+
+def status_counters(spark, sf):
+    return lookups.status_counters(read_table(spark, f"{sf}/analyses.parquet"))
+
+
+def tool_counters(spark, sf):
+    return lookups.tool_counters(_turns(spark, sf), "skill_name", F.coalesce(F.col("response.content"), F.lit("")) != "")
+
+
+def _results(spark, sf) -> DataFrame:
+    """Analyses as results of one session, with the keywords of their items."""
+    lists = _lists(spark, sf).select("analysis_id", "keywords")
+    a = read_table(spark, f"{sf}/analyses.parquet").select("analysis_id", "request_id", "sentiment", "error", F.nanvl(F.coalesce("elapsed_ms", F.lit(0.0)), F.lit(0.0)).alias("elapsed_ms"))
+    texts = _reviews(spark, sf).select("request_id", F.col("text").alias("original_text"))
+    whole = a.join(lists, "analysis_id", "left").join(texts, "request_id", "left")
+    return whole.select(F.col("analysis_id").alias("index"), "original_text", F.coalesce("keywords", F.array().cast(kw.KEYWORDS)).alias("keywords"), "sentiment", "error", "elapsed_ms")
+
+
+def session_history(spark, sf):
+    """A session's history: each result's preview, first five keywords and label."""
+    return sessions.history(_results(spark, sf))
+
+
+def batch_table(spark, sf):
+    return sessions.batch_table(_results(spark, sf))
+
+
+def analysis_events(spark, sf):
+    """The events of all analyses of the offline pipeline."""
+    a = read_table(spark, f"{sf}/analyses.parquet").select("analysis_id", "cleaned_text", "sentiment", "analysis_complete", "mode", "error", F.array().cast(kw.KEYWORDS).alias("keywords"))
+    return streams.analysis_events(a, "analysis_id").select("analysis_id", "seq", "type", "step")
+
+
 def memory_compact(spark, sf):
     return training.compact_memory(_messages(spark, sf))
 
@@ -288,7 +395,7 @@ def event_windows(spark, sf):
 
 
 def session_preview(spark, sf):
-    """The latest analysis of each product with its first keywords, as a session's history shows it."""
+    """The latest review of each product, as a list of sessions shows it."""
     latest = Window.partitionBy("product_id").orderBy(F.col("request_id").desc())
     rows = _reviews(spark, sf).where(F.col("product_id").isNotNull()).withColumn("n", F.row_number().over(latest)).where("n = 1")
     return rows.select("product_id", "request_id", F.substring("text", 1, 30).alias("preview"))
@@ -299,14 +406,14 @@ def prompts(spark, sf):
 
 
 _PLAIN = (
-    preprocess_tool, keyword_predicates, alignment_span, keyword_validation, keyword_top_n, keyword_reflection, routing, tfidf, cooccurrence, textrank, lexicon_keywords, lexicon_keywords_whole, run_offline, run_fast, json_keywords, json_sentiment, json_repair, reviewer_profile, reviewer_keywords,
-    reviewer_tags, product_keywords, product_top_keywords, product_issues, product_rates, delta_keywords, global_summary, tool_sft, agent_sft, tool_supervision, trajectory_stats, skill_distribution, memory_compact, context_chars, stopword_anti, stopword_contained, cache_keys,
-    cache_lookup, request_metrics, batch_counters, event_windows, session_preview, prompts,
+    preprocess_comment, preprocess_tool, keyword_predicates, alignment_span, keyword_validation, keyword_top_n, keyword_reflection, reflection_rounds, routing, tfidf, cooccurrence, textrank, lexicon_keywords, run_offline, run_fast, run_routed, agent_dialogues, json_keywords, json_sentiment, json_repair,
+    reviewer_profile, reviewer_keywords, reviewer_tags, product_keywords, product_top_keywords, product_issues, product_report, profile_keys, review_detail, product_rates, delta_keywords, global_summary, tool_sft, agent_sft, tool_supervision, full_supervision, session_streams, call_results, assembled,
+    trajectory_stats, skill_distribution, memory_compact, context_chars, stopword_anti, stopword_contained, cache_keys, cache_lookup, request_metrics, status_counters, tool_counters, batch_counters, event_windows, session_preview, session_history, batch_table, analysis_events, prompts,
 )
 
 
 def queries():
-    found = {name: _cleaned(fn) for name, (fn, _) in _CLEANERS.items()} | {name: _cleaned(fn) for name, fn in _UNCHECKED.items()}
+    found = {name: _cleaned(fn) for name, (fn, _) in _CLEANERS.items()}
     return found | {fn.__name__: fn for fn in _PLAIN}
 
 
@@ -334,9 +441,63 @@ _FAILS = f"""
 """
 
 
+#: Lists of single deliveries with what reflection asks of them, and the rule backend's words as proposals.
+_KEPT = f"""
+    listed AS (SELECT o.analysis_id, o.item_id, o.keyword, CASE WHEN isnan(o.score) THEN NULL ELSE o.score END AS score, min(r.text) OVER (PARTITION BY o.analysis_id) AS text FROM once o JOIN reviews r ON o.request_id = r.request_id),
+    kept AS (SELECT *, coalesce(score, 1.0) >= 0.7 AS high, CASE WHEN length(text) < 20 THEN 2 WHEN length(text) < 60 THEN 5 WHEN length(text) < 120 THEN 8 ELSE 10 END AS least FROM listed),
+    lists AS (SELECT analysis_id, min(text) AS text, min(least) AS least, count(*) FILTER (high AND keyword IS NOT NULL) AS n, count(*) FILTER (high) AS every, coalesce(list(keyword) FILTER (high AND keyword IS NOT NULL), []) AS names FROM kept GROUP BY analysis_id),
+    proposals(place, keyword, score, rule_score) AS (VALUES {", ".join(f"({k}, {o.q(w)}, {0.9 if w in PRAISE else 0.6}, {0.9 if w in PRAISE else 0.8})" for k, w in enumerate((*PRAISE, *BLAME)))})
+"""
+
+
+#: Analyses with their keyword lists, as a session's results, and its history.
+_HISTORY = """
+    res AS (SELECT a.analysis_id, r.text, a.sentiment.label AS label, a.error, coalesce(CASE WHEN isnan(a.elapsed_ms) THEN 0 ELSE a.elapsed_ms END, 0) AS ms FROM analyses a LEFT JOIN reviews r ON a.request_id = r.request_id),
+    once AS (SELECT DISTINCT item_id, analysis_id, request_id, keyword FROM keyword_items), numbered AS (SELECT o.analysis_id, o.keyword, row_number() OVER (PARTITION BY o.analysis_id ORDER BY o.item_id) AS place FROM once o JOIN reviews r ON o.request_id = r.request_id),
+    first_five AS (SELECT analysis_id, string_agg(keyword, ', ' ORDER BY place) AS keywords FROM numbered WHERE place <= 5 GROUP BY analysis_id),
+    history AS (SELECT res.analysis_id AS index, substr(text, 1, 30) AS preview, coalesce(keywords, '') AS keywords, coalesce(label, '-') AS label FROM res LEFT JOIN first_five f ON res.analysis_id = f.analysis_id)
+"""
+
+
+def _pipelines():
+    """SQL of the pipelines: the cleaning tool, extraction or the rule backend's words, validation, sentiment and routing."""
+    label, confidence = o.felt("c.cleaned")
+    blank = f"{o.squeeze('r.text')} = '' OR r.text IS NULL"
+    head = f"WITH {o.CLEANED}"
+    fast = f"{head}, {o.rule_words('cleaned', 'cleaned')}, asked AS (SELECT request_id FROM cleaned WHERE request_id NOT IN (SELECT request_id FROM ruled)), {o.ranked_tfidf('fallen', 'asked')}, " + """
+        worded AS (SELECT request_id, string_agg(keyword, '|' ORDER BY score DESC, place) AS keywords FROM ruled GROUP BY request_id), tokened AS (SELECT DISTINCT request_id FROM grams)"""
+    told = f"""SELECT r.request_id, coalesce(c.cleaned, CASE WHEN r.text IS NOT NULL THEN '' END) AS cleaned_text, coalesce(w.keywords, f.keywords, '') AS keywords,
+        CASE WHEN w.keywords IS NOT NULL THEN 'model' WHEN c.cleaned IS NOT NULL AND t.request_id IS NOT NULL THEN 'fallback' END AS source, CASE WHEN c.cleaned IS NULL THEN 'unknown' ELSE {label} END AS label, CASE WHEN c.cleaned IS NULL THEN 0.0 ELSE {confidence} END AS confidence, 'fast' AS mode
+        FROM reviews r LEFT JOIN cleaned c USING (request_id) LEFT JOIN worded w USING (request_id) LEFT JOIN fallen f USING (request_id) LEFT JOIN tokened t USING (request_id)"""
+    short = f"({o.strip('r.text')} = '' OR length(r.text) < 30)"
+    # Of the router's texts only the short ones are extracted from, with frequencies over these.
+    quick = fast.replace(o.ranked_tfidf("fallen", "asked"), f"quick AS (SELECT c.* FROM cleaned c JOIN reviews r USING (request_id) WHERE {short}), {o.ranked_tfidf('fallen', 'asked', corpus='quick')}")
+    least = "CASE WHEN length(r.text) < 20 THEN 2 WHEN length(r.text) < 60 THEN 5 WHEN length(r.text) < 120 THEN 8 ELSE 10 END"
+    # The agent's keywords that aren't in the original go in reflection, and words of the original come in.
+    reflected = f"""agent AS (SELECT r.request_id, r.text, {least} AS least, (SELECT count(*) FROM ruled u WHERE u.request_id = r.request_id) AS n FROM reviews r WHERE NOT {short}),
+        left_over AS (SELECT a.request_id, u.place, u.keyword, u.score FROM agent a JOIN ruled u USING (request_id) WHERE a.n >= a.least OR contains(a.text, u.keyword)),
+        proposed AS (SELECT a.request_id, 1000 + w.place AS place, w.keyword, w.score FROM agent a, words w WHERE a.n < a.least AND contains(a.text, w.keyword) AND NOT EXISTS (SELECT 1 FROM left_over x WHERE x.request_id = a.request_id AND x.keyword = w.keyword)),
+        joined AS (SELECT * FROM left_over UNION ALL SELECT * FROM proposed), counted AS (SELECT a.*, (SELECT count(*) FROM joined j WHERE j.request_id = a.request_id) AS now, (SELECT count(*) FROM proposed p WHERE p.request_id = a.request_id) AS came FROM agent a),
+        summed AS (SELECT request_id, string_agg(keyword, '|' ORDER BY score DESC, place) AS keywords FROM joined GROUP BY request_id),
+        known AS (SELECT reviewer_id, count(*) AS total FROM reviews WHERE reviewer_id IS NOT NULL GROUP BY 1)"""
+    level = "CASE WHEN r.reviewer_id IS NULL THEN NULL WHEN k.total IS NULL OR k.total < 5 THEN 'full' WHEN k.total <= 20 THEN 'standard' ELSE 'delta' END"
+    return {
+        "preprocess_tool": f"{head} SELECT r.request_id, c.cleaned IS NOT NULL AS success, c.cleaned AS cleaned_text, length(r.text) AS original_length, length(c.cleaned) AS cleaned_length FROM reviews r LEFT JOIN cleaned c USING (request_id)",
+        "run_offline": f"{head}, {o.ranked_tfidf('found', 'cleaned')} SELECT r.request_id, coalesce(c.cleaned, CASE WHEN r.text IS NOT NULL THEN '' END) AS cleaned_text, coalesce(f.keywords, '') AS keywords, true AS analysis_complete, 'offline' AS mode, CASE WHEN {blank} THEN 'empty text' END AS error FROM reviews r LEFT JOIN cleaned c USING (request_id) LEFT JOIN found f USING (request_id)",
+        "run_fast": f"{fast} {told}",
+        "run_routed": f"""{quick}, told AS ({told}), {reflected} SELECT r.request_id, CASE WHEN {short} THEN 'fast' ELSE 'agent-prompt' END AS mode, CASE WHEN {short} THEN t.keywords ELSE coalesce(s.keywords, '') END AS keywords, t.label,
+            CASE WHEN NOT {short} THEN 2 END AS steps, CASE WHEN {short} THEN NULL WHEN z.n >= z.least THEN 0 WHEN z.now >= z.least OR z.came = 0 THEN 1 ELSE 2 END AS rounds, {level} AS detail_level
+            FROM reviews r JOIN told t USING (request_id) LEFT JOIN counted z USING (request_id) LEFT JOIN summed s USING (request_id) LEFT JOIN known k ON r.reviewer_id = k.reviewer_id""",
+        "agent_dialogues": f"""{head}, {o.rule_words('cleaned', 'cleaned')}, worded AS (SELECT request_id, string_agg(keyword, '|' ORDER BY score DESC, place) AS keywords FROM ruled GROUP BY request_id)
+            SELECT r.request_id, coalesce(w.keywords, '') AS keywords, coalesce({label}, 'neutral') AS label, 2 AS steps, 'answer' AS ended, 2 AS told, true AS analysis_complete FROM reviews r LEFT JOIN cleaned c USING (request_id) LEFT JOIN worded w USING (request_id)""",
+    }
+
+
 def oracle_sql():
     found = {name: f"SELECT request_id, {fn('text')} AS value FROM reviews" for name, (_, fn) in _CLEANERS.items() if name != "clean_punctuation"}
     found["clean_punctuation"] = f"SELECT request_id, x AS value FROM ({o.steps('reviews', o.collapse)})"
+    found["preprocess_comment"] = f"SELECT request_id, x AS value FROM ({o.steps('reviews', o.line_breaks, o.time_expressions, o.date_expressions, o.chinese_only, o.squeeze)})"
+    found |= _pipelines()
     c = "keyword"
     base = "WITH " + o.BASE
     return found | {
@@ -357,13 +518,19 @@ def oracle_sql():
         "lexicon_keywords": r"""WITH runs AS (SELECT request_id, unnest(regexp_extract_all(lower(text), '[a-z]{2,}|[\x{4e00}-\x{9fff}]+')) AS run, generate_subscripts(regexp_extract_all(lower(text), '[a-z]{2,}|[\x{4e00}-\x{9fff}]+'), 1) AS i FROM reviews),
             grams AS (SELECT request_id, i, 0 AS p, 0 AS n, run AS token FROM runs WHERE regexp_matches(run, '^[a-z]')
                 UNION ALL SELECT request_id, i, p, n, substr(run, p::INT, n::INT) FROM (SELECT request_id, i, run, unnest(range(1, length(run) + 1)) AS p FROM runs WHERE NOT regexp_matches(run, '^[a-z]')), (VALUES (2), (3), (4)) AS sizes(n) WHERE p + n - 1 <= length(run)),
-            lexicon AS (SELECT DISTINCT w AS token FROM (SELECT unnest(map_keys(keyword_counts)) AS w FROM product_profiles) WHERE length(w) = 2),
+            lexicon AS (SELECT DISTINCT lower(w) AS token FROM (SELECT unnest(map_keys(keyword_counts)) AS w FROM product_profiles)),
             found AS (SELECT request_id, token, min(i * 100000 + p * 10 + n) AS place FROM grams SEMI JOIN lexicon USING (token) GROUP BY ALL)
             SELECT request_id, token, row_number() OVER (PARTITION BY request_id ORDER BY place, token) AS rank FROM found QUALIFY rank <= 20""",
-        "keyword_reflection": f"""{base}, listed AS (SELECT o.analysis_id, o.item_id, o.keyword, CASE WHEN isnan(o.score) THEN NULL ELSE o.score END AS score, min(length(r.text)) OVER (PARTITION BY o.analysis_id) AS size FROM once o JOIN reviews r ON o.request_id = r.request_id),
-            kept AS (SELECT *, coalesce(score, 1.0) >= 0.7 AS high, CASE WHEN size < 20 THEN 2 WHEN size < 60 THEN 5 WHEN size < 120 THEN 8 ELSE 10 END AS least FROM listed),
-            counted AS (SELECT *, count(*) FILTER (high AND keyword IS NOT NULL) OVER (PARTITION BY analysis_id) AS n, count(*) FILTER (high) OVER (PARTITION BY analysis_id) AS every FROM kept)
-            SELECT analysis_id, coalesce(string_agg(keyword, '|' ORDER BY CASE WHEN n >= least THEN 0 ELSE -coalesce(score, 0) END, item_id) FILTER (high AND keyword IS NOT NULL), '') AS keywords, min(every) < min(least) AS needs_model FROM counted GROUP BY analysis_id""",
+        "keyword_reflection": f"""{base}, {_KEPT}, proposed AS (SELECT l.analysis_id, 1000000000 + p.place AS item_id, p.keyword, p.score FROM lists l, proposals p WHERE p.score >= 0.7 AND contains(l.text, p.keyword) AND NOT list_contains(l.names, p.keyword)),
+            joined AS (SELECT k.analysis_id, item_id, keyword, score, l.n >= l.least AS enough FROM kept k JOIN lists l USING (analysis_id) WHERE high AND keyword IS NOT NULL UNION ALL SELECT p.*, false FROM proposed p JOIN lists l USING (analysis_id) WHERE l.n < l.least)
+            SELECT l.analysis_id, coalesce(string_agg(j.keyword, '|' ORDER BY CASE WHEN enough THEN 0 ELSE -coalesce(j.score, 0) END, j.item_id) FILTER (j.keyword IS NOT NULL), '') AS keywords, min(l.every) < min(l.least) AS needs_model FROM lists l LEFT JOIN joined j USING (analysis_id) GROUP BY l.analysis_id""",
+        "reflection_rounds": f"""{base}, {_KEPT}, left_over AS (SELECT k.* FROM kept k JOIN lists l USING (analysis_id) WHERE high AND keyword IS NOT NULL AND (l.n >= l.least OR contains(l.text, keyword))),
+            proposed AS (SELECT l.analysis_id, 1000000000 + p.place AS item_id, p.keyword, p.rule_score AS score FROM lists l, proposals p WHERE l.n < l.least AND contains(lower(l.text), p.keyword) AND contains(l.text, p.keyword)
+                AND NOT EXISTS (SELECT 1 FROM left_over x WHERE x.analysis_id = l.analysis_id AND x.keyword = p.keyword)),
+            joined AS (SELECT analysis_id, item_id, keyword, score FROM left_over UNION ALL SELECT * FROM proposed),
+            sized AS (SELECT l.analysis_id, l.n >= l.least AS enough, l.least, count(j.keyword) AS now, (SELECT count(*) FROM proposed p WHERE p.analysis_id = l.analysis_id) AS came FROM lists l LEFT JOIN joined j USING (analysis_id) GROUP BY ALL)
+            SELECT z.analysis_id, coalesce(string_agg(j.keyword, '|' ORDER BY CASE WHEN enough THEN 0 ELSE -coalesce(j.score, 0) END, j.item_id) FILTER (j.keyword IS NOT NULL), '') AS keywords,
+                CASE WHEN enough THEN 0 WHEN now >= least OR came = 0 THEN 1 ELSE 2 END AS rounds, enough OR now >= least AS passed FROM sized z LEFT JOIN joined j USING (analysis_id) GROUP BY z.analysis_id, enough, now, least, came""",
         "reviewer_profile": f"{base} SELECT reviewer_id, count(*) AS total_reviews, count(*) FILTER (label = 'positive') AS positive_count, count(*) FILTER (label = 'negative') AS negative_count, count(*) FILTER (label = 'neutral') AS neutral_count, CASE WHEN count(*) < 5 THEN 'full' WHEN count(*) <= 20 THEN 'standard' ELSE 'delta' END AS detail FROM a WHERE reviewer_id IS NOT NULL GROUP BY reviewer_id",
         "reviewer_keywords": f"{base} SELECT reviewer_id, keyword, count(*) AS n, min(seq) AS first_seq FROM k WHERE reviewer_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL",
         "reviewer_tags": f"""{base}, t AS (SELECT k.reviewer_id, k.keyword, k.seq, CASE WHEN a.label = 'negative' OR k.keyword IN ({', '.join(map(o.q, profiles.NEGATIVE))}) THEN 'negative' WHEN a.label = 'positive' OR k.keyword IN ({', '.join(map(o.q, profiles.POSITIVE))}) THEN 'positive' END AS polarity FROM k LEFT JOIN a ON k.analysis_id = a.analysis_id),
@@ -375,11 +542,34 @@ def oracle_sql():
             SELECT product_id, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, first_seq, keyword) AS rank, keyword, n, ((2 * s + n * 10000) // (2 * n * 10000)) / 100 AS avg_score FROM c QUALIFY rank <= 20""",
         "product_issues": f"""{base}, c AS (SELECT product_id, keyword, count(*) AS n, min(seq) AS first_seq FROM k WHERE product_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL),
             r AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY n DESC, first_seq, keyword) AS rank FROM c QUALIFY rank <= 30),
-            s AS (SELECT *, CASE WHEN keyword IN ({', '.join(map(o.q, profiles.NEGATIVE))}) THEN 'issue' WHEN keyword IN ({', '.join(map(o.q, profiles.POSITIVE))}) THEN 'strength' END AS polarity FROM r WHERE n >= 2)
+            s AS (SELECT *, CASE WHEN keyword IN ({', '.join(map(o.q, ISSUE_WORDS))}) THEN 'issue' WHEN keyword IN ({', '.join(map(o.q, STRENGTH_WORDS))}) THEN 'strength' END AS polarity FROM r WHERE n >= 2)
             SELECT product_id, polarity, row_number() OVER (PARTITION BY product_id, polarity ORDER BY rank) AS place, keyword FROM s WHERE polarity IS NOT NULL QUALIFY place <= 15""",
         "product_rates": f"{base} SELECT product_id, count(*) AS total_reviews, round(count(*) FILTER (label = 'positive') / count(*), 3) AS positive_rate, round(count(*) FILTER (label = 'negative') / count(*), 3) AS negative_rate, round(count(*) FILTER (label = 'neutral') / count(*), 3) AS neutral_rate FROM a WHERE product_id IS NOT NULL GROUP BY product_id",
         "delta_keywords": f"{base}, f AS (SELECT reviewer_id, keyword, min(seq) AS s FROM k WHERE reviewer_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL) SELECT DISTINCT analysis_id, keyword FROM k JOIN f USING (reviewer_id, keyword) WHERE seq = s",
         "global_summary": f"{base} SELECT count(DISTINCT reviewer_id) AS reviewers, count(DISTINCT product_id) AS products, count(reviewer_id) AS reviews FROM a",
+        "textrank": o.text_rank(_WORDS),
+        "product_report": f"""{base}, mine AS (SELECT min(product_id) AS product_id FROM product_profiles), pa AS (SELECT a.* FROM a JOIN mine USING (product_id)), pk AS (SELECT k.* FROM k JOIN mine USING (product_id) WHERE keyword IS NOT NULL),
+            c AS (SELECT keyword, count(*) AS n, (sum(coalesce(score, 0.5)::DECIMAL(18,6)) * 1000000)::BIGINT AS s, min(seq) AS first_seq FROM pk GROUP BY keyword), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, first_seq, keyword) AS rank FROM c),
+            sided AS (SELECT *, CASE WHEN keyword IN ({', '.join(map(o.q, profiles.NEGATIVE))}) THEN 'issue' WHEN keyword IN ({', '.join(map(o.q, profiles.POSITIVE))}) THEN 'strength' END AS side FROM r WHERE rank <= 30 AND n >= 2)
+            SELECT 'sentiment' AS section, place, name, count(*) FILTER (label = name) AS count, round(round(count(*) FILTER (label = name) / count(*), 3) * 100, 1) AS value FROM pa, (VALUES (1, 'positive'), (2, 'negative'), (3, 'neutral')) AS l(place, name) GROUP BY place, name
+            UNION ALL SELECT 'keyword', rank, keyword, n, ((2 * s + n * 10000) // (2 * n * 10000)) / 100 FROM r WHERE rank <= 20
+            UNION ALL SELECT side, row_number() OVER (PARTITION BY side ORDER BY rank), keyword, NULL, NULL FROM sided WHERE side IS NOT NULL QUALIFY row_number() OVER (PARTITION BY side ORDER BY rank) <= 15""",
+        "profile_keys": "SELECT DISTINCT product_id FROM product_profiles WHERE product_id IS NOT NULL",
+        "review_detail": f"{base}, p AS (SELECT reviewer_id, count(*) AS total_reviews FROM a WHERE reviewer_id IS NOT NULL GROUP BY 1) SELECT r.request_id, r.reviewer_id, p.total_reviews, CASE WHEN r.reviewer_id IS NULL THEN NULL WHEN p.total_reviews IS NULL OR p.total_reviews < 5 THEN 'full' WHEN p.total_reviews <= 20 THEN 'standard' ELSE 'delta' END AS detail_level FROM reviews r LEFT JOIN p ON r.reviewer_id = p.reviewer_id",
+        "full_supervision": "SELECT session_id, skill_name AS tool_name, coalesce(list_filter(messages, lambda m: m.role = 'user')[-1].content, '') AS input, CASE WHEN starts_with(skill_name, 'keyword') THEN response.content ELSE coalesce(response.content, '') END AS result, CASE WHEN NOT starts_with(skill_name, 'keyword') THEN response.model END AS model FROM tool_turns WHERE skill_name LIKE 'keyword%' OR (type = 'tool_llm' AND skill_name NOT LIKE 'keyword%')",
+        "session_streams": "SELECT session_id, CASE WHEN starts_with(coalesce(skill_name, ''), 'keyword') THEN 'agent' ELSE 'tool' END AS stream, seq, skill_name AS name, response.content AS content FROM tool_turns",
+        "call_results": "SELECT session_id, seq - 1 AS seq, turn_id::VARCHAR AS tool_call_id, skill_name AS tool_name, CASE WHEN seq % 3 > 0 THEN response.content END AS result FROM tool_turns WHERE skill_name LIKE 'keyword%'",
+        "assembled": """WITH e AS (SELECT session_id, skill_name LIKE 'keyword%' AS words, last_value(response.content) OVER (PARTITION BY session_id, skill_name LIKE 'keyword%' ORDER BY response.content IS NOT NULL, turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM tool_turns WHERE skill_name LIKE 'keyword%' OR skill_name = 'sentiment_analyze')
+            SELECT session_id, CASE WHEN bool_or(words) THEN '质量|物流' ELSE '' END AS keywords, length(any_value(last) FILTER (NOT words)) AS sentiment, bool_or(words) OR any_value(last) FILTER (NOT words) IS NOT NULL AS complete FROM e GROUP BY session_id""",
+        "status_counters": "SELECT coalesce(mode, 'unknown') AS mode, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS status, count(*) AS n FROM analyses GROUP BY ALL",
+        "tool_counters": "SELECT coalesce(skill_name, 'unknown') AS tool, coalesce(response.content, '') <> '' AS success, count(*) AS n FROM tool_turns GROUP BY ALL",
+        "session_history": f"WITH {_HISTORY} SELECT * FROM history",
+        "batch_table": f"WITH {_HISTORY} SELECT h.*, CASE WHEN ms < 1000 THEN round(ms)::INT || 'ms' ELSE format('{{:.1f}}', ms / 1000) || 's' END AS elapsed, CASE WHEN error IS NULL THEN 'ok' ELSE 'failed' END AS state FROM history h JOIN res ON h.index = res.analysis_id",
+        "analysis_events": """WITH steps(mode, k, step) AS (VALUES ('fast', 1, 'preprocess'), ('fast', 2, 'keyword_extract'), ('fast', 3, 'validate'), ('fast', 4, 'sentiment_analyze'), ('other', 1, 'preprocess'), ('other', 2, 'fallback_extract'), ('other', 3, 'validate')),
+            good AS (SELECT analysis_id, CASE WHEN mode = 'fast' THEN 'fast' ELSE 'other' END AS m FROM analyses WHERE error IS NULL)
+            SELECT analysis_id, 1 AS seq, 'start' AS type, NULL AS step FROM analyses UNION ALL SELECT analysis_id, 2 * k, 'step_start', step FROM good JOIN steps ON m = steps.mode UNION ALL SELECT analysis_id, 2 * k + 1, 'step_done', step FROM good JOIN steps ON m = steps.mode
+            UNION ALL SELECT analysis_id, CASE WHEN m = 'fast' THEN 10 ELSE 8 END, 'result', NULL FROM good UNION ALL SELECT analysis_id, CASE WHEN m = 'fast' THEN 11 ELSE 9 END, 'done', NULL FROM good
+            UNION ALL SELECT analysis_id, 2, 'error', NULL FROM analyses WHERE error IS NOT NULL UNION ALL SELECT analysis_id, 3, 'done', NULL FROM analyses WHERE error IS NOT NULL""",
         "tool_sft": "SELECT session_id, seq, skill_name, response.model AS model, len(messages) + 1 AS messages, response.content AS answer FROM tool_turns WHERE type = 'tool_llm' AND len(messages) > 0 AND coalesce(response.content, '') <> ''",
         "agent_sft": """WITH t AS (SELECT session_id, seq, CASE WHEN seq % 2 = 1 THEN messages END AS snapshot, response.content AS content, coalesce(response.finish_reason, '') <> 'stop' AS calls FROM tool_turns),
             c AS (SELECT *, last_value(snapshot IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS context FROM t),

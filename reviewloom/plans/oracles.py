@@ -51,6 +51,35 @@ def line_breaks(x: str) -> str:
     return f"translate({x}, {chars(clean.LINE_BREAKS)}, '')"
 
 
+def emails(x: str) -> str:
+    """Word boundaries are Unicode's: before the address one side is a word character and the other isn't, after it no word character stands.
+
+    Two rounds, as a match takes the character after it along, which the next address needs before it.
+    """
+    word = r"\p{L}\p{N}\p{M}\p{Pc}"
+    address = r"@[A-Za-z0-9.-]+\.[A-Za-z|]{2,}"
+    for _ in range(2):
+        x = f"regexp_replace({x}, {q(rf'(?:(^|[^{word}])[A-Za-z0-9_][A-Za-z0-9._%+-]*|([{word}])[.%+-][A-Za-z0-9._%+-]*){address}([^{word}]|$)')}, {q(chr(92) + '1' + chr(92) + '2' + chr(92) + '3')}, 'g')"
+    return x
+
+
+def time_expressions(x: str) -> str:
+    """Look-around becomes a character that is put back; two rounds, as above."""
+    for rule in timex.TIME_RULES:
+        plain = re2(rule.replace(r"(?<!\d)", "").replace(r"(?!\d)", "").replace("(?![分秒])", ""))
+        if "(?<!" in rule:
+            for _ in range(2):
+                x = f"regexp_replace({x}, {q(rf'(^|[^\p{{Nd}}])(?:{plain.replace('(', '(?:')})([^\p{{Nd}}]|$)')}, {q(chr(92) + '1' + chr(92) + '2')}, 'g')"
+        elif "(?!" in rule:
+            for _ in range(2):
+                x = f"regexp_replace({x}, {q(rf'(?:{plain})([^分秒]|$)')}, {q(chr(92) + '1')}, 'g')"
+        else:
+            x = sub(x, plain)
+    for word in timex.FUZZY.split():
+        x = f"replace({x}, {q(word)}, '')"
+    return x
+
+
 def chinese_only(x: str) -> str:
     kept = r"\x{4E00}-\x{9FFF} " + clean.escaped(clean.CHINESE_PUNCTUATION) + r"\p{Nd}²³¹⁰⁴-⁹₀-₉①-⑨⑴-⑼⒈-⒐⓪⓵-⓽⓿❶-❾➀-➈➊-➒"
     return sub(x, f"[^{kept}]")
@@ -149,3 +178,63 @@ BASE = """
             CASE WHEN isnan(o.score) THEN NULL ELSE o.score END AS score
         FROM once o LEFT JOIN a ON o.analysis_id = a.analysis_id)
 """
+
+#: The cleaning tool, step by step, and the texts that it takes; blank ones fail.
+TOOL_STEPS = (line_breaks, entities, control, collapse, squeeze, lambda x: f"substr({x}, 1, 512)", garbled, urls, emails, phones, emojis, symbols, numbers)
+CLEANED = f"cleaned AS (SELECT request_id, x AS cleaned FROM ({steps('(SELECT request_id, text FROM reviews WHERE ' + squeeze('text') + " <> '')", *TOOL_STEPS)}))"
+
+
+def tokens_of(source: str, text: str, name: str = "grams") -> str:
+    """CTEs of the published tokens, with repeats: Latin words, and Chinese pieces of 2 to 4 characters."""
+    return rf"""
+        {name}_runs AS (SELECT request_id, unnest(regexp_extract_all(lower({text}), '[a-z]{{2,}}|[\x{{4e00}}-\x{{9fff}}]+')) AS run FROM {source}),
+        {name} AS (SELECT request_id, run AS token FROM {name}_runs WHERE regexp_matches(run, '^[a-z]')
+            UNION ALL SELECT request_id, substr(run, p::INT, n::INT) FROM (SELECT request_id, run, unnest(range(1, length(run) + 1)) AS p FROM {name}_runs WHERE NOT regexp_matches(run, '^[a-z]')), (VALUES (2), (3), (4)) AS sizes(n) WHERE p + n - 1 <= length(run))"""
+
+
+def rejected(keyword: str, text: str, stopwords: bool) -> str:
+    """Whether a keyword fails validation, repeats left aside."""
+    bare = f"length(replace({keyword}, ' ', ''))"
+    spanned = f"(span >= 0 AND span <= 2 * {bare})"
+    return f"(length({keyword}) > 6 OR {is_time(keyword)} OR {is_date(keyword)}{' OR ' + is_stop(keyword) if stopwords else ''} OR ({text} <> '' AND NOT {spanned}))"
+
+
+def ranked_tfidf(name: str, wanted: str, top: int = 8, corpus: str = "cleaned") -> str:
+    """CTEs: the best tokens of the ``wanted`` texts of ``corpus``, with frequencies over all of it, and which of them pass validation."""
+    return f"""
+        {tokens_of(corpus, 'cleaned')},
+        counts AS (SELECT request_id, token, count(*) AS n FROM grams GROUP BY ALL), sized AS (SELECT *, sum(n) OVER (PARTITION BY request_id) AS total FROM counts),
+        idf AS (SELECT token, ln((SELECT count(*) FROM {corpus}) / count(*)) AS idf FROM counts GROUP BY token),
+        weighted AS (SELECT request_id, token, round(n / total * idf, 6) AS weight FROM sized JOIN idf USING (token) WHERE request_id IN (SELECT request_id FROM {wanted})),
+        best AS (SELECT request_id, token, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, token) AS rank FROM weighted QUALIFY rank <= {top}),
+        spans AS (SELECT b.*, c.cleaned, {span('token', 'cleaned')} AS span FROM best b JOIN {corpus} c USING (request_id)),
+        {name} AS (SELECT request_id, string_agg(token, '|' ORDER BY rank) AS keywords FROM spans WHERE NOT {rejected('token', 'cleaned', False)} GROUP BY request_id)"""
+
+
+def rule_words(source: str, text: str, name: str = "ruled") -> str:
+    """CTEs of the rule backend's keywords of each text, post-processed: ``request_id, place, keyword, score, kept`` and ``{name}`` of the eight first."""
+    from ..operators.models import BLAME, PRAISE
+
+    rows = ", ".join(f"({k}, {q(w)}, {s})" for k, (w, s) in enumerate([(w, 0.9) for w in PRAISE] + [(w, 0.8) for w in BLAME]))
+    return f"""
+        words(place, keyword, score) AS (VALUES {rows}),
+        said AS (SELECT request_id, {text} AS text, place, keyword, score, {span('keyword', text)} AS span FROM {source}, words WHERE contains(lower({text}), keyword)),
+        {name} AS (SELECT request_id, place, keyword, score FROM said WHERE NOT {rejected('keyword', 'text', True)} QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY score DESC, place) <= 8)"""
+
+
+def felt(text: str) -> tuple[str, str]:
+    """The rule backend's label and confidence for a text."""
+    from ..operators.models import BLAME, PRAISE
+
+    count = lambda ws: " + ".join(f"((length(lower({text})) - length(replace(lower({text}), {q(w)}, ''))) // {len(w)})" for w in ws)
+    good, bad = f"({count(PRAISE)})", f"({count(BLAME)})"
+    return f"CASE WHEN {good} > {bad} THEN 'positive' WHEN {good} < {bad} THEN 'negative' ELSE 'neutral' END", f"round(0.5 + least(0.49, abs({good} - {bad}) / 10), 2)"
+
+
+def text_rank(words: str, rounds: int = 10, damping: float = 0.85, top: int = 8) -> str:
+    """TextRank over co-occurrence within five words, round by round."""
+    ctes = [words, """edges AS (SELECT a.request_id, least(a.token, b.token) AS a, greatest(a.token, b.token) AS b, count(*) AS w FROM words a JOIN words b ON a.request_id = b.request_id AND b.pos > a.pos AND b.pos < a.pos + 5 WHERE a.token <> b.token GROUP BY ALL),
+        both_ways AS (SELECT request_id, a, b, w FROM edges UNION ALL SELECT request_id, b, a, w FROM edges), degree AS (SELECT request_id, a, sum(w) AS out FROM both_ways GROUP BY ALL),
+        parts AS MATERIALIZED (SELECT request_id, a, b, w / out AS share FROM both_ways JOIN degree USING (request_id, a)), s0 AS (SELECT request_id, a AS token, 1.0::DOUBLE AS score FROM degree)"""]
+    ctes += [f"s{k} AS MATERIALIZED (SELECT p.request_id, p.b AS token, {1 - damping} + {damping} * sum(p.share * s.score) AS score FROM parts p JOIN s{k - 1} s ON p.request_id = s.request_id AND p.a = s.token GROUP BY ALL)" for k in range(1, rounds + 1)]
+    return f"WITH {', '.join(ctes)}, r AS (SELECT request_id, token, round(score / max(score) OVER (PARTITION BY request_id), 6) AS weight FROM s{rounds}) SELECT request_id, token, weight, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, token) AS rank FROM r QUALIFY rank <= {top}"

@@ -39,11 +39,16 @@ def reviewer_state(stream: DataFrame, most: int = 50) -> DataFrame:
     def update(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         tags, total = state.get if state.exists else ([], 0)
         tags = list(tags)
-        for pdf in frames:
-            for word in pdf.sort_values("seq")["keyword"]:
-                total += 1
-                if word not in tags:
-                    tags = [*tags, word][-most:]
+        # Words come in order over all of a batch's frames; only the distinct ones in a row's worth of new words are looked at.
+        words = pd.concat(list(frames), ignore_index=True).sort_values("seq", kind="stable")["keyword"]
+        total += len(words)
+        known = dict.fromkeys(tags)
+        for word in words[words.ne(words.shift())]:
+            if word not in known:
+                known[word] = None
+                if len(known) > most:
+                    del known[next(iter(known))]
+        tags = list(known)
         state.update((tags, total))
         yield pd.DataFrame({"reviewer_id": [key[0]], "total": [total], "tags": [tags]})
 
@@ -51,13 +56,41 @@ def reviewer_state(stream: DataFrame, most: int = 50) -> DataFrame:
     return rows.groupBy("reviewer_id").applyInPandasWithState(update, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+STEPS = {"offline": ("preprocess", "fallback_extract", "validate"), "fast": ("preprocess", "keyword_extract", "validate", "sentiment_analyze")}
+
+
 def analysis_events(results: DataFrame, key: str) -> DataFrame:
-    """``key, seq, type, payload``: start, each step, result and done of every analysis, in order."""
-    step = lambda seq, kind, payload: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("type"), payload.alias("payload"))
-    events = F.array(
-        step(1, "start", F.lit(None).cast("string")), step(2, "step_done", F.to_json(F.struct("cleaned_text"))), step(3, "step_done", F.to_json(F.struct("keywords"))), step(4, "result", F.to_json(F.struct("analysis_complete", "mode"))), step(5, "done", F.lit(None).cast("string"))
-    )
-    return results.select(key, F.explode(events).alias("e")).select(key, "e.*")
+    """``key, seq, type, step, payload``: start, the mode's steps each begun and done, result and done of every analysis, in order.
+
+    A result with an error has one ``error`` event between start and done; a missing column gives no payload. It works on streams as on tables.
+    """
+    event = lambda kind, step=None, payload=None: F.struct(F.lit(kind).alias("type"), F.lit(step).cast("string").alias("step"), (F.lit(None).cast("string") if payload is None else payload).alias("payload"))
+    output = {step: F.to_json(F.struct(c)) for step, c in (("preprocess", "cleaned_text"), ("sentiment_analyze", "sentiment"), ("validate", "keywords")) if c in results.columns}
+    error = F.col("error") if "error" in results.columns else F.lit(None).cast("string")
+    steps = {m: F.array(*[e for n in names for e in (event("step_start", n), event("step_done", n, output.get(n)))]) for m, names in STEPS.items()}
+    told = F.concat(F.when(F.col("mode") == "fast", steps["fast"]).otherwise(steps["offline"]), F.array(event("result", None, F.to_json(F.struct("analysis_complete", "mode")))))
+    failed = F.array(event("error", None, F.to_json(F.struct(error.alias("error")))))
+    events = F.concat(F.array(event("start")), F.when(error.isNull(), told).otherwise(failed), F.array(event("done")))
+    return results.select(key, F.posexplode(events).alias("p", "e")).select(key, (F.col("p") + 1).alias("seq"), "e.*")
+
+
+def agent_events(rows: DataFrame, key: str) -> DataFrame:
+    """``key, seq, type, content`` of agent rows: start, the steps of the dialogue, reflection rounds, result and done, in order."""
+    event = lambda kind, content=None: F.struct(F.lit(kind).alias("type"), (F.lit(None).cast("string") if content is None else content).alias("content"))
+    rounds = F.transform(F.sequence(F.lit(1), F.col("rounds")), lambda k: F.struct(F.lit("reflection_supplement").alias("type"), k.cast("string").alias("content"))) if "rounds" in rows.columns else None
+    reflected = [F.when(F.col("rounds") > 0, rounds).otherwise(F.array().cast("array<struct<type:string,content:string>>"))] if rounds is not None else []
+    events = F.concat(F.array(event("start")), F.col("trace"), *reflected, F.array(event("result", F.to_json(F.struct("keywords", "sentiment"))), event("done")))
+    return rows.select(key, F.posexplode(events).alias("p", "e")).select(key, (F.col("p") + 1).alias("seq"), "e.*")
+
+
+def merged_deltas(deltas: DataFrame) -> DataFrame:
+    """Tool calls of a token stream, whose parts come one after the other: ``message_id, index, id, name, arguments``.
+
+    ``deltas`` has ``message_id, seq, index, id, name, arguments``; the first id and name of an index hold, its arguments are
+    joined in order of ``seq``.
+    """
+    grouped = deltas.groupBy("message_id", "index").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(c) for c in ("id", "name")], F.array_sort(F.collect_list(F.struct("seq", F.coalesce("arguments", F.lit("")).alias("a")))).alias("parts"))
+    return grouped.select("message_id", "index", "id", "name", F.array_join(F.transform("parts", lambda p: p["a"]), "").alias("arguments"))
 
 
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:

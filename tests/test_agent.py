@@ -2,7 +2,7 @@ import json
 
 from reviewloom.__main__ import main
 from reviewloom.operators import agent, sessions
-from reviewloom.operators.models import Reply
+from reviewloom.operators.models import Call, Reply
 
 
 class Script:
@@ -76,3 +76,46 @@ def test_command_line(spark, tmp_path, capsys):
     for kind in ("tool-sft", "tool-supervision"):
         assert main(["export", kind, str(tmp_path / "t"), "--out", str(tmp_path / kind)]) == 0
     assert main(["stats", str(tmp_path / "t")]) == 0 and "1" in capsys.readouterr().out
+
+
+def test_native_calls_and_overflow():
+    call = Call("c1", "add", '{"a": 1, "b": 2}')
+    script = Script(Reply("", "tool_calls", (call, Call("c2", "add", "not json"))), "done")
+    got = agent.run_agent(script, "s", "q", {"add": lambda a=0, b=0: a + b})
+    assert [json.loads(b)["data"] for _, b in got["results"]] == [3, 0] and "c1" in script.seen[1][0] and got["trace"][0] == ("thought_and_action", "add,add")
+    full = agent.run_agent(Script(ValueError("maximum context length")), "s", "q", {})
+    assert full["ended"] == "overflow" and agent.run_agent(Script(ValueError("auth")), "s", "q", {})["ended"] == "error"
+
+
+def test_agent_over_a_table(spark):
+    df = spark.createDataFrame([(1, "质量很好"), (2, None), (3, "ok 没有")], "id int, text string")
+    got = {r["id"]: r for r in agent.agent_rows(df, "id", "text").collect()}
+    assert [k["keyword"] for k in got[1]["keywords"]] == ["好"] and got[1]["sentiment"]["label"] == "positive" and got[1]["steps"] == 2 and got[1]["analysis_complete"]
+    assert got[2]["keywords"] == [] and len(got) == 3 and agent.agent_rows(df.where("id = 9"), "id", "text").count() == 0
+    assert [(t["type"]) for t in got[3]["trace"]] == ["thought_and_action", "final_summary"]
+
+
+class Critic:
+    """Proposes one more word of the text a round, one that isn't in it, and one with a low score; fails for some texts."""
+
+    def complete(self, system, user, seed):
+        asked = json.loads(user)
+        if "坏" in asked["text"]:
+            raise ValueError("auth")
+        have = {k["keyword"] for k in asked["keywords"]}
+        more = [w for w in ("质量", "物流", "包装", "手感") if w in asked["text"] and w not in have][:1]
+        add = [{"keyword": w, "score": 0.9} for w in more] + [{"keyword": "不在", "score": 0.9}, {"keyword": "手感", "score": 0.2}]
+        return Reply(json.dumps({"passed": False, "add_keywords": add, "remove_keywords": ["外观"]}, ensure_ascii=False))
+
+
+def test_reflection_over_a_table(spark):
+    k = "array<struct<reasoning:string,keyword:string,score:double>>"
+    low, kept, gone = ("", "差", 0.1), ("", "价格", 0.95), ("", "外观", 0.8)
+    rows = [(1, "质量物流包装手感价格很好很好很好很好很好很好", [low, kept, gone], None), (2, "短", [kept, gone, low], None), (3, "坏坏坏坏", [kept], None), (4, "没有词没有词", None, None), (5, None, [kept], None)]
+    df = spark.createDataFrame(rows, f"id int, text string, keywords {k}, sentiment struct<label:string,confidence:double,reasoning:string>")
+    got = {r["id"]: r for r in agent.reflect_rows(df, "id", "text", "keywords", "sentiment", Critic).collect()}
+    assert [x["keyword"] for x in got[1]["keywords"]] == ["价格", "质量", "物流", "包装", "手感"] and got[1]["rounds"] == 4 and got[1]["passed"]
+    assert [x["keyword"] for x in got[2]["keywords"]] == ["价格", "外观"] and got[2]["rounds"] == 0 and got[2]["passed"]
+    assert got[3]["rounds"] == 1 and got[3]["passed"] and got[4]["keywords"] == [] and got[4]["rounds"] == 1 and len(got) == 5
+    capped = {r["id"]: r for r in agent.reflect_rows(df, "id", "text", "keywords", "sentiment", Critic, rounds=2).collect()}
+    assert capped[1]["rounds"] == 2 and len(capped[1]["keywords"]) == 3

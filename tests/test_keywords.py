@@ -87,3 +87,31 @@ def test_small_predicates(apply):
     assert apply(kw.backend_of, None, "http://localhost:8000", "https://api.openai.com/v1", "https://x.example", "10.1.2.3", "offline", "box") == ["offline", "local_model", "cloud_api", "cloud_api", "local_model", "offline", "local_model"]
     assert apply(kw.minimum_keywords, "短", "长" * 59, "长" * 119, "长" * 120) == [2, 5, 8, 10]
     assert apply(kw.route, "短", "长" * 30) == ["fast", "agent"]
+
+
+def test_spans_equal_brute_force(spark):
+    """The shortest window over all starts, for repetitive texts, exact matches, missing characters, spaces and pictures."""
+    import random
+
+    from reviewloom.functions.keywords import min_span
+
+    def brute(kw, text):
+        kw, best = kw.replace(" ", ""), -1
+        if not kw or not text:
+            return -1
+        for start in [k for k, c in enumerate(text) if c == kw[0]]:
+            at = start
+            for c in kw[1:]:
+                at = text.find(c, at + 1)
+                if at < 0:
+                    break
+            if at >= 0:
+                best = at - start + 1 if best < 0 else min(best, at - start + 1)
+        return best
+
+    rng = random.Random(5)
+    rows = [("".join(rng.choices("ab好😀", k=rng.randint(0, 4))), "".join(rng.choices("ab好😀c", k=rng.randint(0, 12)))) for _ in range(400)]
+    rows += [("不粘肉", "衣服不怎么粘肉"), ("没退货", "已经退货"), ("a b", "ab"), ("", "a"), ("a", ""), (".*", "a.b*")]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, kw string, text string")
+    got = {r["id"]: r["span"] for r in df.select("id", min_span(df["kw"], df["text"]).alias("span")).collect()}
+    assert [got[k] for k in range(len(rows))] == [brute(*r) for r in rows]

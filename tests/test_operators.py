@@ -3,7 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.operators import extract, lookups, models, profiles, reflect, training
+from reviewloom.operators import extract, lookups, models, profiles, reflect, sessions, training
 from reviewloom.plans import catalog, pipeline
 
 
@@ -50,7 +50,7 @@ def test_whole_lexicon(spark, tmp_path):
         # Every word of two letters or more that the text holds, by its first place: all these keys are tokens but the last.
         places = sorted((t.lower().find(w.lower()), w.lower()) for w in keys if t and len(w) > 1 and w.lower() in t.lower())
         expected += [(k, w, n) for n, (_, w) in enumerate(places, 1)]
-    assert rows(catalog.queries()["lexicon_keywords_whole"](spark, str(tmp_path)), "request_id", "token", "rank") == sorted(expected)
+    assert rows(catalog.queries()["lexicon_keywords"](spark, str(tmp_path)), "request_id", "token", "rank") == sorted(expected)
     assert {"保温杯", "wifi", "usb", "性价比高"} <= {w for _, w, _ in expected}
 
 
@@ -116,8 +116,12 @@ def test_memory(spark):
     compact = training.compact_memory(m)
     assert compact.where(F.col("content") == training.COMPACTED).count() == 2
     assert training.context_chars(m).first()["chars"] == 40
-    events = spark.createDataFrame([("s", 1, "keyword_extract", "a"), ("s", 2, "keyword_extract", "b"), ("s", 3, "sentiment_analyze", "c"), ("t", 1, "validate", "[]")], "session_id string, seq bigint, tool string, result string")
-    assert rows(training.assemble_results(events), "session_id", "final_keywords", "complete") == [("s", "b", True), ("t", "[]", True)]
+    listed = lambda *ws: '{"keywords": [' + ", ".join(f'["r", "{w}", 0.9]' for w in ws) + "]}"
+    told = [("s", 1, "keyword_extract", listed("a")), ("s", 2, "keyword_extract", listed("b", "b")), ("s", 3, "sentiment_analyze", "c"), ("t", 1, "validate", '{"valid_keywords": []}'), ("t", 0, "keyword_extract", listed("x"))]
+    told += [("u", 1, "keyword_extract", listed()), ("u", 2, "fallback_extract", listed("f")), ("v", 1, "sentiment_analyze", "c"), ("w", 1, "preprocess", "p"), ("w", 2, "keyword_extract", "broken")]
+    got = training.assemble_results(spark.createDataFrame(told, "session_id string, seq bigint, tool string, result string"))
+    named = got.withColumn("n", F.array_join(F.transform("final_keywords", lambda k: k["keyword"]), "|"))
+    assert rows(named, "session_id", "n", "complete") == [("s", "b", True), ("t", "", False), ("u", "f", True), ("v", "", True), ("w", "", False)]
 
 
 def test_reflection(spark):
@@ -172,8 +176,94 @@ def test_offline_pipeline(spark):
     got = {r["id"]: r for r in pipeline.run_offline(df, "id", "text").collect()}
     assert got[1]["analysis_complete"] and got[2]["error"] and got[3]["error"] and got[1]["sentiment"] is None and len(got) == 4
     fast = {r["id"]: r for r in pipeline.run_fast(df, "id", "text").collect()}
-    assert fast[1]["sentiment"]["label"] == "positive" and fast[2]["sentiment"] is None
-    assert pipeline.TOOLS.names() == ["analyze_offline", "fallback_extract", "preprocess", "sentiment_analyze", "validate"]
+    assert fast[1]["sentiment"]["label"] == "positive" and fast[2]["sentiment"]["label"] == "unknown" and fast[2]["error"]
+    assert pipeline.TOOLS.names() == ["analyze_fast", "analyze_offline", "fallback_extract", "keyword_extract", "preprocess", "sentiment_analyze", "validate"]
     assert pipeline.TOOLS.run("preprocess", df).count() == 4
     with pytest.raises(KeyError):
         pipeline.TOOLS.run("none", df)
+
+
+class Spoken:
+    """A model that finds the word for quality, fails for texts with a bad word, and is full for long ones."""
+
+    def complete(self, system, user, seed):
+        if "坏" in user and not system.startswith(models.SENTIMENT_TASK):
+            raise ValueError("auth")
+        if system.startswith(models.KEYWORD_TASK):
+            return models.Reply('思考 {"keywords": [["r", "质量", 0.9], ["r", "不在文中", 0.9]]}' if "质量" in user else "没有")
+        if system.startswith(models.SENTIMENT_TASK):
+            return models.Reply("没有" if "物流" in user else '{"sentiment": ["r", "正向", 0.9]}')
+        if system.startswith(models.REFLECT_TASK):
+            return models.Reply('{"passed": false, "add_keywords": [{"keyword": "做工", "score": 0.8}, {"keyword": "屏幕", "score": 0.9}, {"keyword": "外观", "score": 0.1}], "remove_keywords": []}')
+        if "满" in user:
+            raise ValueError("maximum context length is 8")
+        if "结果]" in user:
+            return models.Reply("完成")
+        return models.Reply("", "tool_calls", (models.Call("c1", "keyword_extract", "{}"), models.Call("c2", "sentiment_analyze", "bad json"), models.Call("c3", "none", "{}")))
+
+
+def test_fast_pipeline_falls_back(spark):
+    df = spark.createDataFrame([(1, "质量可以"), (2, "物流拖延"), (3, "坏了"), (4, "质量可以"), (5, None)], "id int, text string")
+    got = {r["id"]: r for r in pipeline.run_fast(df, "id", "text", Spoken).collect()}
+    names = lambda r: [k["keyword"] for k in r["keywords"]]
+    assert len(got) == 5 and names(got[1]) == names(got[4]) == ["质量"] and got[1]["source"] == "model" and got[1]["sentiment"]["label"] == "positive"
+    assert got[2]["source"] == "fallback" and "物流" in names(got[2]) and got[2]["sentiment"]["label"] == "unknown" and got[3]["source"] == "fallback"
+    assert got[5]["source"] is None and got[5]["error"] and got[5]["sentiment"]["label"] == "unknown"
+    assert pipeline.run_fast(df.where("false"), "id", "text", Spoken).count() == 0
+    batch = pipeline.run_batch(df.withColumn("n", F.col("id") * 10), "text", "n", make=Spoken)
+    assert sorted(r["batch_index"] for r in batch.collect()) == [10, 20, 30, 40, 50]
+
+
+def test_router(spark):
+    long = "质量可以，做工一般，" + "就这样吧没有别的了" * 4
+    df = spark.createDataFrame([(1, "质量可以", "a"), (2, long, "a"), (3, long + "满", "b"), (4, long + "坏", None)], "id int, text string, reviewer_id string")
+    known = spark.createDataFrame([("a", 9)], "reviewer_id string, total_reviews bigint")
+    got = {r["id"]: r for r in pipeline.run(df, "id", "text", Spoken, profiles=known, reviewer="reviewer_id").collect()}
+    names = lambda r: [k["keyword"] for k in r["keywords"]]
+    assert len(got) == 4 and got[1]["mode"] == "fast" and got[2]["mode"] == "agent-prompt" and got[3]["mode"] == "agent-native-fallback-fast" and got[3]["warnings"]
+    # One word of the text comes in; what isn't in it or scores low doesn't, and a round without news ends it.
+    assert names(got[2]) == ["质量", "做工"] and got[2]["rounds"] == 2 and got[2]["steps"] == 2 and got[2]["sentiment"]["label"] == "positive"
+    assert got[4]["error"] and not got[4]["analysis_complete"] and len({r["trace_id"] for r in got.values()}) == 4
+    assert [got[k]["detail_level"] for k in (1, 2, 3, 4)] == ["standard", "standard", "full", None]
+    offline = pipeline.run(df, "id", "text", Spoken, backend="offline").collect()
+    assert {r["mode"] for r in offline} == {"offline"} and {r["mode"] for r in pipeline.run(df, "id", "text", Spoken, fast=True).collect()} == {"fast"}
+
+
+def test_tokens_beyond_the_broadcast_bound(spark, monkeypatch):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["质量很好", "质量可靠 ok", "物流很快 ok", "好"])], "id int, text string")
+    whole = rows(extract.tf_idf(df, "id", "text"), "doc", "token", "weight", "rank")
+    monkeypatch.setattr(extract, "MAX_VOCABULARY", 3)
+    assert rows(extract.tf_idf(df, "id", "text"), "doc", "token", "weight", "rank") == whole
+    given = spark.createDataFrame([(t, float(k)) for k, t in enumerate(sorted({t for _, t, *_ in whole}))], "token string, idf double")
+    few = rows(extract.tf_idf(df, "id", "text", idf=given), "doc", "token", "weight", "rank")
+    monkeypatch.setattr(extract, "MAX_VOCABULARY", 1_000_000)
+    assert rows(extract.tf_idf(df, "id", "text", idf=given), "doc", "token", "weight", "rank") == few
+
+
+def test_methods(spark):
+    df = spark.createDataFrame([(1, "质量很好"), (2, "  "), (3, None)], "id int, text string")
+    words = spark.createDataFrame([("质量", "n")], "word string, pos string")
+    assert [(r["doc"], [k["keyword"] for k in r["keywords"]]) for r in extract.extract(df, "id", "text", "pos", lexicon=words).collect()] == [(1, ["质量"])]
+    assert extract.extract(df, "id", "text", "pos").count() == 0 and extract.extract(df, "id", "text", "unknown").count() == 1
+
+
+def test_reports_and_details(spark, base):
+    analyses, keywords = base
+    report = profiles.product_report(analyses, keywords, "p").collect()
+    assert [(r["name"], r["count"], r["value"]) for r in report if r["section"] == "sentiment"] == [("positive", 2, 40.0), ("negative", 1, 20.0), ("neutral", 1, 20.0)]
+    assert [r["name"] for r in report if r["section"] == "keyword"][0] == "好" and [r["name"] for r in report if r["section"] == "issue"] == ["差"] and [r["name"] for r in report if r["section"] == "strength"] == ["好"]
+    assert profiles.product_report(analyses, keywords, "none").count() == 0
+    table = spark.createDataFrame([("b",), ("a",), (None,), ("b",)], "product_id string")
+    assert [r[0] for r in profiles.profile_keys(table, "product_id").collect()] == ["a", "b"]
+
+
+def test_counters_and_tasks(spark):
+    df = spark.createDataFrame([("fast", None), ("fast", "e"), (None, None)], "mode string, error string")
+    assert rows(lookups.status_counters(df), "mode", "status", "n") == [("fast", "error", 1), ("fast", "success", 1), ("unknown", "success", 1)]
+    assert rows(lookups.tool_counters(df, "mode", F.col("error").isNull()), "tool", "success", "n") == [("fast", False, 1), ("fast", True, 1), ("unknown", True, 1)]
+    log = sessions.task_entries(df, "t", 3)
+    assert [r["state"] for r in log.orderBy("seq").collect()] == ["pending", "processing", "completed"]
+    assert sessions.task_of(log, "t").first().asDict() == {"task_id": "t", "state": "completed", "completed": 2, "failed": 1, "total": 3}
+    assert sessions.task_of(log, "u").count() == 0 and sessions.task_entries(df.where("error IS NOT NULL"), "t", 1).where("state = 'failed'").count() == 1
+    told = log.withColumn("result", F.when(F.col("seq") == 1, F.lit('{"a": 1}')))
+    assert sessions.task_of(told, "t", "a int").first()["result"]["a"] == 1
