@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .columns import map_batches, pick
 from .confusables import table
-from .lookalike import consistent_form
+from .lookalike import _FOREIGN, consistent_form
 
 #: A key is hot from this number of rows on: so many ids and keys, 24 bytes each, are one task's at most.
 HOT_LEAST = 100_000
@@ -25,9 +25,11 @@ SALTS = 64
 #: Signs that say something: a decimal point, a number's sign, per cent and degree, a plus or number sign after a letter
 #: (C++, C#), currencies, and pictures. All other signs, spaces and invisible characters are formatting.
 _SAYING = r"(?<=\d)[.](?=\d)|(?<![\p{L}\p{N}\p{M}\-−+])[\-−+±](?=\d)|(?<=[\p{L}\p{N}+])\+|(?<=\p{Latin})#|(?<=\d ?)[%‰°]|\p{Sc}|[\p{So}&&\p{Extended_Pictographic}]|[\U0001F1E6-\U0001F1FF]"
-_SIGN = regex.compile(rf"({_SAYING})|[^\p{{L}}\p{{N}}\p{{M}}]|\p{{Default_Ignorable_Code_Point}}", regex.V1)
+_FORMATTING = regex.compile(rf"(?:(?!{_SAYING})[^\p{{L}}\p{{N}}\p{{M}}]|\p{{Default_Ignorable_Code_Point}})+", regex.V1)
+#: All signs, for texts without any that may say something.
+_SIGNS = regex.compile(r"(?:[^\p{L}\p{N}\p{M}]|\p{Default_Ignorable_Code_Point})+")
+_MAY_SAY = regex.compile(r"[.\-−+±#%‰°\p{Sc}\p{Extended_Pictographic}\U0001F1E6-\U0001F1FF]")
 _ALIKE = str.maketrans("−￥﹩＄", "-¥$$")
-_WRITTEN = regex.compile(r"[^\p{L}\p{N}\p{M}]|\p{Default_Ignorable_Code_Point}")
 _LABEL = r"(\p{L}[\p{L}\p{M}\p{N}_ ]{0,23}?)"
 _BRACKETED = regex.compile(rf"[【\[]\s*{_LABEL}\s*[】\]]\s*[:：]?")
 #: A label stands at the start of a line or after a separator, and is followed by a colon, an equals sign or a dash between spaces.
@@ -40,11 +42,14 @@ _ANY_LABEL = regex.compile(r"[:：=\]】]|\s[-–—]\s")
 
 def _plain(text: str) -> str:
     """Letters and digits in lower case with look-alikes on their prototypes, and the signs that say something."""
-    plain = _SIGN.sub(lambda m: m[1] or "", text).lower() if _WRITTEN.search(text) else text.lower()
-    if plain.isascii():
+    if _MAY_SAY.search(text):
+        plain = _FORMATTING.sub("", text).lower().translate(_ALIKE)
+    else:
+        plain = _SIGNS.sub("", text).lower()
+    if plain.isascii() or not _FOREIGN.search(plain):
         return plain
     inside = table().inside_latin
-    return "".join(inside.get(c, c) for c in plain.translate(_ALIKE))
+    return "".join(inside.get(c, c) for c in plain)
 
 
 def _flat(value: object) -> str:
