@@ -245,16 +245,21 @@ def tokenize(texts: list[str]) -> Tokens:
     return Tokens(classes[keep], sizes - (classes[keep] == BEGIN), of, echo[keep], code[keep], mostly)
 
 
-def _window_sums(values: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Around each token, within its text: the sum over the window and the window's number of tokens."""
-    n, half = len(values), WINDOW // 2
+def _windows(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token's window begins and ends, within its text."""
+    n, half = len(text), WINDOW // 2
     first = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
     ends = np.r_[first[1:], n]
     begin, end = np.repeat(first, ends - first), np.repeat(ends, ends - first)
     at = np.arange(n)
     # At a text's edge the window keeps its width, if the text is as long.
     low = np.maximum(begin, np.minimum(at - half, end - WINDOW))
-    high = np.minimum(end, np.maximum(at + half + 1, begin + WINDOW))
+    return low, np.minimum(end, np.maximum(at + half + 1, begin + WINDOW))
+
+
+def _window_sums(values: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Around each token, within its text: the sum over the window and the window's number of tokens."""
+    low, high = _windows(text)
     total = np.r_[0, np.cumsum(values)]
     return total[high] - total[low], high - low
 
@@ -269,10 +274,10 @@ def _contexts(t: Tokens) -> np.ndarray:
 
 def _prose(t: Tokens) -> np.ndarray:
     """Tokens to train on: windows with function words and few repetitions, or of labelled lines; without links and tags."""
-    share = {}
+    share, (low, high) = {}, _windows(t.text)
     for name, kinds in (("function", (FUNCTION,)), ("again", (AGAIN_SHORT, AGAIN_LONG, AGAIN_CHAIN)), ("chain", (AGAIN_CHAIN,)), ("web", (LINK, TAG)), ("colon", (COLON,)), ("break", (BREAK,)), ("sign", (SIGN, GAP))):
-        total, width = _window_sums(np.isin(t.classes, kinds).astype(np.float64), t.text)
-        share[name] = total / width
+        total = np.r_[0, np.cumsum(np.isin(t.classes, kinds))]
+        share[name] = (total[high] - total[low]) / (high - low)
     prose = (share["function"] >= 0.2) & (share["again"] <= 0.3)
     sheet = (share["colon"] >= 0.14) & (share["break"] >= 0.1) & (share["again"] <= 0.12)
     return (prose | sheet) & (share["web"] == 0) & (share["chain"] == 0) & (share["sign"] <= 0.2)
@@ -312,8 +317,13 @@ def fit(counts: np.ndarray) -> Model:
 
 def _listed(t: Tokens) -> np.ndarray:
     """Around each token: whether its window is one of a list of words, links or tags."""
-    count = lambda chosen: _window_sums(chosen.astype(np.float64), t.text)[0]
-    width = _window_sums(np.ones(len(t.classes)), t.text)[1]
+    low, high = _windows(t.text)
+    width = high - low
+
+    def count(chosen: np.ndarray) -> np.ndarray:
+        total = np.r_[0, np.cumsum(chosen)]
+        return total[high] - total[low]
+
     again, fresh = np.isin(t.classes, (AGAIN_SHORT, AGAIN_LONG, AGAIN_CHAIN, LINK, TAG)), np.isin(t.classes, (SHORT, MIDDLE, LONG))
     content = count(again | fresh)
     listed = count(again) >= LISTED * content
@@ -331,8 +341,12 @@ def abnormal_shares(texts: list[str], model: Model) -> np.ndarray:
     logs = model.logs.reshape(-1)[language * CLASSES**3 + _contexts(t)]
     total, width = _window_sums(logs, t.text)
     mean = total / width
-    odd = ((mean < model.low[language]) | (mean > model.high[language])) & _listed(t)
+    odd = (mean < model.low[language]) | (mean > model.high[language])
     n = len(texts)
+    # Most texts have no odd window; only the others are looked at for lists.
+    some = (np.bincount(t.text[odd], minlength=n) > 0)[t.text]
+    if some.any():
+        odd[some] &= _listed(Tokens(*[x[some] for x in t[:-1]], t.han))
     return np.bincount(t.text, weights=t.lengths * odd, minlength=n) / np.maximum(1, np.bincount(t.text, weights=t.lengths, minlength=n))
 
 
