@@ -63,8 +63,9 @@ def tf_idf(df: DataFrame, doc: str, text: str, top_k: int = 8, idf: DataFrame |
     placed = df.select(F.col(doc).alias("doc"), F.col(text).alias("text"))
     if not _is_placed(df, doc):
         placed = placed.repartition(parts, F.col("doc"))
-    counts = placed.select("doc", F.explode(bag_of(F.col("text"))).alias("token")).groupBy("doc", "token").agg(F.count("*").alias("n"))
-    sized = counts.withColumn("total", F.sum("n").over(Window.partitionBy("doc")))
+    bags = placed.select("doc", bag_of(F.col("text")).alias("bag"))
+    # A text's number of tokens goes along with each, so no pass over its counts has to sum them up.
+    sized = bags.select("doc", F.size("bag").alias("total"), F.explode("bag").alias("token")).groupBy("doc", "total", "token").agg(F.count("*").alias("n"))
     known = cut_lineage((document_frequencies(df, doc, text) if idf is None else idf).select("token", *([] if idf is not None else ["df"]), "idf"))
     if known.count() <= MAX_VOCABULARY:
         weighted = sized.join(F.broadcast(known.select("token", "idf")), "token")
