@@ -45,6 +45,22 @@ def test_maps(spark):
     assert size.first()["records"] == 4
 
 
+@pytest.mark.parametrize("share", [2, 200])
+def test_maps_equal_brute_force(spark, monkeypatch, share):
+    """Heavy and light keys alike; a hot key of every map, keys that become equal, null values, null and empty maps."""
+    monkeypatch.setattr(fr.heavy_terms, "__defaults__", (share,))
+    rng = random.Random(2)
+    rows = [({"Hot": rng.randint(1, 9), **{f"k{rng.randint(0, 60)}": rng.choice([None, 1, 5]) for _ in range(4)}, **({" k1 ": 3} if k % 5 == 0 else {})},) for k in range(300)] + [(None,), ({},), ({" ": 5},)]
+    total, held = Counter(), Counter()
+    for (m,) in rows:
+        for k, v in (m or {}).items():
+            total[k.strip().lower()] += v or 0
+        held.update({k.strip().lower() for k in (m or {})})
+    counts, size = fr.map_key_counts(table(spark, rows, "keyword_counts map<string,bigint>").repartition(5), "keyword_counts")
+    assert tuples(counts, "term", "occurrences", "records") == sorted((t, n, held[t]) for t, n in total.items() if t)
+    assert size.first()["records"] == len(rows)
+
+
 def test_marks_and_empty(spark):
     counts = spark.createDataFrame([("a", 1, 2), ("b", 9, 9), ("c", 5, 5)], "term string, occurrences bigint, records bigint")
     size = spark.createDataFrame([(100,)], "records bigint")
