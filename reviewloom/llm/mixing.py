@@ -14,7 +14,8 @@ from .columns import pick
 
 #: Documents of one block; a block is one task's, whatever the source's size.
 BLOCK = 5000
-#: A block leaves at most two documents undecided, so so many blocks go into one block of the next level.
+#: A block leaves at most two documents undecided, so so many blocks go into one block of the next level; the first one
+#: takes a whole block of decided documents along.
 FAN_IN = BLOCK // 2
 TINY = 1e-9
 
@@ -51,15 +52,16 @@ def flight(chance: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> n
     return p
 
 
-def landing(chance: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def landing(chance: np.ndarray, before: np.ndarray, sizes: np.ndarray, free: np.ndarray | None = None) -> np.ndarray:
     """Decide the at most two documents that are left, then exchange a few to meet the expected tokens.
 
     One of the two may be long, so rounding alone can miss by half its tokens. What is missing or too much is made up by
     the longest documents that fit, from the longest down: a number of them that grows with the logarithm of the gap.
-    ``before`` holds the chances before the flight; a document that was certain then isn't touched.
+    ``before`` holds the chances before the flight; ``free`` says which documents may be exchanged, by default those that
+    weren't certain then.
     """
     p = chance.copy()
-    free = (before > TINY) & (before < 1 - TINY)
+    free = (before > TINY) & (before < 1 - TINY) if free is None else free
     left = [k for k in range(len(p)) if TINY < p[k] < 1 - TINY]
     wanted = sum(p[k] * sizes[k] for k in left)
     best = min(product((0.0, 1.0), repeat=len(left)), key=lambda xs: (abs(sum(x * sizes[k] for x, k in zip(xs, left, strict=True)) - wanted), xs))
@@ -75,22 +77,22 @@ def landing(chance: np.ndarray, before: np.ndarray, sizes: np.ndarray) -> np.nda
     return p
 
 
-def _decide(last: bool):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["record_id", "tokens"], kind="stable", ignore_index=True)
-        seed = np.random.default_rng([int(pdf["block"].iloc[0]) & 0x7FFFFFFF, *(ord(c) for c in str(pdf["source"].iloc[0]))])
-        sizes = pdf["tokens"].to_numpy()
-        # The largest first, so that what the flight leaves to the landing is small; equal sizes in random order.
-        order = np.lexsort((seed.random(len(pdf)), -sizes))
-        p = np.empty(len(pdf))
-        before = pdf["chance"].to_numpy()
-        p[order] = flight(before[order], sizes[order], seed)
-        return pdf.assign(chance=landing(p, before, sizes) if last else p)
+def _decide(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The flight over one block; where it is its source's only one, the landing as well."""
+    pdf = pdf.sort_values(["record_id", "tokens"], kind="stable", ignore_index=True)
+    seed = np.random.default_rng([int(pdf["block"].iloc[0]) & 0x7FFFFFFF, *(ord(c) for c in str(pdf["source"].iloc[0]))])
+    sizes = pdf["tokens"].to_numpy()
+    # The largest first, so that what the flight leaves to the landing is small; equal sizes in random order.
+    order = np.lexsort((seed.random(len(pdf)), -sizes))
+    p = np.empty(len(pdf))
+    before, first = pdf["chance"].to_numpy(), pdf["first"].to_numpy()
+    p[order] = flight(before[order], sizes[order], seed)
+    if int(pdf["blocks"].iloc[0]) == 1:
+        p = landing(p, before, sizes, (first > TINY) & (first < 1 - TINY))
+    return pdf.assign(chance=p)
 
-    return run
 
-
-SCHEMA = "record_id bigint, source string, tokens int, base int, chance double, block bigint"
+SCHEMA = "record_id bigint, source string, tokens int, base int, chance double, first double, block bigint, blocks bigint"
 
 
 def plan_mix(totals: list[tuple[str, int, int]], targets: list[tuple[str, float, int]]) -> dict[str, float]:
@@ -116,8 +118,9 @@ def mix(sizes: DataFrame, targets: list[tuple[str, float, int]], record: str = "
     twice the shares add up and the smaller limit holds.
 
     The flight runs in blocks of ``block`` documents, hashed by id, so a source with a third of all documents is many
-    tasks; what blocks leave undecided, two documents at most, goes into blocks of the next level, until each source is
-    one block, whose at most two documents are the landing problem. The driver sees one row a target.
+    tasks; what blocks leave undecided, two documents at most, goes into blocks of the next level, until a source is one
+    block, whose at most two documents are its landing problem. The first block's decided documents come along to it, so
+    that a large source has documents to exchange as a small one has. The driver sees one row a target.
     """
     spark = sizes.sparkSession
     merged: dict[str, tuple[float, int]] = {}
@@ -134,17 +137,17 @@ def mix(sizes: DataFrame, targets: list[tuple[str, float, int]], record: str = "
     blocks = {s: max(1, -(-n // block)) for s, _, n in totals}
     entry = F.create_map(*[x for s, m in times.items() for x in (F.lit(s), F.struct(F.lit(int(m)).alias("base"), F.lit(m - int(m)).alias("chance"), F.lit(blocks[s]).alias("blocks")))])
     placed = rows.withColumn("e", F.try_element_at(entry, F.col("source"))).where(F.col("e").isNotNull())
-    current = placed.select("record_id", "source", F.col("tokens").cast("int"), F.col("e.base").alias("base"), F.col("e.chance").alias("chance"), F.pmod(F.xxhash64("record_id"), F.col("e.blocks").cast("bigint")).alias("block"))
+    share, blocks_of = F.col("e.chance"), F.col("e.blocks").cast("bigint")
+    current = placed.select("record_id", "source", F.col("tokens").cast("int"), F.col("e.base").alias("base"), share.alias("chance"), share.alias("first"), F.pmod(F.xxhash64("record_id"), blocks_of).alias("block"), blocks_of.alias("blocks"))
     decided, most = [], max(blocks.values())
     while True:
-        last = most == 1
-        after = cut_lineage(current.groupBy("source", "block").applyInPandas(_decide(last), SCHEMA))
-        undecided = (F.col("chance") > TINY) & (F.col("chance") < 1 - TINY)
-        if last:
+        after = cut_lineage(current.groupBy("source", "block").applyInPandas(_decide, SCHEMA))
+        if most == 1:
             decided.append(after)
             break
-        decided.append(after.where(~undecided))
-        current = after.where(undecided).withColumn("block", F.floor(F.col("block") / FAN_IN))
+        goes_on = (F.col("blocks") > 1) & ((F.col("block") == 0) | (F.col("chance") > TINY) & (F.col("chance") < 1 - TINY))
+        decided.append(after.where(~goes_on))
+        current = after.where(goes_on).withColumns({"block": F.floor(F.col("block") / FAN_IN), "blocks": F.ceil(F.col("blocks") / FAN_IN)})
         most = -(-most // FAN_IN)
     whole = decided[0]
     for part in decided[1:]:

@@ -1,4 +1,4 @@
-"""Problem 8: texts into containers of fixed capacity, by harmonic classes planned on the table of sizes."""
+"""Problem 8: texts into containers of fixed capacity: by patterns of sizes planned on their table, or by harmonic classes."""
 
 from __future__ import annotations
 
@@ -28,8 +28,8 @@ class Plan(NamedTuple):
     containers: int
 
 
-def harmonic_plan(capacity: int, counts: dict[int, int]) -> Plan:
-    """Containers for ``counts[size]`` items of each size up to ``capacity``.
+def pattern_plan(capacity: int, counts: dict[int, int]) -> Plan:
+    """Containers for ``counts[size]`` items of each size up to ``capacity``: patterns of a fixed number of items of each size.
 
     The largest size left decides a container's class: size s in (capacity/(j+1), capacity/j] means j items of it. What
     such a container leaves is filled the same way from smaller classes, again by a fixed number of items. Containers of
@@ -91,6 +91,22 @@ def _place(plans: dict[str, Plan]):
     return run
 
 
+PACKED = "spec_name string, container_id bigint, record_id bigint, part int, tokens int"
+
+
+def _items(sizes: DataFrame, record: str, tokens: str, specs: list[tuple[str, int]], salts: int) -> DataFrame | None:
+    """``spec_name, capacity, record_id, part, size, salt``: every text under every spec, long ones in parts; None without specs."""
+    if len({n for n, _ in specs}) != len(specs) or any(c < 1 for _, c in specs):
+        raise ValueError("specs need distinct names and positive capacities")
+    if not specs:
+        return None
+    rows = pick(sizes, record_id=record, tokens=tokens).where(F.col("tokens") > 0)
+    each = F.array(*[F.struct(F.lit(n).alias("spec_name"), F.lit(c).alias("capacity")) for n, c in specs])
+    wide = rows.select("record_id", "tokens", F.explode(each).alias("s")).select("record_id", "tokens", "s.spec_name", "s.capacity")
+    parts = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("tokens") / F.col("capacity")).cast("int") - 1)))
+    return parts.select("spec_name", "capacity", "record_id", "part", F.least("capacity", F.col("tokens") - F.col("part") * F.col("capacity")).cast("int").alias("size"), F.pmod(F.xxhash64("record_id", "part"), F.lit(salts)).cast("int").alias("salt"))
+
+
 def pack(sizes: DataFrame, record: str, tokens: str, specs: list[tuple[str, int]], salts: int = SALTS) -> DataFrame:
     """``spec_name, container_id, record_id, part, tokens``: every text's place under every spec.
 
@@ -102,29 +118,40 @@ def pack(sizes: DataFrame, record: str, tokens: str, specs: list[tuple[str, int]
     The driver gets the number of items of each size: at most the capacity's number of rows for each spec. Ranks within a
     size come from ``salts`` parts with summed offsets, so a hot size is spread.
     """
-    if len({n for n, _ in specs}) != len(specs) or any(c < 1 for _, c in specs):
-        raise ValueError("specs need distinct names and positive capacities")
-    spark = sizes.sparkSession
-    rows = pick(sizes, record_id=record, tokens=tokens).where(F.col("tokens") > 0)
-    if not specs:
-        return spark.createDataFrame([], "spec_name string, container_id bigint, record_id bigint, part int, tokens int")
-    each = F.array(*[F.struct(F.lit(n).alias("spec_name"), F.lit(c).alias("capacity")) for n, c in specs])
-    wide = rows.select("record_id", "tokens", F.explode(each).alias("s")).select("record_id", "tokens", "s.spec_name", "s.capacity")
-    parts = wide.withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("tokens") / F.col("capacity")).cast("int") - 1)))
-    items = parts.select("spec_name", "record_id", "part", F.least("capacity", F.col("tokens") - F.col("part") * F.col("capacity")).cast("int").alias("size"), F.pmod(F.xxhash64("record_id", "part"), F.lit(salts)).cast("int").alias("salt"))
+    items = _items(sizes, record, tokens, specs, salts)
+    if items is None:
+        return sizes.sparkSession.createDataFrame([], PACKED)
     counts = cut_lineage(items.groupBy("spec_name", "size", "salt").agg(F.count("*").alias("n")))
     totals: dict[str, dict[int, int]] = {}
     for row in counts.groupBy("spec_name", "size").agg(F.sum("n").alias("n")).toLocalIterator():
         totals.setdefault(row["spec_name"], {})[row["size"]] = row["n"]
     capacities = dict(specs)
-    plans = {name: harmonic_plan(capacities[name], found) for name, found in totals.items()}
+    plans = {name: pattern_plan(capacities[name], found) for name, found in totals.items()}
     before = Window.partitionBy("spec_name", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("spec_name", "size", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     # At most salts x capacity rows a spec, as the counts above.
     within = Window.partitionBy("spec_name", "size", "salt").orderBy("record_id", "part")
     ranked = items.withColumn("place", F.row_number().over(within)).join(offsets, ["spec_name", "size", "salt"])
     keyed = ranked.select("spec_name", "record_id", "part", "size", (F.col("offset") + F.col("place") - 1).alias("rank"))
-    return map_batches(keyed, _place(plans), "spec_name string, container_id bigint, record_id bigint, part int, tokens int")
+    return map_batches(keyed, _place(plans), PACKED)
+
+
+def pack_harmonic(sizes: DataFrame, record: str, tokens: str, specs: list[tuple[str, int]], salts: int = SALTS) -> DataFrame:
+    """The columns of ``pack`` by pure harmonic packing: class j holds the items of more than capacity/(j+1) and up to capacity/j tokens.
+
+    A container takes j items of its class and no others. Each of ``salts`` workers fills the containers of its own items, so
+    nothing is planned, nothing reaches the driver, and no worker needs another; at most one container a class and worker is
+    not full. Long texts are split as in ``pack``. Small classes leave much space: use ``pack`` for a high fill.
+    """
+    items = _items(sizes, record, tokens, specs, salts)
+    if items is None:
+        return sizes.sparkSession.createDataFrame([], PACKED)
+    classed = items.withColumn("each", F.floor(F.col("capacity") / F.col("size")).cast("int"))
+    within = Window.partitionBy("spec_name", "each", "salt").orderBy("record_id", "part")
+    nth = F.floor((F.row_number().over(within) - 1) / F.col("each"))
+    # Class and worker stand in the upper bits, so that containers of different workers never meet.
+    container = F.call_function("shiftleft", F.col("each").cast("bigint") * salts + F.col("salt"), F.lit(32)) + nth
+    return classed.select("spec_name", container.alias("container_id"), "record_id", "part", F.col("size").alias("tokens"))
 
 
 def fill_report(packed: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:

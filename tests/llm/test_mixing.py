@@ -55,3 +55,15 @@ def test_report_and_empty(spark):
     assert report["A"]["actual_share"] == 1.0 and report["missing"]["documents"] == 0
     assert mixing.mix(sizes(spark).where("false"), [("A", 1.0, 1)]).count() == 0
     assert mixing.mix(sizes(spark), []).count() == 0
+
+
+def test_large_sources_land_as_exactly_as_small_ones(spark):
+    """Sources of many blocks, of one block, and with a very long document; each meets its share to a few tokens."""
+    rng = np.random.default_rng(7)
+    rows = [(k, int(rng.lognormal(4, 1)) + 1, "A" if k % 10 else "B") for k in range(4000)] + [(9000, 20_000, "A"), (9001, 9_000, "B")]
+    df = table(spark, rows, "record_id bigint, tokens int, source string", clash=False)
+    got = mixing.mix(df, [("A", 0.7, 1), ("B", 0.3, 1)], block=200).collect()
+    total = {s: sum(t for _, t, x in rows if x == s) for s in "AB"}
+    m = mixing.plan_mix([(s, n, 0) for s, n in total.items()], [("A", 0.7, 1), ("B", 0.3, 1)])
+    for s in "AB":
+        assert abs(sum(r["tokens"] * r["copies"] for r in got if r["source"] == s) - m[s] * total[s]) < 60

@@ -13,7 +13,7 @@ def test_plan_places_all():
     rng = random.Random(2)
     for capacity in (1, 7, 100, 512):
         counts = Counter(rng.randint(1, capacity) for _ in range(500))
-        plan = packing.harmonic_plan(capacity, counts)
+        plan = packing.pattern_plan(capacity, counts)
         load, placed = Counter(), Counter()
         ends = {}
         for k in range(len(plan.size)):
@@ -51,6 +51,21 @@ def test_pack(spark, salts):
     assert report["a"]["fullest"] <= 100 and report["a"]["fill"] <= 1
 
 
+@pytest.mark.parametrize("salts", [1, 8])
+def test_pure_harmonic_classes(spark, salts):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([5, rng.randint(1, 40), rng.randint(51, 100), rng.randint(90, 350)])) for k in range(2000)] + [(3000, 0), (3001, None)]
+    df = table(spark, rows, "doc bigint, tokens int")
+    got = packing.pack_harmonic(df, "doc", "tokens", [("a", 100)], salts).collect()
+    held = defaultdict(list)
+    for r in got:
+        held[r["container_id"]].append(r["tokens"])
+    # One class a container, never more than fit, and at most one container a class and worker that isn't full.
+    assert all(len({100 // t for t in ts}) == 1 and sum(ts) <= 100 and len(ts) <= 100 // ts[0] for ts in held.values())
+    assert sum(len(ts) < 100 // ts[0] for ts in held.values()) <= salts * len({100 // ts[0] for ts in held.values()})
+    assert sum(map(sum, held.values())) == sum(t or 0 for _, t in rows) and packing.pack_harmonic(df, "doc", "tokens", []).count() == 0
+
+
 def test_edges(spark):
     empty = table(spark, [], "doc bigint, tokens int")
     assert packing.pack(empty, "doc", "tokens", [("a", 10)]).count() == 0
