@@ -222,11 +222,13 @@ def called_for(system: str, question: str) -> str:
 def written_in(answer: str) -> str | None:
     """The language of the answer's values by script and function words; None where there is too little to tell."""
     s = _KEY.sub(" ", answer)
+    counts = dict.fromkeys(_SCRIPT, 0)
+    if not s.isascii():
+        counts["han"] = len(_SCRIPT["han"].findall(s))
+        if counts["han"] * 2 > len(s) and counts["han"] > 3 and not _SCRIPT["kana"].search(s):
+            return "zh"
+        counts |= {k: len(p.findall(s)) for k, p in _SCRIPT.items() if k != "han"}
     words = [w.lower() for w in _LATIN_WORD.findall(s)]
-    if s.isascii():
-        counts = dict.fromkeys(_SCRIPT, 0)
-    else:
-        counts = {k: len(p.findall(s)) for k, p in _SCRIPT.items()}
     weights = counts | {"latin": 2 * len(words)}
     total = sum(weights.values())
     if total < 4:
