@@ -93,6 +93,12 @@ def merged_deltas(deltas: DataFrame) -> DataFrame:
     return grouped.select("message_id", "index", "id", "name", F.array_join(F.transform("parts", lambda p: p["a"]), "").alias("arguments"))
 
 
+def sse_lines(events: DataFrame, key: str) -> DataFrame:
+    """``key, seq, value``: each event as the text of a server-sent event, its type as the name and its other fields as JSON."""
+    others = [c for c in events.columns if c not in (key, "seq", "type")]
+    return events.select(key, "seq", F.concat(F.lit("event: "), F.col("type"), F.lit("\ndata: "), F.to_json(F.struct(*others)), F.lit("\n\n")).alias("value"))
+
+
 def run_available(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
     """Process what is there and stop: a stream's result as an in-memory table, for tests and back-fills."""
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -93,6 +93,8 @@ def test_windows_and_events(spark, tmp_path):
     results = spark.createDataFrame([(1, "t", "k", True, "fast")], "id int, cleaned_text string, keywords string, analysis_complete boolean, mode string")
     told = [(r["type"], r["step"]) for r in streams.analysis_events(results, "id").orderBy("seq").collect()]
     assert told == [("start", None), *[(t, s) for s in streams.STEPS["fast"] for t in ("step_start", "step_done")], ("result", None), ("done", None)]
+    lines = [r["value"] for r in streams.sse_lines(streams.analysis_events(results, "id"), "id").orderBy("seq").collect()]
+    assert lines[0] == "event: start\ndata: {}\n\n" and lines[1] == 'event: step_start\ndata: {"step":"preprocess"}\n\n'
     failed = results.selectExpr("*", "'timeout' AS error")
     assert [r["type"] for r in streams.analysis_events(failed, "id").orderBy("seq").collect()] == ["start", "error", "done"]
     results.write.parquet(str(tmp_path / "results"))
@@ -161,3 +163,13 @@ def test_json_arrays_over_many_lines(spark, tmp_path):
     for name, records in (("result.json", [{"result": {"a": 1}}, {"result_summary": {"b": 2}}]), ("result_2.json", {"c": 3})):
         (tmp_path / "s" / name).write_text(json.dumps(records, indent=2))
     assert [(r["n"], r["result"]) for r in sessions.resumed(spark, str(tmp_path / "s")).orderBy("n").collect()] == [(1, '{"a":1}'), (2, '{"b":2}'), (3, '{"c":3}')]
+
+
+def test_reports_from_the_command_line(spark, tmp_path, capsys):
+    spark.createDataFrame([(1, "r", "p", 1, "positive")], "analysis_id bigint, reviewer_id string, product_id string, seq bigint, label string").write.parquet(f"{tmp_path}/analyses.parquet")
+    spark.createDataFrame([(1, "r", "p", 1, "质量", 0.9)], "analysis_id bigint, reviewer_id string, product_id string, seq bigint, keyword string, score double").write.parquet(f"{tmp_path}/keywords.parquet")
+    for kind, key in (("reviewer", "r"), ("product", "p")):
+        assert main([kind, key, str(tmp_path)]) == 0 and "质量" in capsys.readouterr().out
+    assert main(["product", "none", str(tmp_path)]) == 1
+    spark.createDataFrame([("好评", [("质量", 0.9)], ("positive",))], "original_text string, keywords array<struct<keyword:string,score:double>>, sentiment struct<label:string>").write.json(f"{tmp_path}/results")
+    assert main(["history", f"{tmp_path}/results"]) == 0 and "positive" in capsys.readouterr().out
