@@ -547,6 +547,7 @@ def oracle_sql():
         "product_rates": f"{base} SELECT product_id, count(*) AS total_reviews, round(count(*) FILTER (label = 'positive') / count(*), 3) AS positive_rate, round(count(*) FILTER (label = 'negative') / count(*), 3) AS negative_rate, round(count(*) FILTER (label = 'neutral') / count(*), 3) AS neutral_rate FROM a WHERE product_id IS NOT NULL GROUP BY product_id",
         "delta_keywords": f"{base}, f AS (SELECT reviewer_id, keyword, min(seq) AS s FROM k WHERE reviewer_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL) SELECT DISTINCT analysis_id, keyword FROM k JOIN f USING (reviewer_id, keyword) WHERE seq = s",
         "global_summary": f"{base} SELECT count(DISTINCT reviewer_id) AS reviewers, count(DISTINCT product_id) AS products, count(reviewer_id) AS reviews FROM a",
+        "json_sentiment": o.sentiment_answers("(SELECT * FROM tool_turns WHERE skill_name = 'sentiment_analyze')"),
         "textrank": o.text_rank(_WORDS),
         "product_report": f"""{base}, mine AS (SELECT min(product_id) AS product_id FROM product_profiles), pa AS (SELECT a.* FROM a JOIN mine USING (product_id)), pk AS (SELECT k.* FROM k JOIN mine USING (product_id) WHERE keyword IS NOT NULL),
             c AS (SELECT keyword, count(*) AS n, (sum(coalesce(score, 0.5)::DECIMAL(18,6)) * 1000000)::BIGINT AS s, min(seq) AS first_seq FROM pk GROUP BY keyword), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, first_seq, keyword) AS rank FROM c),

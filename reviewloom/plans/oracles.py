@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import clean, timex
 from ..functions.keywords import STOPWORDS
+from ..operators import profiles
 
 #: White space as Unicode has it, for use inside a class; RE2's own is ASCII's.
 WS = r"\t\n\x0b\x0c\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -238,3 +239,21 @@ def text_rank(words: str, rounds: int = 10, damping: float = 0.85, top: int = 8)
         parts AS MATERIALIZED (SELECT request_id, a, b, w / out AS share FROM both_ways JOIN degree USING (request_id, a)), s0 AS (SELECT request_id, a AS token, 1.0::DOUBLE AS score FROM degree)"""]
     ctes += [f"s{k} AS MATERIALIZED (SELECT p.request_id, p.b AS token, {1 - damping} + {damping} * sum(p.share * s.score) AS score FROM parts p JOIN s{k - 1} s ON p.request_id = s.request_id AND p.a = s.token GROUP BY ALL)" for k in range(1, rounds + 1)]
     return f"WITH {', '.join(ctes)}, r AS (SELECT request_id, token, round(score / max(score) OVER (PARTITION BY request_id), 6) AS weight FROM s{rounds}) SELECT request_id, token, weight, row_number() OVER (PARTITION BY request_id ORDER BY weight DESC, token) AS rank FROM r QUALIFY rank <= {top}"
+
+
+def sentiment_answers(source: str) -> str:
+    """The sentiment of model answers in any of their shapes: the whole without fences, what the pattern finds, or from a brace to the last one.
+
+    DuckDB's JSON allows a comma before a closing bracket, which isn't JSON, so such texts are told apart.
+    """
+    valid = r"json_valid(x) AND NOT regexp_matches(x, ',\s*[}\]]')"
+    known = ", ".join(f"{q(k)}: {q(v)}" for k, v in profiles.LABELS.items())
+    named = lambda x: f"map_extract_value(MAP {{{known}}}, {x})"
+    return rf"""WITH t AS (SELECT turn_id, response.content AS raw, {strip('response.content')} AS s FROM {source}),
+        f AS (SELECT turn_id, raw, CASE WHEN starts_with(s, '```') THEN {strip("replace(CASE WHEN starts_with(s, '```json') THEN replace(s, '```json', '') ELSE s END, '```', '')")} ELSE s END AS s, length(raw) - instr(reverse(raw), '}}') + 1 AS last FROM t),
+        c AS (SELECT turn_id, list_filter(list_concat([s], regexp_extract_all(raw, '(?s)\{{[^{{}}]*"sentiment"\s*:\s*\[.*?\]\s*\}}')[1:1], CASE WHEN contains(raw, '}}') THEN list_transform(list_filter(range(1, length(raw) + 1), lambda k: substr(raw, k::INT, 1) = '{{'), lambda k: substr(raw, k::INT, (last - k + 1)::INT)) ELSE [] END), lambda x: {valid})[1] AS found FROM f),
+        v AS (SELECT turn_id, found::JSON AS v, json_type(found) = 'OBJECT' AS object FROM c),
+        d AS (SELECT *, v->'sentiment' AS data, json_type(v->'sentiment') AS kind, json_type(v->'sentiment'->0) AS head FROM v),
+        e AS (SELECT *, CASE WHEN head = 'ARRAY' THEN data->0 ELSE data END AS triple FROM d), g AS (SELECT *, object AND kind = 'ARRAY' AND json_array_length(triple) >= 3 AND head IN ('ARRAY', 'VARCHAR') AS whole FROM e)
+        SELECT turn_id, CASE WHEN object THEN CASE WHEN whole THEN coalesce({named("triple->>1")}, 'neutral') WHEN kind = 'VARCHAR' THEN coalesce({named("data->>'$'")}, data->>'$') ELSE coalesce({named("v->>'label'")}, 'neutral') END END AS label,
+            CASE WHEN object THEN coalesce(TRY_CAST(CASE WHEN whole THEN triple->>2 ELSE v->>'confidence' END AS DOUBLE), 0.5) END AS confidence, CASE WHEN object THEN CASE WHEN whole THEN triple->>0 ELSE coalesce(v->>'reasoning', '') END END AS reasoning FROM g"""
