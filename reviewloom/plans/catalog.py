@@ -10,6 +10,7 @@ from ..functions import keywords as kw
 from ..operators import agent, extract, lookups, profiles, reflect, sessions, training
 from ..operators.models import BLAME, PRAISE, fill_template
 from ..session import read_table
+from ..sources import writers
 from ..streaming import streams
 from . import oracles as o
 from . import pipeline
@@ -68,6 +69,7 @@ _CLEANERS = {
     "clean_truncated": (lambda c: clean.truncate(c, 40), lambda x: f"substr({x}, 1, 40)"),
     "clean_date_expressions": (timex.remove_date_expressions, o.date_expressions),
     "clean_emails": (clean.remove_emails, o.emails),
+    "clean_chinese_punctuation": (clean.collapse_chinese_punctuation, o.collapse_chinese),
     "clean_time_expressions": (timex.remove_time_expressions, o.time_expressions),
     "clean_dates": (timex.remove_dates, lambda x: o.date_expressions(o.time_expressions(x))),
 }
@@ -75,6 +77,10 @@ def preprocess_comment(spark, sf):
     return _cleaned(clean.preprocess_comment)(spark, sf)
 
 
+def advanced_preprocess(spark, sf):
+    return _cleaned(clean.advanced_preprocess)(spark, sf)
+
+
 def preprocess_tool(spark, sf):
     done = _reviews(spark, sf).select("request_id", clean.preprocess_result(F.col("text")).alias("p"))
     return done.select("request_id", "p.success", "p.cleaned_text", "p.original_length", "p.cleaned_length")
@@ -121,6 +127,26 @@ def keyword_top_n(spark, sf):
     return _lists(spark, sf).select("analysis_id", _joined(kw.post_process(F.col("keywords"), F.col("text"))).alias("keywords"))
 
 
+def keyword_filters(spark, sf):
+    """The keyword pipeline with every filter on: least score, no Latin letters, no stopword within, six of them."""
+    return _lists(spark, sf).select("analysis_id", _joined(kw.post_process(F.col("keywords"), F.col("text"), top_n=6, min_score=0.5, latin=False, contained=True)).alias("keywords"))
+
+
+def reflection_delta(spark, sf):
+    """A critic's delta applied to every list: two keywords go, words of praise come in."""
+    add = F.array(*[F.struct(F.lit("").alias("reasoning"), F.lit(w).alias("keyword"), F.lit(0.9).alias("score")) for w in PRAISE[:4]])
+    rows = _lists(spark, sf).select("analysis_id", F.filter("keywords", lambda k: k["keyword"].isNotNull()).alias("keywords"))
+    return rows.select("analysis_id", _joined(reflect.apply_delta(F.col("keywords"), F.array(F.lit("质量"), F.lit("物流")), add)).alias("keywords"))
+
+
+def issue_fingerprints(spark, sf):
+    """Analyses' errors and missing parts read as issues; those of high severity make the fingerprint."""
+    a = read_table(spark, f"{sf}/analyses.parquet")
+    issue = lambda kind, detail, severity: F.struct(F.lit(kind).alias("type"), detail.alias("detail"), F.lit(severity).alias("severity"))
+    issues = F.array(issue("failed", F.coalesce("error", F.lit("none")), "high"), issue("mode", F.coalesce("mode", F.lit("none")), "low"), issue("text", F.coalesce("cleaned_text", F.lit("none")), "high"), issue("failed", F.coalesce("error", F.lit("none")), "high"))
+    return a.select("analysis_id", F.array_join(reflect.fingerprints(issues), "|").alias("fingerprint"))
+
+
 def keyword_reflection(spark, sf):
     """One round by rule; the proposals are the words that the rule backend finds in the text."""
     words = F.array(*[F.struct(F.lit("").alias("reasoning"), F.lit(w).alias("keyword"), F.lit(0.9 if w in PRAISE else 0.6).alias("score")) for w in (*PRAISE, *BLAME)])
@@ -182,6 +208,30 @@ def agent_dialogues(spark, sf):
     return done.select("request_id", _joined("keywords").alias("keywords"), F.col("sentiment.label").alias("label"), "steps", "ended", F.size("trace").alias("told"), "analysis_complete")
 
 
+def run_batch(spark, sf):
+    """All reviews as a batch in the order of their ids."""
+    done = pipeline.run_batch(_reviews(spark, sf), "text", "request_id")
+    return done.select("batch_index", _joined("keywords").alias("keywords"), F.col("sentiment.label").alias("label"), "mode", "error")
+
+
+def agent_event_rows(spark, sf):
+    """The events of every agent dialogue."""
+    return streams.agent_events(agent.agent_rows(_reviews(spark, sf), "request_id", "text"), "request_id").select("request_id", "seq", "type")
+
+
+def inline_calls(spark, sf):
+    """Tool calls written into text: each turn's skill as a call, with a broken one and one without a name around it."""
+    text = F.concat(F.lit('<tool_call>{"name": "'), F.coalesce("skill_name", F.lit("")), F.lit('", "arguments": {"turn": '), F.col("turn_id").cast("string"), F.lit('}}</tool_call> then <tool_call>{"arguments": {}}</tool_call><tool_call>broken</tool_call>'))
+    rows = _turns(spark, sf).select("turn_id", text.alias("t"))
+    return rows.select("turn_id", F.explode_outer(jsonx.tool_calls(F.col("t"))).alias("c"), jsonx.without_tool_calls(F.col("t")).alias("rest")).select("turn_id", "c.name", "c.arguments", "rest")
+
+
+def result_blocks(spark, sf):
+    """Results of tools told in one text, read back."""
+    text = F.concat(F.lit("[工具 preprocess 结果]\n"), F.lit('{"id": '), F.col("turn_id").cast("string"), F.lit("}\n[工具 "), F.coalesce("skill_name", F.lit("none")), F.lit(' 结果]\n{"ok": true}'))
+    return _turns(spark, sf).select("turn_id", F.posexplode(jsonx.result_blocks(text)).alias("place", "b")).select("turn_id", "place", "b.tool", "b.result")
+
+
 def json_keywords(spark, sf):
     """Keyword objects of model answers, with the text before them."""
     rows = _turns(spark, sf).where(F.col("skill_name").startswith("keyword")).select("turn_id", jsonx.keyword_object(F.col("response.content")).alias("j"))
@@ -228,6 +278,12 @@ def product_issues(spark, sf):
     return profiles.issues_and_strengths(profiles.product_keywords(_product_items(spark, sf)), negative=ISSUE_WORDS, positive=STRENGTH_WORDS)
 
 
+def reviewer_report(spark, sf):
+    """The report of the first reviewer by its key."""
+    reviewer = _reviews(spark, sf).agg(F.min("reviewer_id")).first()[0] or ""
+    return profiles.reviewer_report(_analyses(spark, sf), _keywords(spark, sf), reviewer)
+
+
 def product_report(spark, sf):
     """The report of the first product by its key."""
     product = read_table(spark, f"{sf}/product_profiles.parquet").agg(F.min("product_id")).first()[0] or ""
@@ -321,6 +377,16 @@ def assembled(spark, sf):
     return done.select("session_id", _joined("final_keywords").alias("keywords"), F.length("sentiment").alias("sentiment"), "complete")
 
 
+def error_kinds(spark, sf):
+    c = F.col("error")
+    return read_table(spark, f"{sf}/analyses.parquet").select("analysis_id", kw.is_retryable(c).alias("retryable"), kw.is_context_full(c).alias("context_full"))
+
+
+def backends(spark, sf):
+    """What the pages' addresses would be as a model's."""
+    return read_table(spark, f"{sf}/documents.parquet").select("doc_id", kw.backend_of(F.col("url")).alias("backend"))
+
+
 def status_counters(spark, sf):
     return lookups.status_counters(read_table(spark, f"{sf}/analyses.parquet"))
 
@@ -343,6 +409,43 @@ def session_history(spark, sf):
     return sessions.history(_results(spark, sf))
 
 
+def result_records(spark, sf):
+    """Short records of results, as a session appends them."""
+    records = writers.result_records(_results(spark, sf).withColumn("timestamp", F.lit("t")))
+    return records.select("index", "text", _joined("result_summary.keywords").alias("keywords"), F.col("result_summary.sentiment.label").alias("label"), F.col("result_summary.elapsed_ms").alias("elapsed_ms"))
+
+
+def session_meta(spark, sf):
+    """Products read as sessions and their reviews as results."""
+    r = _reviews(spark, sf).where(F.col("product_id").isNotNull()).select(F.col("product_id").alias("session_id"), F.col("request_id").alias("index"), F.col("text").alias("original_text"), F.col("ts").cast("string").alias("timestamp"))
+    known = read_table(spark, f"{sf}/product_profiles.parquet").select(F.col("product_id").alias("session_id"))
+    meta = writers.session_meta(r, known)
+    return meta.select("session_id", "total", F.array_join(F.transform("history_summary", lambda h: h["text_preview"]), "|").alias("previews"))
+
+
+def session_summary(spark, sf):
+    turns = _turns(spark, sf)
+    modes = turns.where(F.col("response.content").isNotNull()).select("session_id", F.col("turn_id").alias("index"), F.array(F.lit("k")).alias("keywords"), F.struct(F.col("skill_name").alias("label")).alias("sentiment"), F.col("type").alias("mode"))
+    return writers.session_summary(turns, modes).select("session_id", "turns", "without_answer", "keyword_count", "label", "mode")
+
+
+def task_states(spark, sf):
+    """The log of a batch's task, from the analyses as its results."""
+    a = read_table(spark, f"{sf}/analyses.parquet")
+    return sessions.task_states(sessions.task_entries(a, "batch", 100).unionByName(sessions.task_entries(a.where("error IS NOT NULL"), "broken", 7)))
+
+
+def merged_counts(spark, sf):
+    """Keyword counts of two halves of the products, added up."""
+    counts = streams.product_counts(_product_items(spark, sf)).select("product_id", "keyword", "n")
+    return writers.merge_counts(counts, counts.where("n > 1"), ["product_id", "keyword"], ["n"])
+
+
+def streamed_counts(spark, sf):
+    """What the stream of keyword rows adds up to."""
+    return streams.product_counts(_product_items(spark, sf)).withColumn("score_sum", F.col("score_sum").cast("double"))
+
+
 def batch_table(spark, sf):
     return sessions.batch_table(_results(spark, sf))
 
@@ -401,14 +504,25 @@ def session_preview(spark, sf):
     return rows.select("product_id", "request_id", F.substring("text", 1, 30).alias("preview"))
 
 
+#: A prompt for short texts and one for others: system and user text with variables.
+PROMPTS = {
+    "short": ("你从短评论里找关键词，只给出JSON。", "短评：{{text}}\n最多{{most}}个关键词。"),
+    "long": ("你从评论里找关键词，先说理由，再给出JSON。", "评论：{{text}}\n至少{{least}}个、最多{{most}}个关键词。｜{{other}}"),
+}
+
+
 def prompts(spark, sf):
-    return _reviews(spark, sf).select("request_id", fill_template(F.lit("评论：{{text}}｜{{other}}"), text=F.col("text")).alias("prompt"))
+    """Each text's prompt by its length, filled; a variable without a value stays."""
+    short = kw.short_prompt(F.col("text"))
+    pick = lambda place: F.when(short, PROMPTS["short"][place]).otherwise(PROMPTS["long"][place])
+    user = fill_template(pick(1), text=F.col("text"), least=kw.minimum_keywords(F.col("text")).cast("string"), most=F.lit("8"))
+    return _reviews(spark, sf).select("request_id", pick(0).alias("system"), user.alias("prompt"))
 
 
 _PLAIN = (
-    preprocess_comment, preprocess_tool, keyword_predicates, alignment_span, keyword_validation, keyword_top_n, keyword_reflection, reflection_rounds, routing, tfidf, cooccurrence, textrank, lexicon_keywords, run_offline, run_fast, run_routed, agent_dialogues, json_keywords, json_sentiment, json_repair,
-    reviewer_profile, reviewer_keywords, reviewer_tags, product_keywords, product_top_keywords, product_issues, product_report, profile_keys, review_detail, product_rates, delta_keywords, global_summary, tool_sft, agent_sft, tool_supervision, full_supervision, session_streams, call_results, assembled,
-    trajectory_stats, skill_distribution, memory_compact, context_chars, stopword_anti, stopword_contained, cache_keys, cache_lookup, request_metrics, status_counters, tool_counters, batch_counters, event_windows, session_preview, session_history, batch_table, analysis_events, prompts,
+    preprocess_comment, advanced_preprocess, preprocess_tool, keyword_predicates, alignment_span, keyword_validation, keyword_top_n, keyword_filters, keyword_reflection, reflection_rounds, reflection_delta, issue_fingerprints, routing, tfidf, cooccurrence, textrank, lexicon_keywords, run_offline, run_fast, run_routed, run_batch, agent_dialogues, agent_event_rows, inline_calls, result_blocks, json_keywords, json_sentiment, json_repair,
+    reviewer_profile, reviewer_keywords, reviewer_tags, product_keywords, product_top_keywords, product_issues, reviewer_report, product_report, profile_keys, review_detail, product_rates, delta_keywords, global_summary, tool_sft, agent_sft, tool_supervision, full_supervision, session_streams, call_results, assembled,
+    trajectory_stats, skill_distribution, memory_compact, context_chars, stopword_anti, stopword_contained, cache_keys, cache_lookup, request_metrics, error_kinds, backends, status_counters, tool_counters, batch_counters, event_windows, session_preview, session_history, result_records, session_meta, session_summary, task_states, merged_counts, streamed_counts, batch_table, analysis_events, prompts,
 )
 
 
@@ -485,6 +599,7 @@ def _pipelines():
         "preprocess_tool": f"{head} SELECT r.request_id, c.cleaned IS NOT NULL AS success, c.cleaned AS cleaned_text, length(r.text) AS original_length, length(c.cleaned) AS cleaned_length FROM reviews r LEFT JOIN cleaned c USING (request_id)",
         "run_offline": f"{head}, {o.ranked_tfidf('found', 'cleaned')} SELECT r.request_id, coalesce(c.cleaned, CASE WHEN r.text IS NOT NULL THEN '' END) AS cleaned_text, coalesce(f.keywords, '') AS keywords, true AS analysis_complete, 'offline' AS mode, CASE WHEN {blank} THEN 'empty text' END AS error FROM reviews r LEFT JOIN cleaned c USING (request_id) LEFT JOIN found f USING (request_id)",
         "run_fast": f"{fast} {told}",
+        "run_batch": f"{fast}, told AS ({told}) SELECT r.request_id AS batch_index, t.keywords, t.label, t.mode, CASE WHEN {blank} THEN 'empty text' END AS error FROM reviews r JOIN told t USING (request_id)",
         "run_routed": f"""{quick}, told AS ({told}), {reflected} SELECT r.request_id, CASE WHEN {short} THEN 'fast' ELSE 'agent-prompt' END AS mode, CASE WHEN {short} THEN t.keywords ELSE coalesce(s.keywords, '') END AS keywords, t.label,
             CASE WHEN NOT {short} THEN 2 END AS steps, CASE WHEN {short} THEN NULL WHEN z.n >= z.least THEN 0 WHEN z.now >= z.least OR z.came = 0 THEN 1 ELSE 2 END AS rounds, {level} AS detail_level
             FROM reviews r JOIN told t USING (request_id) LEFT JOIN counted z USING (request_id) LEFT JOIN summed s USING (request_id) LEFT JOIN known k ON r.reviewer_id = k.reviewer_id""",
@@ -496,6 +611,7 @@ def _pipelines():
 def oracle_sql():
     found = {name: f"SELECT request_id, {fn('text')} AS value FROM reviews" for name, (_, fn) in _CLEANERS.items() if name != "clean_punctuation"}
     found["clean_punctuation"] = f"SELECT request_id, x AS value FROM ({o.steps('reviews', o.collapse)})"
+    found["advanced_preprocess"] = f"SELECT request_id, x AS value FROM ({o.steps('reviews', o.garbled, o.urls, o.emails, o.phones, o.emojis, o.symbols, o.numbers)})"
     found["preprocess_comment"] = f"SELECT request_id, x AS value FROM ({o.steps('reviews', o.line_breaks, o.time_expressions, o.date_expressions, o.chinese_only, o.squeeze)})"
     found |= _pipelines()
     c = "keyword"
@@ -590,5 +706,31 @@ def oracle_sql():
         "batch_counters": "SELECT count(*) FILTER (error IS NULL) AS completed, count(*) FILTER (error IS NOT NULL) AS failed, round(sum(CASE WHEN isnan(elapsed_ms) THEN 0 ELSE elapsed_ms END), 3) AS elapsed_ms FROM analyses",
         "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL",
         "session_preview": "SELECT product_id, request_id, substr(text, 1, 30) AS preview FROM reviews WHERE product_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY request_id DESC) = 1",
-        "prompts": "SELECT request_id, replace('评论：{{text}}｜{{other}}', '{{text}}', coalesce(text, '')) AS prompt FROM reviews",
+        "prompts": f"""SELECT request_id, CASE WHEN length({o.strip('text')}) < 10 THEN {o.q(PROMPTS['short'][0])} ELSE {o.q(PROMPTS['long'][0])} END AS system,
+            replace(replace(replace(CASE WHEN length({o.strip('text')}) < 10 THEN {o.q(PROMPTS['short'][1])} ELSE {o.q(PROMPTS['long'][1])} END, '{{{{text}}}}', coalesce(text, '')), '{{{{least}}}}', CASE WHEN length(text) < 20 THEN '2' WHEN length(text) < 60 THEN '5' WHEN length(text) < 120 THEN '8' ELSE '10' END), '{{{{most}}}}', '8') AS prompt FROM reviews""",
+        "keyword_filters": f"""{base}, {_REASON}, ranked AS (SELECT *, row_number() OVER (PARTITION BY analysis_id, keyword ORDER BY coalesce(score, 0) DESC, item_id) AS copy FROM spanned),
+            good AS (SELECT *, row_number() OVER (PARTITION BY analysis_id ORDER BY coalesce(score, 0) DESC, item_id) AS place FROM ranked WHERE copy = 1 AND NOT missing AND {o.strip('keyword')} <> '' AND coalesce(score >= 0.5, false) AND NOT regexp_matches(keyword, '[a-zA-Z]') AND length(keyword) <= 6 AND NOT {o.is_time('keyword')} AND NOT {o.is_date('keyword')}
+                AND NOT {o.is_stop('keyword')} AND NOT ({' OR '.join(f"contains(keyword, {o.q(w)})" for w in kw.STOPWORDS)}) AND (text = '' OR (span >= 0 AND span <= 2 * length(replace(keyword, ' ', '')))))
+            SELECT x.analysis_id, coalesce(string_agg(g.keyword, '|' ORDER BY g.place) FILTER (g.place <= 6), '') AS keywords FROM (SELECT DISTINCT analysis_id FROM listed) x LEFT JOIN good g ON x.analysis_id = g.analysis_id GROUP BY x.analysis_id""",
+        "reflection_delta": f"""{base}, listed AS (SELECT o.analysis_id, o.item_id, o.keyword FROM once o JOIN reviews r ON o.request_id = r.request_id), rest AS (SELECT * FROM listed WHERE keyword IS NOT NULL AND keyword NOT IN ('质量', '物流')),
+            added(place, keyword) AS (VALUES {", ".join(f"({k}, {o.q(w)})" for k, w in enumerate(PRAISE[:4]))}), whole AS (SELECT analysis_id, item_id AS place, keyword FROM rest UNION ALL SELECT l.analysis_id, 1000000000 + a.place, a.keyword FROM (SELECT DISTINCT analysis_id FROM listed) l, added a WHERE NOT EXISTS (SELECT 1 FROM rest x WHERE x.analysis_id = l.analysis_id AND x.keyword = a.keyword))
+            SELECT analysis_id, string_agg(keyword, '|' ORDER BY place) AS keywords FROM whole GROUP BY analysis_id""",
+        "issue_fingerprints": "SELECT analysis_id, array_to_string(list_sort(list_distinct(['failed:' || substr(coalesce(error, 'none'), 1, 30), 'text:' || substr(coalesce(cleaned_text, 'none'), 1, 30)])), '|') AS fingerprint FROM analyses",
+        "agent_event_rows": "SELECT request_id, seq, type FROM reviews, (VALUES (1, 'start'), (2, 'thought_and_action'), (3, 'final_summary'), (4, 'result'), (5, 'done')) AS e(seq, type)",
+        "inline_calls": """SELECT turn_id, nullif(skill_name, '') AS name, CASE WHEN coalesce(skill_name, '') <> '' THEN '{"turn":' || turn_id || '}' END AS arguments, 'then <tool_call>broken</tool_call>' AS rest FROM tool_turns""",
+        "result_blocks": """SELECT turn_id, 0 AS place, 'preprocess' AS tool, '{"id": ' || turn_id || '}' AS result FROM tool_turns UNION ALL SELECT turn_id, 1, coalesce(skill_name, 'none'), '{"ok": true}' FROM tool_turns""",
+        "reviewer_report": f"""{base}, mine AS (SELECT min(reviewer_id) AS reviewer_id FROM reviews), pa AS (SELECT a.* FROM a JOIN mine USING (reviewer_id)), pk AS (SELECT k.* FROM k JOIN mine USING (reviewer_id) WHERE keyword IS NOT NULL),
+            labels AS (SELECT place, name, count(*) FILTER (label = name) AS n FROM pa, (VALUES (1, 'positive'), (2, 'negative'), (3, 'neutral')) AS l(place, name) GROUP BY place, name),
+            top AS (SELECT keyword, count(*) AS n, min(seq) AS first_seq FROM pk GROUP BY keyword), t AS (SELECT pk.keyword, pk.seq, CASE WHEN pa.label = 'negative' OR pk.keyword IN ({', '.join(map(o.q, profiles.NEGATIVE))}) THEN 'negative' WHEN pa.label = 'positive' OR pk.keyword IN ({', '.join(map(o.q, profiles.POSITIVE))}) THEN 'positive' END AS polarity FROM pk LEFT JOIN pa ON pk.analysis_id = pa.analysis_id),
+            f AS (SELECT polarity, keyword, min(seq) AS s FROM t WHERE polarity IS NOT NULL GROUP BY ALL), kept AS (SELECT *, row_number() OVER (PARTITION BY polarity ORDER BY s DESC, keyword DESC) AS age FROM f QUALIFY age <= 50), placed AS (SELECT *, row_number() OVER (PARTITION BY polarity ORDER BY age DESC) AS place FROM kept)
+            SELECT 'sentiment' AS section, place, name, round(n * 100 / greatest((SELECT sum(n) FROM labels), 1), 1) AS value FROM labels UNION ALL SELECT 'keyword', row_number() OVER (ORDER BY n DESC, first_seq, keyword), keyword, n FROM top QUALIFY row_number() OVER (ORDER BY n DESC, first_seq, keyword) <= 20 UNION ALL SELECT polarity || '_tag', place, keyword, NULL FROM placed WHERE place <= 15""",
+        "error_kinds": f"SELECT analysis_id, coalesce(regexp_matches(lower(error), {o.q(kw.RETRYABLE)}), false) AS retryable, coalesce(regexp_matches(lower(error), {o.q(kw.CONTEXT_FULL)}), false) AS context_full FROM analyses",
+        "backends": f"SELECT doc_id, CASE WHEN {o.strip(chr(39) * 2 + ' || coalesce(lower(url), ' + chr(39) * 2 + ')')} IN ('', 'none', 'offline') THEN 'offline' WHEN {' OR '.join(f'contains(lower(url), {o.q(h)})' for h in kw.CLOUD_HOSTS)} THEN 'cloud_api' WHEN {' OR '.join(f'contains(lower(url), {o.q(h)})' for h in kw.LOCAL_HOSTS)} THEN 'local_model' WHEN regexp_matches(lower(url), '^https?://') THEN 'cloud_api' ELSE 'local_model' END AS backend FROM documents",
+        "result_records": """WITH once AS (SELECT DISTINCT item_id, analysis_id, request_id, keyword FROM keyword_items), l AS (SELECT o.analysis_id, string_agg(o.keyword, '|' ORDER BY o.item_id) AS keywords FROM once o JOIN reviews r ON o.request_id = r.request_id GROUP BY o.analysis_id)
+            SELECT a.analysis_id AS index, r.text, coalesce(l.keywords, '') AS keywords, a.sentiment.label AS label, coalesce(CASE WHEN isnan(a.elapsed_ms) THEN 0 ELSE a.elapsed_ms END, 0) AS elapsed_ms FROM analyses a LEFT JOIN reviews r ON a.request_id = r.request_id LEFT JOIN l ON a.analysis_id = l.analysis_id""",
+        "session_meta": "WITH r AS (SELECT product_id, count(*) AS total, string_agg(substr(text, 1, 50), '|' ORDER BY request_id) AS previews FROM reviews GROUP BY product_id) SELECT p.product_id AS session_id, coalesce(total, 0) AS total, coalesce(previews, '') AS previews FROM product_profiles p LEFT JOIN r USING (product_id)",
+        "session_summary": "SELECT session_id, count(*) AS turns, count(*) FILTER (response.content IS NULL) AS without_answer, CASE WHEN count(response.content) > 0 THEN 1 END AS keyword_count, arg_max(skill_name, turn_id) FILTER (response.content IS NOT NULL) AS label, arg_max(type, turn_id) FILTER (response.content IS NOT NULL) AS mode FROM tool_turns GROUP BY session_id",
+        "task_states": "SELECT 'batch' AS task_id, CASE WHEN count(*) FILTER (error IS NULL) = 0 AND count(*) > 0 THEN 'failed' ELSE 'completed' END AS state, count(*) FILTER (error IS NULL) AS completed, count(*) FILTER (error IS NOT NULL) AS failed, 100 AS total FROM analyses UNION ALL SELECT 'broken', CASE WHEN count(*) > 0 THEN 'failed' ELSE 'completed' END, 0, count(*), 7 FROM analyses WHERE error IS NOT NULL",
+        "merged_counts": f"{base}, c AS (SELECT product_id, keyword, count(*) AS n FROM k WHERE product_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL) SELECT product_id, keyword, CASE WHEN n > 1 THEN 2 * n ELSE n END AS n FROM c",
+        "streamed_counts": f"{base} SELECT product_id, keyword, count(*) AS n, sum(coalesce(score, 0.5)::DECIMAL(18,6))::DOUBLE AS score_sum FROM k WHERE product_id IS NOT NULL AND keyword IS NOT NULL GROUP BY ALL",
     }

@@ -106,6 +106,12 @@ def collapse(x: str) -> str:
     return x
 
 
+def collapse_chinese(x: str) -> str:
+    for c in clean.CHINESE_PUNCTUATION:
+        x = sub(x, rf"\x{{{ord(c):x}}}{{2,}}", c)
+    return x
+
+
 def squeeze(x: str) -> str:
     return f"trim({sub(x, rf'[{WS}\x1c-\x1f]+', ' ')}, ' ')"
 

@@ -37,7 +37,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a folder that every executor shares")
         folder = tempfile.mkdtemp(prefix="reviewloom-checkpoint-", dir=os.environ.get("TMPDIR"))
     context.setCheckpointDir(folder)
