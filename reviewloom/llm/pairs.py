@@ -91,7 +91,6 @@ _HAS_LETTER = regex.compile(r"\p{L}")
 _LATIN_WORD = regex.compile(r"(?<![\p{L}\p{N}])\p{Latin}[\p{Latin}\p{M}'’]*(?![\p{N}])")
 _KEY = regex.compile(r'"[^"]{1,40}"\s*:|\*\*[^*\n]{1,20}\*\*\s*[:：]?|```\w*|https?://\S+|\S+@\S+')
 _ELIDED = regex.compile(r"^(?:[cdjlmnst]|qu)['’]", regex.I)
-_SIGNS = regex.compile(r"[^\p{L}\p{N}]+")
 _HAN = regex.compile("[一-鿿]")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -190,17 +189,21 @@ def tiled(a: str, b: str, least: int) -> int:
     return covered
 
 
+def _said(text: str) -> str:
+    return "".join(filter(str.isalnum, text))
+
+
 def _said_once(answer: str) -> str:
     """The letters and digits of an answer, without lines that it repeats; a text said over and over counts once."""
     a = consistent_form(answer).lower()
-    a = "".join(dict.fromkeys(_SIGNS.sub("", x) for x in a.split("\n"))) if "\n" in a else _SIGNS.sub("", a)
+    a = "".join(dict.fromkeys(map(_said, a.split("\n")))) if "\n" in a else _said(a)
     period = (a + a).find(a, 1) if a else 0
     return a[:period]
 
 
 def gives_back(question: str, answer: str) -> bool:
     """Whether the answer is, for the most part, the question or the text in it."""
-    a, q = _said_once(answer), _SIGNS.sub("", consistent_form(question)).lower()
+    a, q = _said_once(answer), _said(consistent_form(question).lower())
     if len(a) < 5 or not q:
         return False
     least = min(TILE_HAN if len(_HAN.findall(a)) * 2 > len(a) else TILE_OTHER, len(a))
@@ -221,12 +224,13 @@ def called_for(system: str, question: str) -> str:
 
 def written_in(answer: str) -> str | None:
     """The language of the answer's values by script and function words; None where there is too little to tell."""
+    # A text most of whose characters are Chinese needs no closer look, whatever its keys and links are.
+    if not answer.isascii() and (many := len(_SCRIPT["han"].findall(answer))) * 2 > len(answer) and many > 3 and not _SCRIPT["kana"].search(answer):
+        return "zh"
     s = _KEY.sub(" ", answer)
     counts = dict.fromkeys(_SCRIPT, 0)
     if not s.isascii():
         counts["han"] = len(_SCRIPT["han"].findall(s))
-        if counts["han"] * 2 > len(s) and counts["han"] > 3 and not _SCRIPT["kana"].search(s):
-            return "zh"
         counts |= {k: len(p.findall(s)) for k, p in _SCRIPT.items() if k != "han"}
     words = [w.lower() for w in _LATIN_WORD.findall(s)]
     weights = counts | {"latin": 2 * len(words)}

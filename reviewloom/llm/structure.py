@@ -31,8 +31,18 @@ _FENCE_ENDS, _TAGS, _LETTER = regex.compile(r"^```[A-Za-z]*|```$"), regex.compil
 DECISIVE = ("fence", "object", "opener", "list", "table", "emphasis", "tag")
 
 
+_VALUES = json.JSONDecoder(strict=False)
+
+
 def _skip_value(s: str, at: int) -> int | None:
-    """The end of the object or list that starts at ``at``; None if it is never closed. One pass with a stack."""
+    """The end of the object or list that starts at ``at``; None if it is never closed.
+
+    Whole JSON is passed by the library's parser; what it can't read goes through one pass with a stack.
+    """
+    try:
+        return _VALUES.raw_decode(s, at)[1]
+    except (ValueError, RecursionError):
+        pass
     stack, quoted, k = [], False, at
     while k < len(s):
         c = s[k]
