@@ -62,6 +62,19 @@ def call_results(turns: DataFrame) -> DataFrame:
     return matched_calls(calls, results)
 
 
+def recorded_turns(calls: DataFrame) -> DataFrame:
+    """Model calls as turns to append to a session: ``readers.TURN`` and ``ts``.
+
+    ``calls`` has ``session_id, seq, skill_name, system, prompt, content, finish_reason, model, elapsed_ms, ts``. A call without
+    a system text has one message; one that failed has a null answer and is recorded like the others.
+    """
+    message = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("content"))
+    messages = F.when(F.coalesce("system", F.lit("")) == "", F.array(message("user", "prompt"))).otherwise(F.array(message("system", "system"), message("user", "prompt")))
+    usage = F.lit(None).cast("struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint>")
+    response = F.struct("content", "finish_reason", "model", usage.alias("usage"))
+    return calls.select("session_id", "seq", F.lit("tool_llm").alias("type"), F.col("ts").cast("string").alias("timestamp"), "skill_name", messages.alias("messages"), response.alias("response"), "elapsed_ms", "ts")
+
+
 def session_streams(agent: DataFrame, tool: DataFrame) -> DataFrame:
     """Both streams of every session as one table, ``session_id, stream, seq, name, content``, the agent's turns first within a place.
 

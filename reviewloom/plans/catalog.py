@@ -9,8 +9,8 @@ from ..functions import clean, jsonx, timex
 from ..functions import keywords as kw
 from ..operators import agent, extract, lookups, profiles, reflect, sessions, training
 from ..operators.models import BLAME, PRAISE, fill_template
-from ..session import read_table
-from ..sources import writers
+from ..session import read_table, scratch
+from ..sources import readers, writers
 from ..streaming import streams
 from . import oracles as o
 from . import pipeline
@@ -331,6 +331,38 @@ def tool_supervision(spark, sf):
     return training.tool_supervision(None, _turns(spark, sf)).select("session_id", "tool_name", "input", "result", "model")
 
 
+def recorded_turns(spark, sf):
+    """Turns taken apart into calls, recorded again, written as lines and read back; then the samples they make."""
+    first = lambda role: F.try_element_at(F.filter("messages", lambda m: m["role"] == role), F.lit(1))["content"]
+    calls = _turns(spark, sf).select("session_id", "seq", "skill_name", first("system").alias("system"), first("user").alias("prompt"), "response.content", "response.finish_reason", "response.model", F.nanvl("elapsed_ms", F.lit(None).cast("double")).alias("elapsed_ms"), "ts")
+    path = scratch(spark, "turns")
+    writers.write_jsonl(training.recorded_turns(calls).drop("ts"), path)
+    back = readers.read_jsonl(spark, path)
+    return back.select("session_id", "seq", "skill_name", F.size("messages").alias("messages"), F.element_at("messages", -1)["content"].alias("prompt"), F.col("response.content").alias("answer"), F.col("response.finish_reason").alias("finish_reason"))
+
+
+def csv_reviews(spark, sf):
+    """Reviews written as CSV, with quotation marks and line breaks in them, and read back."""
+    path = scratch(spark, "reviews.csv")
+    _reviews(spark, sf).select("request_id", F.translate("text", "\r", "").alias("text")).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return readers.read_reviews(spark, path, column="text")
+
+
+def txt_reviews(spark, sf):
+    """Reviews written a line each and read back; blank lines are dropped."""
+    path = scratch(spark, "reviews.txt")
+    _reviews(spark, sf).select(F.translate("text", "\r\n", "  ").alias("value")).write.text(path)
+    return readers.read_reviews(spark, path)
+
+
+def dictionary_words(spark, sf):
+    """Profile keys written as a dictionary with padding and comments, and read back."""
+    path = scratch(spark, "words")
+    keys = read_table(spark, f"{sf}/product_profiles.parquet").select(F.explode(F.map_keys("keyword_counts")).alias("k"))
+    keys.select(F.translate("k", "\r\n", "  ").alias("value")).unionByName(keys.select(F.concat(F.lit("# "), "k").alias("value")).where("value NOT LIKE '%\n%'")).write.text(path)
+    return readers.read_dictionary(spark, path)
+
+
 def trajectory_stats(spark, sf):
     return training.trajectory_stats(_turns(spark, sf))
 
@@ -521,7 +553,7 @@ def prompts(spark, sf):
 
 _PLAIN = (
     preprocess_comment, advanced_preprocess, preprocess_tool, keyword_predicates, alignment_span, keyword_validation, keyword_top_n, keyword_filters, keyword_reflection, reflection_rounds, reflection_delta, issue_fingerprints, routing, tfidf, cooccurrence, textrank, lexicon_keywords, run_offline, run_fast, run_routed, run_batch, agent_dialogues, agent_event_rows, inline_calls, result_blocks, json_keywords, json_sentiment, json_repair,
-    reviewer_profile, reviewer_keywords, reviewer_tags, product_keywords, product_top_keywords, product_issues, reviewer_report, product_report, profile_keys, review_detail, product_rates, delta_keywords, global_summary, tool_sft, agent_sft, tool_supervision, full_supervision, session_streams, call_results, assembled,
+    reviewer_profile, reviewer_keywords, reviewer_tags, product_keywords, product_top_keywords, product_issues, reviewer_report, product_report, profile_keys, review_detail, product_rates, delta_keywords, global_summary, tool_sft, agent_sft, tool_supervision, full_supervision, session_streams, call_results, assembled, recorded_turns, csv_reviews, txt_reviews, dictionary_words,
     trajectory_stats, skill_distribution, memory_compact, context_chars, stopword_anti, stopword_contained, cache_keys, cache_lookup, request_metrics, error_kinds, backends, status_counters, tool_counters, batch_counters, event_windows, session_preview, session_history, result_records, session_meta, session_summary, task_states, merged_counts, streamed_counts, batch_table, analysis_events, prompts,
 )
 
@@ -687,6 +719,10 @@ def oracle_sql():
             SELECT analysis_id, 1 AS seq, 'start' AS type, NULL AS step FROM analyses UNION ALL SELECT analysis_id, 2 * k, 'step_start', step FROM good JOIN steps ON m = steps.mode UNION ALL SELECT analysis_id, 2 * k + 1, 'step_done', step FROM good JOIN steps ON m = steps.mode
             UNION ALL SELECT analysis_id, CASE WHEN m = 'fast' THEN 10 ELSE 8 END, 'result', NULL FROM good UNION ALL SELECT analysis_id, CASE WHEN m = 'fast' THEN 11 ELSE 9 END, 'done', NULL FROM good
             UNION ALL SELECT analysis_id, 2, 'error', NULL FROM analyses WHERE error IS NOT NULL UNION ALL SELECT analysis_id, 3, 'done', NULL FROM analyses WHERE error IS NOT NULL""",
+        "recorded_turns": "WITH m AS (SELECT *, list_filter(messages, lambda x: x.role = 'system')[1].content AS system, list_filter(messages, lambda x: x.role = 'user')[1].content AS prompt FROM tool_turns) SELECT session_id, seq, skill_name, CASE WHEN coalesce(system, '') = '' THEN 1 ELSE 2 END AS messages, prompt, response.content AS answer, response.finish_reason AS finish_reason FROM m",
+        "csv_reviews": f"SELECT x AS text FROM (SELECT {o.strip(chr(39) * 2 + ' || replace(text, chr(13), ' + chr(39) * 2 + ')')} AS x FROM reviews) WHERE x <> ''",
+        "txt_reviews": f"SELECT x AS text FROM (SELECT {o.strip('translate(text, chr(13) || chr(10), ' + chr(39) + '  ' + chr(39) + ')')} AS x FROM reviews) WHERE x <> ''",
+        "dictionary_words": f"SELECT DISTINCT x AS word FROM (SELECT {o.strip('translate(k, chr(13) || chr(10), ' + chr(39) + '  ' + chr(39) + ')')} AS x FROM (SELECT unnest(map_keys(keyword_counts)) AS k FROM product_profiles)) WHERE x <> '' AND NOT starts_with(x, '#')",
         "tool_sft": "SELECT session_id, seq, skill_name, response.model AS model, len(messages) + 1 AS messages, response.content AS answer FROM tool_turns WHERE type = 'tool_llm' AND len(messages) > 0 AND coalesce(response.content, '') <> ''",
         "agent_sft": """WITH t AS (SELECT session_id, seq, CASE WHEN seq % 2 = 1 THEN messages END AS snapshot, response.content AS content, coalesce(response.finish_reason, '') <> 'stop' AS calls FROM tool_turns),
             c AS (SELECT *, last_value(snapshot IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS context FROM t),
