@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,12 +87,12 @@ for _language, _words in FUNCTION_WORDS.items():
 #: Signs that only one of these languages has.
 _OWN_SIGNS = {"es": regex.compile("[ñ¿¡]"), "de": regex.compile("ß"), "pt": regex.compile("[ãõ]"), "fr": regex.compile("[œêûîôâù]|\\b[cdjlmnst]['’](?=\\p{L})|qu['’]", regex.I)}
 _SCRIPTS = {"han": r"\p{Han}", "kana": r"[\p{Hiragana}\p{Katakana}]", "hangul": r"\p{Hangul}", "cyrillic": r"\p{Cyrillic}", "arabic": r"\p{Arabic}", "thai": r"\p{Thai}"}
-_SCRIPT = {k: regex.compile(v) for k, v in _SCRIPTS.items()}
+_SCRIPT = {k: regex.compile(f"{v}+") for k, v in _SCRIPTS.items()}
+_OTHER_SCRIPTS = regex.compile(f"[{''.join(v.strip('[]') for k, v in _SCRIPTS.items() if k != 'han')}]")
 _HAS_LETTER = regex.compile(r"\p{L}")
 _LATIN_WORD = regex.compile(r"(?<![\p{L}\p{N}])\p{Latin}[\p{Latin}\p{M}'’]*(?![\p{N}])")
 _KEY = regex.compile(r'"[^"]{1,40}"\s*:|\*\*[^*\n]{1,20}\*\*\s*[:：]?|```\w*|https?://\S+|\S+@\S+')
 _ELIDED = regex.compile(r"^(?:[cdjlmnst]|qu)['’]", regex.I)
-_HAN = regex.compile("[一-鿿]")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,9 +207,10 @@ def gives_back(question: str, answer: str) -> bool:
     a, q = _said_once(answer), _said(consistent_form(question).lower())
     if len(a) < 5 or not q:
         return False
-    least = min(TILE_HAN if len(_HAN.findall(a)) * 2 > len(a) else TILE_OTHER, len(a))
+    least = min(TILE_HAN if _count("han", a) * 2 > len(a) else TILE_OTHER, len(a))
     needed = max(COVER_ANSWER * len(a), COVER_QUESTION * len(q))
-    return len(a) >= needed and common_bound(a, q, least) >= needed and tiled(a, q, least) >= needed
+    # A text that stands in the other as it is makes one tile.
+    return len(a) >= needed and (a in q or (common_bound(a, q, least) >= needed and tiled(a, q, least) >= needed))
 
 
 def called_for(system: str, question: str) -> str:
@@ -219,20 +221,31 @@ def called_for(system: str, question: str) -> str:
                 if pattern.search(text):
                     return name
     instruction = system if _HAS_LETTER.search(system) else question
+    return _instructed(instruction)
+
+
+@lru_cache(maxsize=1024)
+def _instructed(instruction: str) -> str:
+    """The language of an instruction; a table has few different ones."""
     return "zh" if _SCRIPT["han"].search(instruction) else written_in(instruction) or "en"
 
 
+def _count(script: str, text: str) -> int:
+    return sum(map(len, _SCRIPT[script].findall(text)))
+
+
 def written_in(answer: str) -> str | None:
     """The language of the answer's values by script and function words; None where there is too little to tell."""
     # A text most of whose characters are Chinese needs no closer look, whatever its keys and links are.
-    if not answer.isascii() and (many := len(_SCRIPT["han"].findall(answer))) * 2 > len(answer) and many > 3 and not _SCRIPT["kana"].search(answer):
+    if not answer.isascii() and (many := _count("han", answer)) * 2 > len(answer) and many > 3 and not _SCRIPT["kana"].search(answer):
         return "zh"
     s = _KEY.sub(" ", answer)
+    words = [w.lower() for w in _LATIN_WORD.findall(s)]
     counts = dict.fromkeys(_SCRIPT, 0)
     if not s.isascii():
-        counts["han"] = len(_SCRIPT["han"].findall(s))
-        counts |= {k: len(p.findall(s)) for k, p in _SCRIPT.items() if k != "han"}
-    words = [w.lower() for w in _LATIN_WORD.findall(s)]
+        counts["han"] = _count("han", s)
+        if _OTHER_SCRIPTS.search(s):
+            counts = {k: _count(k, s) for k in _SCRIPT}
     weights = counts | {"latin": 2 * len(words)}
     total = sum(weights.values())
     if total < 4:
