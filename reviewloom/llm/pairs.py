@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -91,6 +92,7 @@ _SCRIPT = {k: regex.compile(f"{v}+") for k, v in _SCRIPTS.items()}
 _OTHER_SCRIPTS = regex.compile(f"[{''.join(v.strip('[]') for k, v in _SCRIPTS.items() if k != 'han')}]")
 _HAS_LETTER = regex.compile(r"\p{L}")
 _LATIN_WORD = regex.compile(r"(?<![\p{L}\p{N}])\p{Latin}[\p{Latin}\p{M}'’]*(?![\p{N}])")
+_ASCII_WORD = re.compile(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z']*(?![0-9])")
 _KEY = regex.compile(r'"[^"]{1,40}"\s*:|\*\*[^*\n]{1,20}\*\*\s*[:：]?|```\w*|https?://\S+|\S+@\S+')
 _ELIDED = regex.compile(r"^(?:[cdjlmnst]|qu)['’]", regex.I)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -209,8 +211,10 @@ def gives_back(question: str, answer: str) -> bool:
         return False
     least = min(TILE_HAN if _count("han", a) * 2 > len(a) else TILE_OTHER, len(a))
     needed = max(COVER_ANSWER * len(a), COVER_QUESTION * len(q))
+    if len(a) < needed or sum(map(set(q).__contains__, a)) < needed:
+        return False  # too short, or too many characters that the question doesn't have
     # A text that stands in the other as it is makes one tile.
-    return len(a) >= needed and (a in q or (common_bound(a, q, least) >= needed and tiled(a, q, least) >= needed))
+    return a in q or (common_bound(a, q, least) >= needed and tiled(a, q, least) >= needed)
 
 
 def called_for(system: str, question: str) -> str:
@@ -240,7 +244,7 @@ def written_in(answer: str) -> str | None:
     if not answer.isascii() and (many := _count("han", answer)) * 2 > len(answer) and many > 3 and not _SCRIPT["kana"].search(answer):
         return "zh"
     s = _KEY.sub(" ", answer)
-    words = [w.lower() for w in _LATIN_WORD.findall(s)]
+    words = _ASCII_WORD.findall(s.lower()) if s.isascii() else [w.lower() for w in _LATIN_WORD.findall(s)]
     counts = dict.fromkeys(_SCRIPT, 0)
     if not s.isascii():
         counts["han"] = _count("han", s)
@@ -260,7 +264,7 @@ def written_in(answer: str) -> str | None:
         held = _HELD_BY.get(word) or (_HELD_BY.get(_ELIDED.sub("", word), ()) if "'" in word or "’" in word else ())
         for language in held:
             hits[language] += 1 / len(held)
-    for language, sign in _OWN_SIGNS.items():
+    for language, sign in _OWN_SIGNS.items() if not s.isascii() else [("fr", _OWN_SIGNS["fr"])] if "'" in s else []:
         hits[language] += len(sign.findall(s))
     best = max(hits, key=lambda k: hits[k])
     if hits[best] < 0.5:
