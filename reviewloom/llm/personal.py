@@ -76,7 +76,7 @@ COMPOUND = "欧阳|司马|上官|诸葛|司徒|东方|独孤|南宫|夏侯|皇
 NOT_GIVEN = "的了是在我你他她它们不也就都还很太个这那什么没有和与及或被把让给说吗呢吧啊呀哦收到货买家店客服件价格质量包装物流点帮打送签代换退修装拆洗问写寄些次款块元只却但因所其此该每各另您咱谁哪怎且则"
 # Common words that begin like a name.
 WORDS_LIKE_NAMES = frozenset(
-    "白色 白天 白送 白买 黄色 黄金 黄瓜 金色 金属 金额 高兴 高档 高端 高度 高级 高温 高低 高清 高效 高压 方便 方式 方法 方面 方向 方案 方形 安装 安全 安静 安心 安排 温度 温和 温馨 温暖 温柔 温水 程度 程序 时间 时候 时尚 时常 时而 于是 马上 马桶 马虎 万一 万能 万分 常常 常用 常见 "
+    "白色 白天 白送 白买 黄色 黄金 黄瓜 金色 金属 金额 高兴 高档 高端 高度 高级 高温 高低 高清 高效 高压 方便 方式 方法 方面 方向 方案 方形 安装 安全 安静 安心 安排 温度 温和 温馨 温暖 温柔 温水 温润 温热 程度 程序 时间 时候 时尚 时常 时而 于是 马上 马桶 马虎 万一 万能 万分 常常 常用 常见 "
     "常温 成功 成本 成分 成品 平时 石头 石材 毛病 毛巾 毛边 毛衣 毛刺 毛躁 牛奶 牛皮 牛肉 关于 关系 关键 关闭 关心 关注 简单 简直 简约 简陋 简易 夏天 夏季 江南 何况 何必 何时 何处 易碎 易用 易坏 易洗 路上 路由 路过 路程 梅雨 叶子 李子 张开 张嘴 张贴 陈旧 陈列 胡乱 胡说 许多 许久 谢谢 谢意 孔位 "
     "孔径 游戏 游泳 项目 项链 顾客 顾虑 宁可 宁愿 宁静 舒服 舒适 舒心 段时 段落 雷同 雷人 龙头 武器 戴着 戴上 严重 严格 严实 严谨 向上 向下 向来 向着 康复 贺卡 汤圆 管理 管子 管用 管道 祝福 祝愿 左右 左边 左侧 费用 费劲 费水 费电 费时 盛开 童装 童年 曲线 阳光 阳台 闻到 闻着 闻起 范围 "
     "付款 付钱 付费 钱包 季节 季度 章程 施工 洪水 兰花 殷勤 凌晨 凌乱 苗条 齐全 齐整 庄重 辛苦 辛辣 涂层 涂抹 谷物 任何 任务 任意 余额 余下 余量 史上 文字 文件 文案 文明 文化 文具 申请 申诉 申报 尤其 焦虑 焦味 欧式 欧洲 甄选 钟头 钟点 田园 林子 汪汪 丁点 马达 唐装 宋体 韩式 韩国 苏州 杜绝 崔促 石英 孟买 秦岭 常年 温差".split()
@@ -362,7 +362,7 @@ def _beside(s: str, known: list[Found]) -> Iterator[Found]:
             offset = max(0, f.start - 14)
             head = _BEFORE_NUMBER.sub("", s[offset : f.start])
             for m in _NAME_UP_TO.finditer(head):
-                if m.end() == len(head):
+                if m.end() == len(head) and m[1][:2] not in WORDS_LIKE_NAMES:
                     yield Found("name", offset + m.start(1), offset + m.end(1))
         elif f.kind == "address" and (m := _RECEIVES.match(s, f.end)):
             yield Found("name", *m.span(1))
