@@ -47,7 +47,7 @@ GRAM_HAN, GRAM_OTHER = 4, 10
 #: A window is abnormal so many standard deviations from the mean of the training windows.
 DEVIATIONS = 3.0
 #: An abnormal window is one of a list if at least this share of its content words are repeated ones, links or tags; or if it
-#: has hardly any function words, or few and no sentence's end, without being code or labelled values. Prose of another kind
+#: has hardly any function words, or few and neither a sentence's end nor a sign of code, without being code or labelled values. Prose of another kind
 #: than the corpus's, code and sheets have an odd perplexity as well, but aren't lists.
 LISTED, FEW_FUNCTION, SOME_FUNCTION, CODE_SIGNS, LABELLED, ECHOED = 0.25, 0.1, 0.4, 0.1, 0.12, 0.4
 #: For the most part: more than half of a page's characters.
@@ -327,10 +327,10 @@ def _listed(t: Tokens) -> np.ndarray:
     again, fresh = np.isin(t.classes, (AGAIN_SHORT, AGAIN_LONG, AGAIN_CHAIN, LINK, TAG)), np.isin(t.classes, (SHORT, MIDDLE, LONG))
     content = count(again | fresh)
     listed = count(again) >= LISTED * content
-    function = count(t.classes == FUNCTION)
-    bare = (function <= FEW_FUNCTION * content) | ((function <= SOME_FUNCTION * content) & (count(t.classes == END) == 0))
+    function, code = count(t.classes == FUNCTION), count(t.code)
+    bare = (function <= FEW_FUNCTION * content) | ((function <= SOME_FUNCTION * content) & (count(t.classes == END) + code == 0))
     few_labels = (count(t.classes == COLON) <= LABELLED * width) | (count(t.echo) >= ECHOED * content)
-    return (content > 0) & (listed | (bare & (count(t.code) <= CODE_SIGNS * width) & few_labels))
+    return (content > 0) & (listed | (bare & (code <= CODE_SIGNS * width) & few_labels))
 
 
 def abnormal_shares(texts: list[str], model: Model) -> np.ndarray:
