@@ -127,12 +127,41 @@ def changed_ids(df: DataFrame, record: str, text: str) -> DataFrame:
 
 
 def look_alike_groups(df: DataFrame, record: str, text: str) -> DataFrame:
-    """``skeleton_key, variants, records, first_id``: originals grouped by equal skeleton, where they are written in two ways or more.
+    """``skeleton_key, variants, records, first_id``: originals grouped by equal skeleton, where they are written in two ways or more."""
+    return look_alike_groups_across([(text, df, record, text)]).select("skeleton_key", "variants", "records", "first_id")
+
+
+def look_alike_groups_across(parts: list[tuple[str, DataFrame, str, str]]) -> DataFrame:
+    """``field_name, skeleton_key, variants, records, field_variants, field_records, first_id`` for (field's name, table, record, text) parts.
+
+    Originals of all fields are grouped together by equal skeleton, where they are written in two ways or more, be it in one
+    field or across them. A row for each field that holds any of a group: ``variants`` and ``records`` are the whole group's,
+    the others that field's, whose ids ``first_id`` is one of. The same text in two fields is one variant. Null texts are in no
+    group; repeated rows and null ids count as records.
 
     Keys are 128-bit digests. Variants are counted after a shuffle by (skeleton, text), so that a text held by a third of
     all rows is one pre-aggregated row a task; the second aggregation sees one row a variant.
     """
-    rows = pick(df, record_id=record, text=text).where(F.col("text").isNotNull()).withColumn("text_key", F.md5("text"))
-    keyed = map_batches(rows, text_column(skeleton, "text", "skeleton", pa.string()), "record_id bigint, text_key string, skeleton string")
-    variants = keyed.groupBy(F.md5("skeleton").alias("skeleton_key"), "text_key").agg(F.count("*").alias("n"), F.min("record_id").alias("first_id"))
-    return variants.groupBy("skeleton_key").agg(F.count("*").alias("variants"), F.sum("n").alias("records"), F.min("first_id").alias("first_id")).where("variants > 1")
+    rows = None
+    for k, (_, df, record, text) in enumerate(parts):
+        part = pick(df, record_id=record, text=text).where(F.col("text").isNotNull()).select("record_id", F.lit(k).alias("field"), "text", F.md5("text").alias("text_key"))
+        rows = part if rows is None else rows.unionByName(part)
+    keyed = map_batches(rows, text_column(skeleton, "text", "skeleton", pa.string()), "record_id bigint, field int, text_key string, skeleton string")
+    fields = range(len(parts))
+    held = [F.col("field") == k for k in fields]
+    variants = keyed.groupBy(F.md5("skeleton").alias("skeleton_key"), "text_key").agg(
+        *[F.count_if(held[k]).alias(f"n{k}") for k in fields], *[F.min(F.when(held[k], F.col("record_id"))).alias(f"first{k}") for k in fields]
+    )
+    groups = variants.groupBy("skeleton_key").agg(
+        F.count("*").alias("variants"),
+        *[F.count_if(F.col(f"n{k}") > 0).alias(f"variants{k}") for k in fields],
+        *[F.sum(f"n{k}").alias(f"n{k}") for k in fields],
+        *[F.min(f"first{k}").alias(f"first{k}") for k in fields],
+    )
+    by_field = [
+        F.struct(F.lit(name).alias("field_name"), F.col(f"variants{k}").alias("field_variants"), F.col(f"n{k}").alias("field_records"), F.col(f"first{k}").alias("first_id"))
+        for k, (name, *_) in enumerate(parts)
+    ]
+    records = sum((F.col(f"n{k}") for k in fields), F.lit(0)).alias("records")
+    found = groups.where("variants > 1").select("skeleton_key", "variants", records, F.inline(F.array(*by_field))).where("field_records > 0")
+    return found.select("field_name", "skeleton_key", "variants", "records", "field_variants", "field_records", "first_id")

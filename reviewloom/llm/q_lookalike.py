@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from .lookalike import changed_ids, look_alike_groups, normalized
+from .lookalike import changed_ids, look_alike_groups_across, normalized
 
 FIELDS = (("reviews", "text", "request_id"), ("analyses", "cleaned_text", "analysis_id"))
 
@@ -25,8 +25,8 @@ def p3_consistent(spark, sf):
 
 
 def p3_groups(spark, sf):
-    """Texts written in several ways that look the same."""
-    return look_alike_groups(read_table(spark, f"{sf}/reviews.parquet"), "request_id", "text")
+    """Texts written in several ways that look the same, within a field or across both."""
+    return look_alike_groups_across([(text, read_table(spark, f"{sf}/{table}.parquet"), record, text) for table, text, record in FIELDS])
 
 
 QUERIES = {"p3_found": p3_found, "p3_consistent": p3_consistent, "p3_groups": p3_groups}

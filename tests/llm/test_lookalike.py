@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 
 from reviewloom.llm import confusables
 from reviewloom.llm import lookalike as la
+from reviewloom.llm import q_lookalike
 
 from .helpers import TRICKY, table, tuples
 
@@ -61,3 +62,19 @@ def test_tables(spark):
     groups = la.look_alike_groups(df, "record", "text").collect()
     assert [(g["variants"], g["records"], g["first_id"]) for g in groups] == [(2, 3, 20)]
     assert la.changed_ids(df.where("false"), "record", "text").count() == 0
+
+
+def test_groups_of_both_fields(spark, tmp_path):
+    """Groups of the second field and groups across the fields come out as well; ids are each field's own."""
+    reviews = [(1, "The end"), (2, "Тhe end"), (2, "Тhe end"), (3, "good"), (4, "alone"), (5, None), (6, "same"), (None, "ａll"), (7, "")]
+    analyses = [(1, "The end"), (8, "G00D"), (7, "GOOD"), (9, "gооd"), (10, "same"), (11, None), (12, "all"), (13, "")]
+    table(spark, reviews, "request_id bigint, text string").write.parquet(str(tmp_path / "reviews.parquet"))
+    table(spark, analyses, "analysis_id bigint, cleaned_text string").write.parquet(str(tmp_path / "analyses.parquet"))
+    got = q_lookalike.p3_groups(spark, str(tmp_path))
+    columns = ("field_name", "variants", "records", "field_variants", "field_records", "first_id")
+    assert got.columns == [columns[0], "skeleton_key", *columns[1:]] and got.select("skeleton_key").distinct().count() == 4
+    expected = [
+        ("text", 2, 4, 2, 3, 1), ("cleaned_text", 2, 4, 1, 1, 1), ("cleaned_text", 2, 2, 2, 2, 7), ("text", 2, 2, 1, 1, 3), ("cleaned_text", 2, 2, 1, 1, 9),
+        ("text", 2, 2, 1, 1, None), ("cleaned_text", 2, 2, 1, 1, 12),
+    ]
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, expected))
